@@ -85,3 +85,16 @@ def tiles(df: DataFrame, key: str, ident: str, cap: int) -> DataFrame:
     out = df.join(F.broadcast(large) if n <= BROADCAST_ROWS else large, key, "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
     out = out.withColumn("_c", F.pmod(F.xxhash64(ident, F.lit(7)), F.col("_k")).cast("int")).withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     return out.withColumns({"tile_i": F.least("_c", "_x"), "tile_j": F.greatest("_c", "_x"), "side": (F.col("_c") > F.col("_x")).cast("int")}).drop("_k", "_c", "_x")
+
+
+def keyed(docs: DataFrame, *extra: str) -> DataFrame:
+    """(rk, doc_id, text, extra...): rk is a unique long that orders rows as doc_id does.
+
+    rk is doc_id itself where every doc_id occurs once. A table with null or repeated ids is
+    sorted by (doc_id, text), nulls first, and numbered in that order.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
+    if not own.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+        return own.select(F.col("doc_id").alias("rk"), "*")
+    ranked = own.orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    return cut(ranked.select(F.monotonically_increasing_id().alias("rk"), "*"), "keyed")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import jaccard
+from . import chunks, contain, jaccard, tokens
 
 QUERIES = {
+    "op1_token_files": tokens.op1,
+    "op2_substring_dedup": chunks.op2,
     "op7_ngram_jaccard_join": jaccard.op7,
+    "op9_benchmark_decontamination": contain.op9,
 }
 
 SQL = {
     "op7_ngram_jaccard_join": jaccard.SQL,
+    "op9_benchmark_decontamination": contain.SQL,
 }
