@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chunks, contain, jaccard, tokens
+from . import chunks, contain, forest, jaccard, pieces, tokens
 
 QUERIES = {
     "op1_token_files": tokens.op1,
     "op2_substring_dedup": chunks.op2,
+    "op3_sentencepiece_dropout": pieces.op3,
     "op7_ngram_jaccard_join": jaccard.op7,
+    "op8_embedding_near_dedup": forest.op8,
     "op9_benchmark_decontamination": contain.op9,
 }
 
