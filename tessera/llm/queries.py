@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, chunks, contain, forest, jaccard, licences, pieces, tokens
+from . import chat, chunks, contain, forest, jaccard, licences, pieces, quality, tokens
 
 QUERIES = {
     "op1_token_files": tokens.op1,
     "op2_substring_dedup": chunks.op2,
     "op3_sentencepiece_dropout": pieces.op3,
     "op4_chat_preferences": chat.op4,
+    "op5_quality_classifier": quality.op5,
     "op7_ngram_jaccard_join": jaccard.op7,
     "op8_embedding_near_dedup": forest.op8,
     "op9_benchmark_decontamination": contain.op9,
