@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,3 +102,39 @@ def keyed(docs: DataFrame, *extra: str) -> DataFrame:
         return own.select(F.col("doc_id").alias("rk"), "*")
     ranked = own.orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     return cut(ranked.select(F.monotonically_increasing_id().alias("rk"), "*"), "keyed")
+
+
+#: Bits of the largest filter that bit_filter makes (32 MB).
+FILTER_BITS = 28
+
+
+def bit_filter(keys: DataFrame, n: int) -> tuple[int, Broadcast]:
+    """(bits, broadcast bytes): a bit for each 64-bit hash in the one column of keys, of which there are n.
+
+    A test says no only for hashes that are not there, so that a filter saves rows and changes no
+    result. It has about 16 bits a key and never more than FILTER_BITS bits: beyond that it lets
+    more rows through. It is put together in 256 blocks, by the hashes' top byte.
+    """
+    spark = keys.sparkSession
+    bits = min(FILTER_BITS, max(16, int(16 * max(1, n)).bit_length()))
+    low, name = bits - 8, keys.columns[0]
+
+    def build(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = np.zeros(1 << low, bool)
+        for part in parts:
+            h = part.column(name).to_numpy().view(np.uint64)
+            block[((h << np.uint64(8)) >> np.uint64(64 - low)).astype(np.int64)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(block, bitorder="little").tobytes()])], ["block", "bits"])
+
+    rows = keys.select(name, F.expr(f"shiftrightunsigned({name}, 56)").alias("block")).groupBy("block").applyInArrow(build, "block long, bits binary").collect()
+    whole = np.zeros(1 << (bits - 3), np.uint8)
+    for r in rows:
+        at = r.block << (low - 3)
+        whole[at : at + (1 << (low - 3))] = np.frombuffer(r.bits, np.uint8)
+    return bits, spark.sparkContext.broadcast(whole.tobytes())
+
+
+def in_filter(hashes: np.ndarray, bits: int, raw: bytes) -> np.ndarray:
+    """Which of the uint64 hashes the filter may hold."""
+    at = hashes >> np.uint64(64 - bits)
+    return (np.frombuffer(raw, np.uint8)[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, chunks, contain, forest, jaccard, licences, pieces, quality, tokens
+from . import chat, chunks, contain, forest, jaccard, licences, pieces, quality, suffixes, tokens
 
 QUERIES = {
     "op1_token_files": tokens.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sentencepiece_dropout": pieces.op3,
     "op4_chat_preferences": chat.op4,
     "op5_quality_classifier": quality.op5,
+    "op6_suffix_dedup": suffixes.op6,
     "op7_ngram_jaccard_join": jaccard.op7,
     "op8_embedding_near_dedup": forest.op8,
     "op9_benchmark_decontamination": contain.op9,
