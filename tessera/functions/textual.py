@@ -32,9 +32,12 @@ def features(normal: Column) -> Column:
 
     2-grams weigh 1, 3-grams 1.35, runs of two or more Latin letters and digits 1.5.
     """
-    parts = [F.transform(grams(normal, n), lambda g, n=n, w=w: F.struct(F.concat(F.lit(f"{n}:"), g).alias("key"), F.lit(w).alias("weight"))) for n, w in ((2, 100), (3, 135))]
+
+    def weighted(items: Column, prefix: str, weight: int) -> Column:
+        return F.transform(items, lambda x: F.struct(F.concat(F.lit(prefix), x).alias("key"), F.lit(weight).alias("weight")))
+
     words = F.regexp_extract_all(normal, F.lit("([a-z0-9]{2,})"), F.lit(1))
-    return F.concat(*parts, F.transform(words, lambda x: F.struct(F.concat(F.lit("word:"), x).alias("key"), F.lit(150).alias("weight"))))
+    return F.concat(weighted(grams(normal, 2), "2:", 100), weighted(grams(normal, 3), "3:", 135), weighted(words, "word:", 150))
 
 
 def cosine_sums(dot: Column, left: Column, right: Column) -> Column:
