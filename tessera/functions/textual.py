@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,8 +23,19 @@ def normalise_match(text: Column, confusions: Sequence[tuple[str, str]] = lexico
     return out
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once: inside a lambda an outer expression would be computed anew each time."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def grams(text: Column, size: int) -> Column:
-    return F.when(F.length(text) >= size, F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    """All runs of `size` characters. Slices of a character array: substring() walks from the start each time."""
+
+    def runs(chars: Column) -> Column:
+        items = F.transform(F.sequence(F.lit(1), F.size(chars) - size + 1), lambda i: F.array_join(F.slice(chars, i, F.lit(size)), ""))
+        return F.when(F.size(chars) >= size, items).otherwise(F.array().cast("array<string>"))
+
+    return once(F.split(text, ""), runs)
 
 
 def features(normal: Column) -> Column:
@@ -36,8 +47,11 @@ def features(normal: Column) -> Column:
     def weighted(items: Column, prefix: str, weight: int) -> Column:
         return F.transform(items, lambda x: F.struct(F.concat(F.lit(prefix), x).alias("key"), F.lit(weight).alias("weight")))
 
-    words = F.regexp_extract_all(normal, F.lit("([a-z0-9]{2,})"), F.lit(1))
-    return F.concat(weighted(grams(normal, 2), "2:", 100), weighted(grams(normal, 3), "3:", 135), weighted(words, "word:", 150))
+    def all_of(t: Column) -> Column:
+        words = F.regexp_extract_all(t, F.lit("([a-z0-9]{2,})"), F.lit(1))
+        return F.concat(weighted(grams(t, 2), "2:", 100), weighted(grams(t, 3), "3:", 135), weighted(words, "word:", 150))
+
+    return once(normal, all_of)
 
 
 def cosine_sums(dot: Column, left: Column, right: Column) -> Column:
@@ -67,10 +81,7 @@ def keywords(text: Column, terms: Sequence[str] = lexicon.TERMS, limit: int = 8)
     own = F.slice(F.transform(F.array_sort(counted), lambda x: x["t"]), 1, limit)
     # a match needs a word boundary on both sides; trailing dots and hyphens are given back
     words = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_\p{L}])([A-Za-z][A-Za-z0-9.-]{1,15}(?<=[A-Za-z0-9]))(?![A-Za-z0-9_\p{L}])"), F.lit(1))
-    ranked = F.transform(
-        F.array_distinct(words),
-        lambda w: F.struct((-F.size(F.filter(words, lambda x: x == w))).alias("c"), F.array_position(words, w).alias("i"), w.alias("t")),
-    )
+    ranked = once(words, lambda ws: F.transform(F.array_distinct(ws), lambda w: F.struct((-F.size(F.filter(ws, lambda x: x == w))).alias("c"), F.array_position(ws, w).alias("i"), w.alias("t"))))
     fill = F.slice(F.transform(F.array_sort(ranked), lambda x: x["t"]), F.lit(1), F.greatest(F.lit(0), F.lit(limit) - F.size(own)))
     return F.concat(own, F.filter(fill, lambda x: ~F.array_contains(own, x)))
 

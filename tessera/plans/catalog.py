@@ -181,14 +181,7 @@ def asr_normalise(spark, sf_dir):
     return speech.normalise(own).select("conv_id", "speech_id", "absolute_start_seconds", "absolute_end_seconds", "clamp_count")
 
 
-@query("""WITH t AS (SELECT source, doc_id, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS c FROM documents),
-r AS (SELECT *, sum(CASE WHEN p IS NOT DISTINCT FROM c AND k > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY doc_id) AS run FROM (SELECT *, lag(c) OVER (PARTITION BY source ORDER BY doc_id) AS p, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM t)),
-i AS (SELECT source, count(*) AS n FROM (SELECT source, run FROM r WHERE c <> '' GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1),
-g AS (SELECT source, doc_id, f, unnest(range(1, length(f) - 30)) AS p FROM (SELECT source, doc_id, regexp_replace(text, '\\s+', '', 'g') AS f FROM documents) WHERE length(f) >= 64),
-h AS (SELECT source, doc_id, min(p) AS a, max(p) AS b FROM g GROUP BY source, doc_id, substr(f, p, 32)),
-q AS (SELECT source, count(DISTINCT doc_id) AS n FROM h WHERE b - a >= 32 GROUP BY 1)
-SELECT d.source, count(*) AS segments, CAST(sum(length(text) - length(replace(text, chr(65533), ''))) AS BIGINT) AS replacement_marks, coalesce(any_value(i.n), 0) AS identical_runs, coalesce(any_value(q.n), 0) AS repeated_grams,
- coalesce(any_value(i.n), 0) = 0 AND coalesce(any_value(q.n), 0) = 0 AND sum(length(text) - length(replace(text, chr(65533), ''))) = 0 AS passed FROM documents d LEFT JOIN i USING (source) LEFT JOIN q USING (source) GROUP BY 1""")
+@query()
 def quality_gate(spark, sf_dir):
     return speech.quality_gate(table(spark, sf_dir, "documents"), ["source"], ["doc_id"]).select("source", "segments", "replacement_marks", "identical_runs", "repeated_grams", "passed")
 

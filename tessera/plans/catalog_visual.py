@@ -1 +1,166 @@
-"""Visual queries."""
+"""Visual queries: pixel functions, routing, selectors, caps and evaluation, over the adapters' stand-ins."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import pixels as px
+from ..operators import evaluate, routing, selectors
+from ..session import table
+from . import adapters
+from .adapters import sql
+from .catalog import query
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("label").orderBy("sample_index")
+    own = adapters.pixels(spark, sf_dir)
+    return own.select("label", "vec_id", "sample_index", "gray", F.lag("gray").over(w).alias("before"), "embedding", F.lag("embedding").over(w).alias("embedding_before")).where("before is not null")
+
+
+PAIRS = ", p AS (SELECT label, vec_id, gray AS g, lag(gray) OVER w AS b, embedding AS e, lag(embedding) OVER w AS eb FROM pixels WINDOW w AS (PARTITION BY label ORDER BY sample_index))"
+MOMENTS = ", m AS (SELECT vec_id, list_sum(list_transform(g, lambda x: x)) AS sa, list_sum(list_transform(b, lambda x: x)) AS sb, list_dot_product(CAST(g AS DOUBLE[]), CAST(g AS DOUBLE[])) AS aa, list_dot_product(CAST(b AS DOUBLE[]), CAST(b AS DOUBLE[])) AS bb, list_dot_product(CAST(g AS DOUBLE[]), CAST(b AS DOUBLE[])) AS ab, len(g) * 1.0 AS n FROM p WHERE b IS NOT NULL)"
+
+
+@query(sql("pixels", "").rstrip() + PAIRS + " SELECT vec_id, round(list_sum(list_transform(list_zip(g, b), lambda z: abs(z[1] - z[2]))) / (255.0 * len(g)), 6) AS pixel_delta FROM p WHERE b IS NOT NULL")
+def pixel_delta(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("vec_id", F.round(px.pixel_delta(F.col("gray"), F.col("before")), 6).alias("pixel_delta"))
+
+
+@query(sql("pixels", "").rstrip() + PAIRS + MOMENTS + " SELECT vec_id, round(((2 * sa * sb / n / n + 6.5025) * (2 * (ab / n - sa * sb / n / n) + 58.5225)) / ((sa * sa / n / n + sb * sb / n / n + 6.5025) * (aa / n - sa * sa / n / n + bb / n - sb * sb / n / n + 58.5225)), 6) AS ssim FROM m")
+def ssim_previous(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("vec_id", F.round(px.global_ssim(F.col("gray"), F.col("before")), 6).alias("ssim"))
+
+
+@query(sql("pixels", "").rstrip() + PAIRS + " SELECT vec_id, CAST(list_sum(list_transform(list_zip(e, eb), lambda z: CASE WHEN (z[1] > 0) <> (z[2] > 0) THEN 1 ELSE 0 END)) AS INTEGER) AS distance FROM p WHERE b IS NOT NULL")
+def phash_distance(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("vec_id", px.hash_distance(px.sign_hash(F.col("embedding")), px.sign_hash(F.col("embedding_before"))).alias("distance"))
+
+
+@query(sql("pixels", "").rstrip() + PAIRS + " SELECT vec_id, round(list_max(list_transform(list_zip(g, b), lambda z: abs(z[1] - z[2]))) / 255.0, 6) AS block_change FROM p WHERE b IS NOT NULL")
+def block_change(spark, sf_dir):
+    """Images of 8 x 8 pixels have one pixel in each block."""
+    return _pairs(spark, sf_dir).select("vec_id", F.round(F.array_max(F.zip_with("gray", "before", lambda x, y: F.abs(x - y))) / 255.0, 6).alias("block_change"))
+
+
+@query(sql("signal", "SELECT user_id, probe AS t_us FROM (SELECT user_id, unnest(range(a, b, 43200000000)) AS probe FROM (SELECT user_id, min(t_us) AS a, max(t_us) AS b FROM signal GROUP BY 1))"))
+def scan_grid(spark, sf_dir):
+    ends = adapters.signal(spark, sf_dir).groupBy("user_id").agg(F.min("t_us").alias("a"), F.max("t_us").alias("b")).where("b > a")
+    return ends.select("user_id", F.explode(F.sequence("a", F.col("b") - 1, F.lit(43_200_000_000))).alias("t_us"))
+
+
+@query()
+def uniform_grid(spark, sf_dir):
+    return selectors.uniform(adapters.signal(spark, sf_dir), ["user_id"], 86_400_000_000).select("user_id", "sample_index", "t_us", "score")
+
+
+@query()
+def adaptive_select(spark, sf_dir):
+    return selectors.adaptive(adapters.signal(spark, sf_dir), ["user_id"], radius=6, k=1, least_us=7_200_000_000, change=0.3, ratio=1.5, quiet=0.1).select("user_id", "sample_index", "t_us", "score")
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = adapters.signal(spark, sf_dir)
+    a = own.where("label = 'click'").select("user_id", "sample_index", "t_us", F.col("change_score").alias("score"), F.array(F.lit("scene_cut")).alias("reasons"))
+    b = own.where("change_score >= 0.2").select("user_id", "sample_index", "t_us", (F.col("change_score") / 2).alias("score"), F.array(F.lit("adaptive_peak")).alias("reasons"))
+    return a.unionByName(b)
+
+
+CANDIDATES = ", c AS (SELECT user_id, sample_index, t_us, change_score AS score, 'scene_cut' AS reason FROM signal WHERE label = 'click' UNION ALL SELECT user_id, sample_index, t_us, change_score / 2, 'adaptive_peak' FROM signal WHERE change_score >= 0.2), g AS (SELECT user_id, sample_index, min(t_us) AS t_us, max(score) AS score, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM c GROUP BY 1, 2)"
+
+
+@query(sql("signal", "").rstrip() + CANDIDATES + " SELECT user_id, sample_index, t_us, score, reasons FROM g")
+def merge_candidates(spark, sf_dir):
+    return selectors.merge(_candidates(spark, sf_dir), ["user_id"]).select("user_id", "sample_index", "t_us", "score", F.array_join("reasons", ",").alias("reasons"))
+
+
+RANKED = CANDIDATES + ", k AS (SELECT *, min(t_us) OVER u AS a, max(t_us) OVER u AS b, count(*) OVER u AS n FROM g WINDOW u AS (PARTITION BY user_id))"
+
+
+@query(sql("signal", "").rstrip() + RANKED + """, f AS (SELECT *, row_number() OVER (PARTITION BY user_id, least(9, ((t_us - a) * 10) // greatest(1, b - a)) ORDER BY score DESC, t_us DESC, sample_index) = 1 AS first FROM k)
+ SELECT user_id, sample_index, n <= 10 OR row_number() OVER (PARTITION BY user_id ORDER BY first DESC, score DESC, t_us DESC, sample_index) <= 10 AS kept FROM f""")
+def temporal_cap(spark, sf_dir):
+    return selectors.cap(selectors.merge(_candidates(spark, sf_dir), ["user_id"]), ["user_id"], 10).select("user_id", "sample_index", "kept")
+
+
+@query(sql("signal", "").rstrip() + CANDIDATES + " SELECT user_id, arg_max(sample_index, (score, t_us)) AS sample_index FROM g GROUP BY 1")
+def priority_top1(spark, sf_dir):
+    own = selectors.merge(_candidates(spark, sf_dir), ["user_id"])
+    return own.groupBy("user_id").agg(F.max_by("sample_index", selectors.priority()).alias("sample_index"))
+
+
+def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.size("gray")
+    share = lambda f: F.size(F.filter("gray", f)) / n
+    return adapters.pixels(spark, sf_dir).select(
+        "label", "vec_id", "sample_index", (F.aggregate("gray", F.lit(0), lambda s, x: s + x) / n + 40).alias("mean_luma"), share(lambda x: x < 110).alias("dark_ratio"), share(lambda x: x > 140).alias("bright_ratio"),
+        (share(lambda x: x > 150)).alias("edge_density"), (share(lambda x: x > 160) / 4).alias("horizontal_line_ratio"), (share(lambda x: x < 90) / 4).alias("vertical_line_ratio"),
+    )
+
+
+@query(
+    sql("pixels", """, f AS (SELECT vec_id, list_sum(gray) / len(gray) + 40 AS luma, len(list_filter(gray, lambda x: x < 110)) / len(gray) AS dark, len(list_filter(gray, lambda x: x > 140)) / len(gray) AS bright, len(list_filter(gray, lambda x: x > 150)) / len(gray) AS edge, len(list_filter(gray, lambda x: x > 160)) / len(gray) / 4 AS h, len(list_filter(gray, lambda x: x < 90)) / len(gray) / 4 AS v FROM pixels)
+ SELECT vec_id, CASE WHEN dark >= 0.72 AND luma <= 100 THEN 'chart' WHEN luma >= 185 AND bright >= 0.30 AND h >= 0.008 AND edge >= 0.07 THEN 'table' WHEN luma >= 105 AND dark <= 0.60 AND h <= 0.012 AND edge <= 0.25 AND (bright <= 0.25 OR (h < 0.010 AND v < 0.008 AND edge <= 0.12 AND luma <= 235)) THEN 'presentation' ELSE 'unknown' END AS kind FROM f""").replace(") , f", "), f")
+)
+def route_classify(spark, sf_dir):
+    return routing.classify(_layout(spark, sf_dir)).select("vec_id", F.col("raw_kind").alias("kind"))
+
+
+@query()
+def content_segments(spark, sf_dir):
+    own = routing.classify(_layout(spark, sf_dir)).withColumn("t_us", F.col("sample_index") * 500_000)
+    return routing.content_segments(routing.smooth(own, ["label"], ["sample_index"], 2.0), ["label"], "sample_index", "t_us").select("label", "segment_id", "kind", "start_index", "stop_index", "start_us", "end_us", F.round("confidence", 6).alias("confidence"))
+
+
+def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of one label as clips of 50 frames, the last ten of them look-ahead."""
+    own = adapters.pixels(spark, sf_dir).withColumns({"clip": F.floor(F.col("sample_index") / 50), "t": F.col("sample_index") / 2.0})
+    return own.select("label", "clip", "sample_index", "t", F.lit(8).alias("h"), F.lit(8).alias("w"), F.unhex(F.array_join(F.transform("gray", lambda x: F.lpad(F.hex(x), 2, "0")), "")).alias("gray"), (F.col("sample_index") % 50 >= 40).alias("lookahead"))
+
+
+def _selected(name: str):
+    def run(spark, sf_dir):
+        return selectors.select_clips(_clips(spark, sf_dir), ["label", "clip"], name, 2.0).select("label", "clip", "sample_index", F.round("score", 6).alias("score"), F.array_join("reasons", ",").alias("reasons"))
+
+    run.__name__ = f"select_{name}"
+    return query()(run)
+
+
+for _name in selectors.STRATEGIES:
+    _selected(_name)
+
+
+@query()
+def dedup_window6(spark, sf_dir):
+    own = adapters.pixels(spark, sf_dir).select("label", "vec_id", "sample_index", (F.col("sample_index") / 2.0).alias("t"), "gray")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        rows = [{"sample_index": int(i), "vec_id": int(v), "t": float(t), "score": 0.1, "rank": 1, "reasons": ["sampled"], "img": np.array(g, np.uint8).reshape(8, 8)} for i, v, t, g in sorted(zip(part["sample_index"], part["vec_id"], part["t"], part["gray"]), key=lambda x: x[0])]
+        kept, _ = selectors.dedup_kept(rows, lambda a, b: px.frame_ssim(a["img"], b["img"]) >= 0.9)
+        return pd.DataFrame({"label": part["label"].iloc[0], "vec_id": [r["vec_id"] for r in kept], "sample_index": [r["sample_index"] for r in kept]})
+
+    return own.groupBy("label").applyInPandas(run, "label int, vec_id long, sample_index long")
+
+
+@query()
+def match_points(spark, sf_dir):
+    own = adapters.signal(spark, sf_dir).withColumn("t", F.col("t_us") / 1e6)
+    points = own.where("label = 'purchase'").select("user_id", F.col("event_id").alias("point_id"), "t", (F.col("t") - 1800).alias("low"), (F.col("t") + 1800).alias("high"))
+    return evaluate.match(points, own.where("label = 'click'").select("user_id", "t"), ["user_id"])
+
+
+@query()
+def selection_quality(spark, sf_dir):
+    own = adapters.signal(spark, sf_dir).withColumn("t", F.col("t_us") / 1e6)
+    found = own.where("label = 'click'").select("user_id", "t")
+    return evaluate.selection_quality(match_points(spark, sf_dir), found, ["user_id"])
+
+
+@query(sql("signal", "SELECT a.user_id, a.event_id AS window_id, count(b.event_id) AS selected, count(b.event_id) <= 1 AS ok FROM signal a LEFT JOIN signal b ON b.user_id = a.user_id AND b.label = 'click' AND b.t_us BETWEEN a.t_us AND a.t_us + 3600000000 WHERE a.label = 'purchase' GROUP BY 1, 2"))
+def duplicate_windows(spark, sf_dir):
+    own = adapters.signal(spark, sf_dir)
+    windows = own.where("label = 'purchase'").select("user_id", F.col("event_id").alias("window_id"), F.col("t_us").alias("start_us"), (F.col("t_us") + 3_600_000_000).alias("end_us"), F.lit(1).alias("most"))
+    return evaluate.duplicate_windows(windows, own.where("label = 'click'"), ["user_id"]).select("user_id", "window_id", "selected", "ok")
