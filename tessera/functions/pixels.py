@@ -36,7 +36,7 @@ def global_ssim(a: Column, b: Column) -> Column:
 
 def sign_hash(values: Column) -> Column:
     """64 sign bits of an array, the first value highest, as a signed long."""
-    return F.aggregate(F.slice(values, 1, 64), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(0) * 2 + (x > 0).cast("long"))
+    return F.aggregate(F.slice(values, 1, 64), F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR((x > 0).cast("long")))
 
 
 def hash_distance(a: Column, b: Column) -> Column:

@@ -56,15 +56,19 @@ def match(points: DataFrame, candidates: DataFrame, keys: Sequence[str]) -> Data
     """
 
     def run(key: tuple, p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(p):
+            return pd.DataFrame(columns=[*keys, "point_id", "t", "matched_t", "error"])
         p = p.sort_values(["t", "point_id"], kind="stable").reset_index(drop=True)
-        times = sorted(c["t"].tolist())
+        times = sorted(c["t"].tolist()) if len(c) else []
         got = dict(match_points(list(zip(p["t"], p["low"], p["high"])), times))
         p["matched_t"] = [times[got[i]] if i in got else np.nan for i in range(len(p))]
         p["error"] = (p["matched_t"] - p["t"]).abs()
         return p[[*keys, "point_id", "t", "matched_t", "error"]]
 
     schema = ", ".join([*(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys), f"point_id {points.schema['point_id'].dataType.simpleString()}", "t double, matched_t double, error double"])
-    out = points.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(run, schema)
+    # both sides may come of one table: columns of the same name would be taken for one another
+    other = candidates.select(*[F.col(c).alias(c) for c in [*keys, "t"]])
+    out = points.groupBy(*keys).cogroup(other.groupBy(*keys)).applyInPandas(run, schema)
     return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("matched_t", "error")})
 
 

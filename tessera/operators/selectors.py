@@ -362,13 +362,14 @@ def select_clips(frames: DataFrame, keys: Sequence[str], strategy: str | Column,
         images = [np.frombuffer(g, np.uint8).reshape(h, w) for g, h, w in zip(part["gray"], part["h"], part["w"])]
         inside = np.flatnonzero(~part["lookahead"].to_numpy(bool))
         if not len(inside):
-            return pd.DataFrame(columns=[*keys, "sample_index", "t", "score", "reasons"])
+            part = part.iloc[:0]
+            return pd.DataFrame({**{k: part[k] for k in keys}, "sample_index": pd.Series(dtype="int64"), "t": pd.Series(dtype="float64"), "score": pd.Series(dtype="float64"), "reasons": pd.Series(dtype=object)})
         name = part["_strategy"].iloc[0]
         got = STRATEGIES[name](Clip(part["t"].tolist(), images, fps, int(inside[-1])))
         if any(i > inside[-1] for i, _, _ in got) and name != "settled":
             raise RuntimeError("a selector emitted a look-ahead frame")
         got = [x for x in got if x[0] <= inside[-1]]
-        out = pd.DataFrame({"sample_index": [int(part["sample_index"][i]) for i, _, _ in got], "t": [float(part["t"][i]) for i, _, _ in got], "score": [float(s) for _, s, _ in got], "reasons": [r for _, _, r in got]})
+        out = pd.DataFrame({"sample_index": [int(part["sample_index"][i]) for i, _, _ in got], "t": [float(part["t"][i]) for i, _, _ in got], "score": [float(s) for _, s, _ in got], "reasons": pd.Series([r for _, _, r in got], dtype=object)})
         for k in keys:
             out[k] = part[k].iloc[0]
         return out[[*keys, "sample_index", "t", "score", "reasons"]]
