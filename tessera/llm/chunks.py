@@ -123,8 +123,8 @@ def dedup_chunks(docs: DataFrame, *extra: str, min_run: int = MIN_RUN) -> DataFr
     hits = rows.join(twice, ["h1", "h2"])
     spans = hits.groupBy("rk").agg(F.collect_list(F.struct("place", (F.col("low") == F.col("rk")).alias("own"), "h1", "h2")).alias("hits"))
     joined = keyed.join(spans, "rk", "left")
-    fields = {f.name: f.dataType.simpleString() for f in keyed.schema}
-    schema = ", ".join(["doc_id long", "text string", "n_bytes long", "n_removed long", "n_spans long", *(f"`{c}` {fields[c]}" for c in extra)])
+    rest = ["extra"] if extra else []
+    schema = ", ".join(["doc_id long", "text string", "n_bytes long", "n_removed long", "n_spans long", *(f"extra {keyed.schema[c].dataType.simpleString()}" for c in rest)])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in text.steps(batches, "text"):
@@ -148,10 +148,11 @@ def dedup_chunks(docs: DataFrame, *extra: str, min_run: int = MIN_RUN) -> DataFr
                 count.append(len(cuts))
             null = part.column("text").is_null().to_numpy(zero_copy_only=False)
             texts = pa.array([None if z else k.decode("utf-8", "replace") for z, k in zip(null, kept)], pa.string())
-            columns = [part.column("doc_id"), texts, pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), *(part.column(c) for c in extra)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_bytes", "n_removed", "n_spans", *extra])
+            columns = [part.column("doc_id"), texts, pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), *(part.column(c) for c in rest)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_bytes", "n_removed", "n_spans", *rest])
 
-    return joined.select("doc_id", "text", "hits", *extra).mapInArrow(apply, schema)
+    out = joined.select("doc_id", "text", "hits", *rest).mapInArrow(apply, schema)
+    return frames.unpacked(out, ["doc_id", "text", "n_bytes", "n_removed", "n_spans"], extra)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

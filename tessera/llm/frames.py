@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,8 +36,14 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write a step as Parquet in the shared folder and read it back: lineage ends there."""
+    """Write a step as Parquet in the shared folder and read it back: lineage ends there.
+
+    Shuffle files of steps before it go as soon as the driver collects its garbage, which is
+    asked for here: on a driver with a large heap they would else stay for the whole job.
+    """
     spark = df.sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     path = f"{scratch_root(spark)}/{name}"
     schema = df.schema
     df.write.parquet(path)
@@ -49,28 +56,32 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+#: Edges that one task of components() takes.
+EDGES = 200_000
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) long pairs: rows (node, root), root the least node reached.
 
-    Alternating large-star and small-star steps. Every step is an aggregate with map-side
-    combine and an equi-join that adaptive execution can split, so that a hub is no hot task.
-    Nodes without an edge to another node are not returned.
+    Alternating large-star and small-star steps until every component is a star. Every step is
+    an aggregate with map-side combine and an equi-join that adaptive execution can split, so
+    that a hub is no hot task. Nodes without an edge to another node are not returned.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    tasks = max(4, -(-e.count() // EDGES))
     for _ in range(rounds):
+        roles = e.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("x")).select("x.*")
+        roles = roles.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)")
+        if not roles.coalesce(tasks).limit(1).count():
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = cut(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks), "large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(
             F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")
         ).select("x.*").where("a <> b").distinct()
-        e = cut(small, "stars")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before = now
+        e = cut(small.coalesce(tasks), "stars")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
@@ -92,18 +103,24 @@ def tiles(df: DataFrame, key: str, ident: str, cap: int) -> DataFrame:
 
 
 def keyed(docs: DataFrame, *extra: str) -> DataFrame:
-    """(rk, doc_id, text, extra...): rk is a unique long that orders rows as doc_id does.
+    """(rk, doc_id, text, extra): rk is a unique long that orders rows as doc_id does; extra, where
+    columns are named, is a struct of them, so that their names clash with none of an operator's.
 
     rk is doc_id itself where every doc_id occurs once. A table with null or repeated ids is
     sorted by (doc_id, text), nulls first, and numbered in that order.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*extra).alias("extra")] if extra else []))
     if not own.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
         return own.select(F.col("doc_id").alias("rk"), "*")
     ranked = own.orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     return cut(ranked.select(F.monotonically_increasing_id().alias("rk"), "*"), "keyed")
 
 
+def unpacked(df: DataFrame, columns: list[str], extra: tuple[str, ...] | list[str]) -> DataFrame:
+    """The columns named, and those of the struct `extra` that keyed() made."""
+    return df.select(*columns, *[F.col("extra").getField(c).alias(c) for c in extra])
+
+
 #: Bits of the largest filter that bit_filter makes (32 MB).
 FILTER_BITS = 28
 

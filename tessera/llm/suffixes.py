@@ -75,7 +75,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
         rows.append(row[first])
         starts.append(place[first])
         ends.append(place[last] + length)
-        anchors.append(hashes[at[first]])
+        anchors.append(text.mix(hashes[at[first]]))  # least hashes are all small; mixed they fill a filter evenly
     if not rows:
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, U)
@@ -240,8 +240,8 @@ def remove_repeats(docs: DataFrame, *extra: str, length: int = LENGTH, gram: int
     """(doc_id, n_bytes, n_removed, n_spans, kept, extra...): kept is the bytes that are left."""
     keyed = frames.keyed(docs, *extra)
     spans = repeated_spans(keyed, length, gram, cap).groupBy("rk").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    fields = {f.name: f.dataType.simpleString() for f in keyed.schema}
-    schema = ", ".join(["doc_id long", "n_bytes long", "n_removed long", "n_spans long", "kept binary", *(f"`{c}` {fields[c]}" for c in extra)])
+    rest = ["extra"] if extra else []
+    schema = ", ".join(["doc_id long", "n_bytes long", "n_removed long", "n_spans long", "kept binary", *(f"extra {keyed.schema[c].dataType.simpleString()}" for c in rest)])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in text.steps(batches, "text"):
@@ -262,11 +262,12 @@ def remove_repeats(docs: DataFrame, *extra: str, length: int = LENGTH, gram: int
                 removed.append(int(gone.sum()))
                 count.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary()), *(part.column(c) for c in extra)],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *extra],
+                [part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary()), *(part.column(c) for c in rest)],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *rest],
             )
 
-    return keyed.join(spans, "rk", "left").select("doc_id", "text", "spans", *extra).mapInArrow(apply, schema)
+    out = keyed.join(spans, "rk", "left").select("doc_id", "text", "spans", *rest).mapInArrow(apply, schema)
+    return frames.unpacked(out, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"], extra)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
