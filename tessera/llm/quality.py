@@ -30,7 +30,7 @@ from . import frames, text
 BITS = 17
 DIM = 1 << BITS
 #: Labelled rows that the model is fitted on, at most.
-SAMPLE = 12_000
+SAMPLE = 8_000
 COST, EPOCHS, SMOOTH = 1.0, 12, 1.0
 THRESHOLD = 0.3
 
@@ -78,8 +78,7 @@ def descend(places: list[np.ndarray], y: np.ndarray, r: np.ndarray, cost: float,
     """Dual coordinate descent for the hinge loss over unit vectors r[places] / norm, with a bias term of one."""
     w, bias = np.zeros(len(r)), 0.0
     alpha = np.zeros(len(y))
-    x = [r[p] for p in places]
-    x = [v / max(1e-12, float(np.sqrt(v @ v))) for v in x]
+    x = [(v / max(1e-12, float(np.sqrt(v @ v)))).astype(np.float32) for v in (r[p] for p in places)]
     q = np.array([float(v @ v) + 1 for v in x])
     # each class has half of the cost
     top = cost * np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
@@ -130,7 +129,10 @@ def fit(places: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Svm:
         return model
 
     def ratios(which: np.ndarray) -> np.ndarray:
-        counts = [np.bincount(np.concatenate([places[i] for i in which if y[i] == s] or [np.zeros(0, np.int64)]), minlength=DIM) + SMOOTH for s in (1, -1)]
+        counts = {1: np.full(DIM, SMOOTH), -1: np.full(DIM, SMOOTH)}
+        for i in which:
+            counts[int(y[i])][places[i]] += 1
+        counts = [counts[1], counts[-1]]
         return np.log((counts[0] / counts[0].sum()) / (counts[1] / counts[1].sum()))
 
     rng = np.random.default_rng(seed)
@@ -178,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Svm:
 
     got = docs.join(F.broadcast(some), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, places binary").toArrow()  # at most `sample` labels
     got = got.sort_by([("doc_id", "ascending"), ("quality", "ascending")])
-    places = [np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in got.column("places")]
+    places = [np.frombuffer(x.as_buffer(), "<u4") for x in got.column("places")]
     y = np.where(np.array(got.column("quality").to_pylist(), np.int64) == 1, 1, -1)
     model = fit(places, y)
     # scores speak of the labels' own shares, not of the sample's
