@@ -1,10 +1,12 @@
 """Operator 8: near-duplicate embeddings by a forest of random-projection trees.
 
 1. Equal vectors are one class with a weight; only classes are indexed and compared.
-2. TREES trees split the unit sphere again and again by random hyperplanes at the median of a
-   bounded sample (SAMPLE vectors); a vector within SPILL of a split goes to both sides. Every
-   class is routed through every tree. The number of levels follows the number of classes, so
-   that leaves keep about LEAF classes.
+2. Trees split the unit sphere again and again by random hyperplanes at the median of a bounded
+   sample (SAMPLE vectors); a vector close to a split (SPILL standard deviations of a random
+   projection) goes to both sides. Every class is routed through every tree. The number of
+   levels follows the number of classes, so that leaves keep about LEAF classes, and the number
+   of trees follows from the levels, so that the expected share of missed links at the cosine
+   threshold itself stays below MISS (closer pairs are missed far less often).
 3. Each leaf is compared by one matrix product in double precision; a leaf of more than CAP
    classes is dealt into tiles. A pair that an earlier tree's leaf (or an earlier leaf) already
    holds is not counted again: each class carries the names of its leaves, so no pairs are
@@ -21,6 +23,7 @@ every other. Tables without vectors give no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +33,25 @@ from pyspark.sql import functions as F
 
 from . import frames
 
-TREES, SPILL, LEAF, SAMPLE, CAP = 10, 0.03, 400, 32_768, 3000
+SPILL, LEAF, SAMPLE, CAP = 0.12, 400, 32_768, 3000
+MISS = 0.002
 COSINE = 0.9
 
 
+def trees_for(levels: int, cosine: float, spill: float, miss: float) -> int:
+    """How many trees hold a pair at the threshold in a common leaf but for a share of `miss`.
+
+    In units of a random projection's standard deviation, the pair's projections differ by a
+    normal variable of deviation sqrt(2 - 2 cosine); a split of density 0.4 parts them where it
+    falls between them and farther than spill from both.
+    """
+    sd = max(1e-9, (2 - 2 * cosine) ** 0.5)
+    z = 2 * spill / sd
+    over = 2 * sd * (math.exp(-z * z / 2) / math.sqrt(2 * math.pi) - z * 0.5 * math.erfc(z / math.sqrt(2)))
+    stay = max(1e-3, 1 - 0.4 * over) ** levels
+    return 2 if stay >= 1 - miss else max(2, math.ceil(math.log(miss) / math.log(1 - stay)))
+
+
 class Forest:
     """Trees as arrays: node i has the children 2 i + 1 and 2 i + 2."""
 
@@ -111,7 +129,7 @@ def leaf_links(unit: np.ndarray, sid: np.ndarray, codes: list[np.ndarray], own:
     return counts, tree
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, spill: float = SPILL, leaf: int = LEAF, sample: int = SAMPLE, cap: int = CAP, seed: int = 7) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, spill: float = SPILL, leaf: int = LEAF, miss: float = MISS, sample: int = SAMPLE, cap: int = CAP, seed: int = 7) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors(vec_id, embedding)."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -136,7 +154,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES,
     for k, (dim, n) in enumerate(sorted(sizes.items())):
         got = points.where(F.col("dim") == dim).where(F.pmod(F.col("sid"), F.lit(max(1, -(-n // sample)))) == 0).select("unit").limit(2 * sample).toArrow()
         levels = int(np.ceil(np.log2(max(1, n / leaf))))
-        forests[dim] = (k, Forest(matrix(got.column("unit")), levels, trees, seed, spill))
+        trees = trees_for(levels, cosine, spill, miss)
+        forests[dim] = (k, Forest(matrix(got.column("unit")), levels, trees, seed, spill / dim**0.5))
     held = spark.sparkContext.broadcast(forests)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +165,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES,
                 own = part.take(pa.array(np.flatnonzero(dims == dim)))
                 k, forest = held.value[int(dim)]
                 x, width = matrix(own.column("unit")), 1 << forest.levels
-                row, name = (np.concatenate(y) for y in zip(*((r, (k * trees + t) * width + leaf) for t in range(trees) for r, leaf in [forest.leaves(t, x)])))
+                row, name = (np.concatenate(y) for y in zip(*((r, t * width + leaf) for t in range(len(forest.planes)) for r, leaf in [forest.leaves(t, x)])))
                 order = np.lexsort((name, row))
                 row, name = row[order], name[order] | np.int64(k) << 48
                 at = np.searchsorted(row, np.arange(len(x) + 1))

@@ -32,7 +32,9 @@ INDEX_MAGIC = b"TSRMPH01"
 #: Keys of one index file, about.
 INDEX_KEYS = 500_000
 #: Words whose ids a worker remembers.
-MEMORY = 400_000
+MEMORY = 800_000
+#: Marks that end words. A letter followed by such a run is always a split of the tokenizer's.
+ENDS = ",.!?;:%#&*$|)"
 SLOT = np.dtype([("mark", "<u4"), ("shard", "<u4"), ("start", "<u8"), ("n", "<u4")])
 _encoders: dict = {}
 
@@ -56,6 +58,14 @@ def write_whole(folder: str, name: str, parts: Iterator[bytes]) -> None:
     fs.move(own, f"{path}/{name}")
 
 
+def halves(word: str) -> tuple[str, str]:
+    """A word of Latin letters in lower case (as the tokenizer makes it) and the marks that end it, or the word as it is."""
+    core = word.rstrip(ENDS)
+    if core.isalpha() and max(core) < "\u0130":
+        return core.lower(), word[len(core) :]
+    return word, ""
+
+
 class Encoder:
     """Ids of whole texts. A text's ids are those of its words in turn, since the tokenizer's
     splits never reach over white space; words are encoded by the library once and remembered."""
@@ -73,11 +83,14 @@ class Encoder:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > MEMORY:
             self.known = {}
-        new = list(set().union(*split) - self.known.keys())
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
+        new = {w: halves(w) for w in set().union(*split) - self.known.keys()}
+        unknown = list({x for pair in new.values() for x in pair} - self.known.keys())
+        for a in range(0, len(unknown), 4096):
+            part = unknown[a : a + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.known[w] = np.array(e.ids, self.kind).tobytes()
+        for w, (a, b) in new.items():
+            self.known[w] = self.known[a] + self.known[b]
         get = self.known.__getitem__
         return [b"".join(map(get, words)) + tail for words in split]
 
