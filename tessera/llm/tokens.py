@@ -32,7 +32,7 @@ INDEX_MAGIC = b"TSRMPH01"
 #: Keys of one index file, about.
 INDEX_KEYS = 500_000
 #: Words whose ids a worker remembers.
-MEMORY = 800_000
+MEMORY = 1_200_000
 #: Marks that end words. A letter followed by such a run is always a split of the tokenizer's.
 ENDS = ",.!?;:%#&*$|)"
 SLOT = np.dtype([("mark", "<u4"), ("shard", "<u4"), ("start", "<u8"), ("n", "<u4")])
