@@ -1,12 +1,18 @@
 """Operator 8: near-duplicate embeddings by a forest of random-projection trees.
 
 1. Equal vectors are one class with a weight; only classes are indexed and compared.
-2. Trees split the unit sphere again and again by random hyperplanes at the median of a bounded
-   sample (SAMPLE vectors); a vector close to a split (SPILL standard deviations of a random
-   projection) goes to both sides. Every class is routed through every tree. The number of
-   levels follows the number of classes, so that leaves keep about LEAF classes, and the number
-   of trees follows from the levels, so that the expected share of missed links at the cosine
-   threshold itself stays below MISS (closer pairs are missed far less often).
+2. Trees split the unit sphere again and again by random hyperplanes; a vector close to a split
+   (SPILL standard deviations of a random projection, or more) goes to both sides. Every class
+   is routed through every tree. The number of levels follows the number of classes, so that
+   leaves keep about LEAF classes, and the number of trees follows from the levels, so that the
+   expected share of missed links at the cosine threshold itself stays below MISS (closer pairs
+   are missed far less often). That holds for splits of density DENSITY, so the density at each
+   split is measured in a bounded sample (SAMPLE vectors): where it is higher, as in a group of
+   near copies, the spill of that node is widened to part as few pairs. A node where no split
+   leaves at most SHRINK of it on each side is a leaf, whatever its size: the pairs of a large
+   group of near copies are links, and are compared and counted. Trees are added, up to TREES,
+   until the near pairs within PAIRS sampled vectors are held but for a share of MISS. Nodes with
+   fewer than 16 sampled vectors are too small to measure and take SPILL as it is.
 3. Each leaf is compared by one matrix product in double precision; a leaf of more than CAP
    classes is dealt into tiles. A pair that an earlier tree's leaf (or an earlier leaf) already
    holds is not counted again: each class carries the names of its leaves, so no pairs are
@@ -33,60 +39,110 @@ from pyspark.sql import functions as F
 
 from . import frames
 
-SPILL, LEAF, SAMPLE, CAP = 0.12, 400, 32_768, 3000
+SPILL, LEAF, SAMPLE, CAP = 0.24, 400, 32_768, 3000
 MISS = 0.002
 COSINE = 0.9
+DENSITY, SHRINK, TREES, PAIRS = 0.4, 0.8, 40, 2048
+
+
+def parted(spill: float, sd: float) -> float:
+    """The mean length by which a normal difference of deviation sd exceeds a spill on both sides."""
+    z = 2 * spill / sd
+    return 2 * sd * (math.exp(-z * z / 2) / math.sqrt(2 * math.pi) - z * 0.5 * math.erfc(z / math.sqrt(2)))
 
 
 def trees_for(levels: int, cosine: float, spill: float, miss: float) -> int:
     """How many trees hold a pair at the threshold in a common leaf but for a share of `miss`.
 
     In units of a random projection's standard deviation, the pair's projections differ by a
-    normal variable of deviation sqrt(2 - 2 cosine); a split of density 0.4 parts them where it
-    falls between them and farther than spill from both.
+    normal variable of deviation sqrt(2 - 2 cosine); a split of density DENSITY parts them where
+    it falls between them and farther than spill from both.
     """
     sd = max(1e-9, (2 - 2 * cosine) ** 0.5)
-    z = 2 * spill / sd
-    over = 2 * sd * (math.exp(-z * z / 2) / math.sqrt(2 * math.pi) - z * 0.5 * math.erfc(z / math.sqrt(2)))
-    stay = max(1e-3, 1 - 0.4 * over) ** levels
+    stay = max(1e-3, 1 - DENSITY * parted(spill, sd)) ** levels
     return 2 if stay >= 1 - miss else max(2, math.ceil(math.log(miss) / math.log(1 - stay)))
 
 
 class Forest:
-    """Trees as arrays: node i has the children 2 i + 1 and 2 i + 2."""
+    """Trees as arrays: node i has the children 2 i + 1 and 2 i + 2; a leaf's spill is infinite."""
 
-    def __init__(self, sample: np.ndarray, levels: int, trees: int, seed: int, spill: float):
+    def __init__(self, sample: np.ndarray, rows: int, leaf: int, cosine: float, spill: float, miss: float, seed: int):
         rng = np.random.default_rng(seed)
         size = sample.shape[1] if sample.size else 1
-        self.levels, self.spill = levels, spill
-        self.planes = rng.standard_normal((trees, levels, size))
-        self.planes /= np.linalg.norm(self.planes, axis=2, keepdims=True)
-        # a hyperplane for each level of a tree, a threshold for each node
-        self.cuts = np.zeros((trees, (1 << levels) - 1))
-        for t in range(trees):
-            if not len(sample):
-                continue
-            side = sample @ self.planes[t].T
-            node = np.zeros(len(sample), np.int64)
-            for level in range(levels):
-                first = (1 << level) - 1
-                for i in range(first, 2 * first + 1):
-                    own = side[node == i, level]
-                    if len(own) >= 8:
-                        self.cuts[t, i] = np.median(own)
-                node = 2 * node + 1 + (side[:, level] > self.cuts[t, node])
+        self.levels = int(np.ceil(np.log2(max(1, rows / leaf))))
+        self.unit = size**-0.5
+        self.sd = max(1e-9, (2 - 2 * cosine) ** 0.5)
+        # spills, and the densities at which they part as many pairs as `spill` at DENSITY
+        self.steps = spill + np.arange(0, 64) / 16 * self.sd
+        self.bears = np.array([DENSITY * parted(spill, self.sd) / max(1e-300, parted(w, self.sd)) for w in self.steps])
+        self.planes, self.cuts, self.spills = [], [], []
+        some = sample[:PAIRS]
+        missed = np.triu(some @ some.T >= cosine, 1) if len(some) else np.zeros((0, 0), bool)
+        allowed, least = miss * missed.sum(), trees_for(self.levels, cosine, spill, miss)
+        while len(self.planes) < least or missed.sum() > allowed and len(self.planes) < TREES:
+            planes = rng.standard_normal((self.levels, size))
+            # a hyperplane for each level of a tree, a threshold and a spill for each node
+            self.planes.append(planes / np.linalg.norm(planes, axis=1, keepdims=True))
+            self.grow(sample, leaf * len(sample) / max(1, rows))
+            row, node = self.leaves(len(self.planes) - 1, some)
+            _, node = np.unique(node, return_inverse=True)
+            held = np.zeros((len(some), 1 + node.max(initial=0)), np.float32)
+            held[row, node] = 1
+            missed &= held @ held.T == 0
+
+    def grow(self, sample: np.ndarray, least: float) -> None:
+        """Cuts and spills of the last tree; nodes of up to `least` sampled vectors are leaves."""
+        cuts, spills = np.zeros((1 << self.levels) - 1), np.full((1 << self.levels) - 1, np.inf)
+        side = sample @ self.planes[-1].T / self.unit
+        row, node = np.arange(len(sample)), np.zeros(len(sample), np.int64)
+        for level in range(self.levels):
+            order = np.argsort(node, kind="stable")
+            row, node = row[order], node[order]
+            first, start = np.unique(node, return_index=True)
+            for i, own in zip(first.tolist(), np.split(side[row, level], start[1:])):
+                if len(own) > least:
+                    cuts[i], spills[i] = self.split(np.sort(own))
+            # places that the sample does not reach
+            empty = np.setdiff1d(np.arange((1 << level) - 1, (2 << level) - 1), first)
+            spills[empty] = self.steps[0]
+            row, node = self.step(side[row, level], row, node, cuts, spills)[:2]
+        self.cuts.append(cuts)
+        self.spills.append(spills)
+
+    def split(self, own: np.ndarray) -> tuple[float, float]:
+        """(cut, spill) of a node from its sorted projections; the spill is infinite without a good cut."""
+        n = len(own)
+        if n < 16:
+            return float(np.median(own)) if n >= 8 else 0.0, self.steps[0]
+        at = np.quantile(own, np.linspace(0.25, 0.75, 17) if n >= 64 else [0.5])
+        within = np.searchsorted(own, at + self.sd / 2, "right") - np.searchsorted(own, at - self.sd / 2, "left")
+        k = np.searchsorted(self.bears, within / (n * self.sd))
+        wide = self.steps[np.minimum(k, len(self.steps) - 1)]
+        share = np.maximum(np.searchsorted(own, at + wide, "right"), n - np.searchsorted(own, at - wide, "left")) / n
+        best = int(share.argmin())
+        return float(at[best]), float(wide[best]) if share[best] <= SHRINK else np.inf
+
+    @staticmethod
+    def step(side: np.ndarray, row: np.ndarray, node: np.ndarray, cuts: np.ndarray, spills: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, node) one level down, and those that are in a leaf."""
+        spill = spills[node]
+        end = np.isinf(spill)
+        d = side - cuts[node]
+        both = np.abs(d) <= spill
+        right = ((d > 0) | both) & ~end
+        left = ((d <= 0) | both) & ~end
+        return np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left] + 1, 2 * node[right] + 2]), row[end], node[end]
 
     def leaves(self, t: int, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of each vector in tree t; a row near a cut has more than one."""
-        side = unit @ self.planes[t].T
+        side = unit @ self.planes[t].T / self.unit
         row, node = np.arange(len(unit)), np.zeros(len(unit), np.int64)
+        out = []
         for level in range(self.levels):
-            d = side[row, level] - self.cuts[t, node]
-            both = np.abs(d) <= self.spill
-            right = (d > 0) | both
-            left = (d <= 0) | both
-            row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
-        return row, node - ((1 << self.levels) - 1)
+            row, node, *ended = self.step(side[row, level], row, node, self.cuts[t], self.spills[t])
+            out.append(ended)
+        rows, nodes = zip(*out, (row, node))
+        return np.concatenate(rows), np.concatenate(nodes)
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -108,12 +164,6 @@ def leaf_links(unit: np.ndarray, sid: np.ndarray, codes: list[np.ndarray], own:
     incidence[np.repeat(np.arange(n), [len(c) for c in earlier]), flat] = 1
     counts, tree, root = np.zeros(n, np.int64), [], np.arange(n)
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
     for a in range(0, n, 512):
         near = unit[a : a + 512] @ unit.T >= cosine
         near &= incidence[a : a + 512] @ incidence.T == 0
@@ -121,11 +171,13 @@ def leaf_links(unit: np.ndarray, sid: np.ndarray, codes: list[np.ndarray], own:
         if side is not None:
             near &= side[a : a + 512, None] != side[None, :]
         counts[a : a + near.shape[0]] = near @ weight
-        for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
-            x, y = find(a + i), find(j)
-            if x != y:
-                root[x] = y
-                tree.append((a + i, j))
+        for i in np.flatnonzero(near.any(1)).tolist():
+            to = np.flatnonzero(near[i])
+            if (root[to] == root[a + i]).all():
+                continue
+            others, first = np.unique(root[to], return_index=True)
+            tree += [(a + i, int(to[j])) for x, j in zip(others, first) if x != root[a + i]]
+            root[np.isin(root, others)] = root[a + i]
     return counts, tree
 
 
@@ -153,9 +205,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, spill: float = SPIL
     forests = {}
     for k, (dim, n) in enumerate(sorted(sizes.items())):
         got = points.where(F.col("dim") == dim).where(F.pmod(F.col("sid"), F.lit(max(1, -(-n // sample)))) == 0).select("unit").limit(2 * sample).toArrow()
-        levels = int(np.ceil(np.log2(max(1, n / leaf))))
-        trees = trees_for(levels, cosine, spill, miss)
-        forests[dim] = (k, Forest(matrix(got.column("unit")), levels, trees, seed, spill / dim**0.5))
+        forests[dim] = (k, Forest(matrix(got.column("unit")), n, leaf, cosine, spill, miss, seed))
     held = spark.sparkContext.broadcast(forests)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +214,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, spill: float = SPIL
             for dim in np.unique(dims):
                 own = part.take(pa.array(np.flatnonzero(dims == dim)))
                 k, forest = held.value[int(dim)]
-                x, width = matrix(own.column("unit")), 1 << forest.levels
+                x, width = matrix(own.column("unit")), 2 << forest.levels
                 row, name = (np.concatenate(y) for y in zip(*((r, t * width + leaf) for t in range(len(forest.planes)) for r, leaf in [forest.leaves(t, x)])))
                 order = np.lexsort((name, row))
                 row, name = row[order], name[order] | np.int64(k) << 48

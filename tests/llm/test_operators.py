@@ -225,6 +225,22 @@ def test_forest(spark, cap):
     assert forest.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_forest_keeps_links_of_a_hot_group(spark):
+    rng = np.random.default_rng(6)
+    n, hot = 3000, 1000
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own = x[:hot] - np.outer(x[:hot] @ x[-1], x[-1])
+    share = rng.uniform(0.9, 0.95, (hot, 1)) ** 0.5  # distinct vectors, cosine about 0.9 to 0.95
+    x[:hot] = share * x[-1] + (1 - share**2) ** 0.5 * own / np.linalg.norm(own, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in forest.near_vectors(rows, leaf=50).collect()}  # six levels
+    near = (x @ x.T >= 0.9).sum(1) - 1
+    assert all(got[i].n_links <= near[i] for i in range(n))
+    assert sum(got[i].n_links for i in range(n)) >= 0.998 * near.sum() > 500_000
+    assert all(got[i].component_id == 0 for i in range(hot))
+
+
 def test_containment(spark, docs, empty):
     items = spark.createDataFrame([(1, corpus()[0][1]), (2, None), (3, ""), (4, "a b"), (5, corpus()[0][1]), (6, "never seen words in any of them")], "item_id long, text string")
     got = sorted((str(x.doc_id), x.item_id) for x in contain.contained(docs, items).collect())
