@@ -205,6 +205,18 @@ def test_jaccard(docs, cap):
     assert sorted(((str(x.doc_id), x.n_shingles, x.component_id) for x in got), key=str) == sorted(brute_jaccard([(d, t) for d, t, *_ in corpus()]), key=str)
 
 
+def test_jaccard_links_rows_without_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    line = lambda *changed: " ".join(f"x{i}" if i in changed else w for i, w in enumerate(words))
+    other = " ".join(f"o{i}" for i in range(40))
+    # the null row of 5 is a near copy; 8 and 9 are linked by a null row only; the last two have no id at all
+    rows = [(5, other), (None, other + " tail"), (9, line(0)), (None, line(0, 58)), (8, line(0, 58, 30)), (None, "q " * 30 + other[:9]), (None, "q " * 30 + other[:9] + " z")]
+    want = brute_jaccard(rows)
+    assert ("None", 37, 5) in want and all(c == 8 for d, _, c in want if d in ("8", "9"))
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((str(x.doc_id), x.n_shingles, x.component_id) for x in got), key=str) == sorted(want, key=str)
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
