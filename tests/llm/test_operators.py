@@ -217,6 +217,17 @@ def test_jaccard_links_rows_without_id(spark):
     assert sorted(((str(x.doc_id), x.n_shingles, x.component_id) for x in got), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("cap", [1500, 3])
+def test_jaccard_counts_links(docs, cap):
+    rows = [(d, t) for d, t, *_ in corpus()]
+    sets = [plain_set(t) for _, t in rows]
+    near = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    want = [(str(d), len(s), sum(near(s, x) for x in sets) - bool(s)) for (d, _), s in zip(rows, sets)]
+    got = jaccard.jaccard_components(docs, cap=cap, count=True).collect()
+    assert sorted((str(x.doc_id), x.n_shingles, x.n_links) for x in got) == sorted(want)
+    assert sorted(((str(x.doc_id), x.n_shingles, x.component_id) for x in got), key=str) == sorted(brute_jaccard(rows), key=str)
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
