@@ -1,13 +1,14 @@
 """Operator 2: substring de-duplication by content-defined chunks.
 
 A gear hash rolls over the bytes of a text; a chunk ends where its top bits are zero, between
-LEAST and MOST bytes. The end depends on the last 16 bytes only, so that an insertion moves no
-chunk ends but those near it. A chunk is a repeat if a chunk with the same 128-bit digest stands
-earlier (smaller doc_id, or same document and earlier start). Runs of repeats of at least
-min_run bytes are cut out; shorter ones stay, as chance repeats of common words do.
+LEAST and MOST bytes; a tail of fewer than LEAST bytes belongs to the last chunk. The end depends
+on the last 16 bytes only, so that an insertion moves no chunk ends but those near it. A chunk is
+a repeat if a chunk with the same 128-bit digest stands earlier (smaller doc_id, or same document
+and earlier start), and is cut out.
 
 The first pass shuffles one combined row for each digest and task, the second one row for each
-chunk, so that a passage in a third of all documents makes no large group.
+chunk; the rows of a digest that stands in a large share of all documents are dealt over many
+tasks.
 
 Defined results: a null text stays null and an empty one empty, with nothing removed. Rows with
 a null or repeated doc_id count in (doc_id, text) order. Bytes that a cut through a character
@@ -26,10 +27,9 @@ from pyspark.sql import functions as F
 
 from . import frames, text
 
-LEAST, MOST, BITS = 16, 256, 5
-MIN_RUN = 80
+LEAST, MOST, BITS = 32, 256, 4
 GEAR = (text.BYTE_CODE >> np.uint64(40)).astype(np.uint16)
-#: Bits 11 to 15 of the 16-bit gear hash, which the last 16 bytes decide.
+#: The top bits of the 16-bit gear hash, which the last 16 bytes decide.
 TOP = np.uint16(((1 << BITS) - 1) << (16 - BITS))
 
 
@@ -61,7 +61,7 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
                 last += MOST
                 ends.append(last)
             if last < b:
-                ends.append(b)
+                ends[-1 if ends and b - last < LEAST else len(ends) :] = [b]
         out.append(ends)
     return out
 
@@ -89,7 +89,7 @@ def chunk_rows(keyed: DataFrame) -> DataFrame:
     return keyed.select("rk", "text").mapInArrow(run, "h1 long, h2 long, rk long, place long")
 
 
-def runs(places: np.ndarray, own: np.ndarray, digests: list, size: int, min_run: int) -> list[tuple[int, int]]:
+def runs(places: np.ndarray, own: np.ndarray, digests: list) -> list[tuple[int, int]]:
     """The spans to cut of one document, of its chunks whose digest also occurs elsewhere or twice here."""
     order = np.argsort(places, kind="stable")
     seen: set = set()
@@ -103,7 +103,7 @@ def runs(places: np.ndarray, own: np.ndarray, digests: list, size: int, min_run:
             out[-1] = (out[-1][0], a + n)
         else:
             out.append((a, a + n))
-    return [(a, b) for a, b in out if b - a >= min_run]
+    return out
 
 
 def whole_characters(data: bytes, a: int, b: int) -> tuple[int, int]:
@@ -115,12 +115,12 @@ def whole_characters(data: bytes, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def dedup_chunks(docs: DataFrame, *extra: str, min_run: int = MIN_RUN) -> DataFrame:
+def dedup_chunks(docs: DataFrame, *extra: str) -> DataFrame:
     """(doc_id, text, n_bytes, n_removed, n_spans, extra...): text is what is left."""
     keyed = frames.keyed(docs, *extra)
     rows = chunk_rows(keyed)
-    twice = rows.groupBy("h1", "h2").agg(F.min("rk").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = rows.join(twice, ["h1", "h2"])
+    twice = rows.groupBy("h1", "h2").agg(F.min("rk").alias("low"), F.count("*").alias("n")).where("n > 1")
+    hits = frames.spread_join(rows, frames.cut(twice, "twice"), ["h1", "h2"], ["rk", "place"])
     spans = hits.groupBy("rk").agg(F.collect_list(F.struct("place", (F.col("low") == F.col("rk")).alias("own"), "h1", "h2")).alias("hits"))
     joined = keyed.join(spans, "rk", "left")
     rest = ["extra"] if extra else []
@@ -136,7 +136,7 @@ def dedup_chunks(docs: DataFrame, *extra: str, min_run: int = MIN_RUN) -> DataFr
                 cuts = []
                 if got is not None and len(got):
                     h1, h2 = got.field("h1").to_numpy(), got.field("h2").to_numpy()
-                    spans = runs(got.field("place").to_numpy(), got.field("own").to_numpy(zero_copy_only=False), list(zip(h1.tolist(), h2.tolist())), len(own), min_run)
+                    spans = runs(got.field("place").to_numpy(), got.field("own").to_numpy(zero_copy_only=False), list(zip(h1.tolist(), h2.tolist())))
                     cuts = [x for x in (whole_characters(own, a, b) for a, b in spans) if x[0] < x[1]]
                 at, left = 0, []
                 for a, b in cuts:

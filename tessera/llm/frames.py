@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -21,33 +24,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
+#: Scratch folders of local sessions without spark.checkpoint.dir, by application.
+_local: dict[str, str] = {}
+_collected = 0.0
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The one folder of this application below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (local tests) a temporary folder is made and set.
+    Where the setting is absent (local tests) it is a temporary folder that goes when Python ends.
     """
+    name = f"tessera-{spark.sparkContext.applicationId}"
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+        if name not in _local:
+            _local[name] = tempfile.mkdtemp(prefix="tessera-")
+            atexit.register(shutil.rmtree, _local[name], ignore_errors=True)
+        root = f"file://{_local[name]}"
+    return f"{root.rstrip('/')}/{name}"
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """A new folder in that of this application."""
+    return f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all that the operators wrote for this application; call it when their results are used."""
+    remove(spark, scratch_folder(spark))
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write a step as Parquet in the shared folder and read it back: lineage ends there.
 
     Shuffle files of steps before it go as soon as the driver collects its garbage, which is
-    asked for here: on a driver with a large heap they would else stay for the whole job.
+    asked for here, at most every two seconds: on a driver with a large heap they would else stay
+    for the whole job.
     """
+    global _collected
     spark = df.sparkSession
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _collected > 2:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
     path = f"{scratch_root(spark)}/{name}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*steps: DataFrame) -> None:
+    """Remove what cut() wrote for steps that nothing reads any more."""
+    for df in steps:
+        remove(df.sparkSession, df.scratch)
 
 
 def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -56,32 +94,79 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-#: Edges that one task of components() takes.
-EDGES = 200_000
+#: A key with more rows than this, and more than one in HOT_KEYS of all, is dealt over many tasks.
+HOT_ROWS, HOT_KEYS = 1024, 20_000
+
+
+def spread_join(rows: DataFrame, sums: DataFrame, keys: list[str], ident: list[str]) -> DataFrame:
+    """rows joined with sums, which has a row for each key with the number `n` of its rows.
+
+    Rows of a hot key get a salt from their columns `ident`, and the key's row in sums is repeated
+    for each salt. Which keys are hot is broadcast: they are fewer than HOT_KEYS, since each has
+    more than one in HOT_KEYS of all rows.
+    """
+    total = sums.agg(F.sum("n")).first()[0] or 0
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    salts = F.ceil(F.col("n") / F.lit(limit)).cast("int")
+    hot = sums.where(F.col("n") > limit).select(*keys, salts.alias("_k"))
+    if not hot.limit(1).count():
+        return rows.join(sums, keys)
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*ident), F.coalesce("_k", F.lit(1))).cast("int")).drop("_k")
+    return dealt.join(sums.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))), [*keys, "_salt"]).drop("_salt")
+
+
+#: Edges that one task of components() takes, and that one task connects by itself.
+EDGES, FEW_EDGES = 200_000, 16_384
+
+
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the edges of all batches."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for part in batches:
+        for a, b in zip(part.column("a").to_pylist(), part.column("b").to_pylist()):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "root"])
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) long pairs: rows (node, root), root the least node reached.
 
     Alternating large-star and small-star steps until every component is a star. Every step is
-    an aggregate with map-side combine and an equi-join that adaptive execution can split, so
-    that a hub is no hot task. Nodes without an edge to another node are not returned.
+    an aggregate with map-side combine and a join in which the edges of a hub are dealt over many
+    tasks. Up to FEW_EDGES edges are no work for many and are connected by one task, with the same
+    result. Nodes without an edge to another node are not returned.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    tasks = max(4, -(-e.count() // EDGES))
+    n = e.count()
+    if n <= FEW_EDGES:
+        return e.coalesce(1).mapInArrow(united, "node long, root long")
+    tasks = max(4, -(-n // EDGES))
+
+    def joined(rows: DataFrame, low: DataFrame) -> DataFrame:
+        return spread_join(rows, cut(low, "low"), ["a"], ["b"])
+
     for _ in range(rounds):
         roles = e.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("x")).select("x.*")
         roles = roles.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)")
         if not roles.coalesce(tasks).limit(1).count():
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = cut(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks), "large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = cut(joined(both, low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks), "large")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = joined(large, low).select(
             F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")
         ).select("x.*").where("a <> b").distinct()
-        e = cut(small.coalesce(tasks), "stars")
+        before, e = e, cut(small.coalesce(tasks), "stars")
+        discard(before, large)
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
