@@ -13,7 +13,7 @@ Defined results: a null role or text is rendered empty; nulls equal nulls. Templ
 texts are broken up, so that a text cannot end its own turn. A pair with one side only has the
 empty prompt, null for the absent completion, and an empty mask. Equal conversations have empty
 completions. Rows that repeat a turn are turns of their own. Rows with a null pair_id form one
-pair. Other columns are ignored.
+pair, and rows with a null side count as chosen. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
     """(pair_id, n_prefix, prompt, chosen, rejected, chosen_spans, rejected_spans)."""
     own = Window.partitionBy("pair_id", "side").orderBy("turn", "role", "text")
     rows = (
-        turns.select("pair_id", "side", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+        turns.select("pair_id", F.coalesce(F.col("side"), F.lit(0)).alias("side"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
         .withColumn("head", F.concat(F.lit(START), clean("role"), F.lit("\n")))
         .withColumn("line", F.concat("head", clean("text"), F.lit(END + "\n")))
         .withColumns({"nth": F.row_number().over(own), "to": F.sum(F.length("line")).over(own.rowsBetween(Window.unboundedPreceding, 0))})
@@ -66,8 +66,9 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    """All of conversations: each even conv_id is a chosen side, the odd one after it the rejected."""
-    turns = frames.table(spark, sf_dir, "conversations").withColumns({"pair_id": F.floor(F.col("conv_id") / 2), "side": F.pmod("conv_id", F.lit(2))})
+    """All of conversations: each even conv_id is a chosen side, the odd one after it the rejected.
+    Turns without a conv_id are the chosen side of a pair without an id."""
+    turns = frames.table(spark, sf_dir, "conversations").withColumns({"pair_id": F.shiftright("conv_id", 1), "side": F.pmod("conv_id", F.lit(2))})
     show = "array_join(transform({0}_spans, x -> concat(x.start, '-', x.end)), ',')"
     return preference_pairs(turns).select("pair_id", "n_prefix", "prompt", "chosen", "rejected", F.expr(show.format("chosen")).alias("chosen_mask"), F.expr(show.format("rejected")).alias("rejected_mask"))
 
