@@ -1,12 +1,14 @@
 """Operator 9: benchmark decontamination by size-partitioned containment MinHash.
 
-Items are partitioned by their number q of distinct word shingles. Each item is sketched by its
-bottom k MinHash values, k = q - ceil(t q) + 1 growing with the size: a document that holds at
-least t of the item's shingles holds at least one of any k of them, so that no match is missed,
-however long the document is. Classic banded signatures of both sides would miss most short
-items in long documents, where their Jaccard similarity is below one in a hundred. Documents
-are scanned once and look up their shingles in the sketch index; candidates are verified by
-exact shingle containment.
+Items are partitioned by their number q of distinct word shingles, at powers of two. Each
+partition has a sketch table of its own and bounds of its own: a document with fewer shingles
+than t times the partition's least q is not looked up in it, and an item's sketch is its bottom
+k MinHash values, k = q - ceil(t q) + 1 + SPARE. A document that holds at least t of the item's
+shingles lacks at most q - ceil(t q) of them, and so holds at least 1 + SPARE values of the
+sketch (all that there are, if fewer): no match is missed, however long the document is, while
+one or two shared shingles make no candidate. Banded signatures of both sides would miss most
+short items in long documents, where their Jaccard similarity is below one in a hundred.
+Documents are scanned once; candidates are verified by exact shingle containment.
 
 Items go to the executors in blocks of at most BLOCK_BYTES of text, one scan for each block, so
 that what is broadcast is bounded and any number of items can be searched.
@@ -31,30 +33,56 @@ BLOCK_BYTES = 32 << 20
 FILTER_BITS = 20
 
 
-class Sketches:
-    """The sketch index of a block of items."""
+#: Sketch values beyond the one that a match cannot lack.
+SPARE = 2
 
-    def __init__(self, ids: list, texts: list[str | None], size: int, share: int):
-        data, offsets = text.flat(pa.array(texts, pa.string()))
-        self.hashes, self.bounds = text.shingle_sets(data, offsets, size)
-        self.ids, self.n = ids, np.diff(self.bounds)
-        k = self.n - -(-share * self.n // 100) + 1
-        rank = np.arange(len(self.hashes)) - np.repeat(self.bounds[:-1], self.n)
-        low = rank < np.repeat(k, self.n)
-        item = np.repeat(np.arange(len(self.n)), self.n)[low]
-        order = np.argsort(self.hashes[low], kind="stable")
-        self.keys, self.items = self.hashes[low][order], item[order]
+
+class Partition:
+    """The sketch table of the items whose number of shingles is in one range."""
+
+    def __init__(self, items: np.ndarray, index: Sketches, share: int):
+        q = index.n[items]
+        lacks = q - -(-share * q // 100)
+        size = np.minimum(q, lacks + 1 + SPARE)
+        self.least = int(-(-share * q.min() // 100))
+        self.want = np.zeros(len(index.n), np.int64)
+        self.want[items] = size - lacks
+        at = np.repeat(index.bounds[items], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        order = np.argsort(index.hashes[at], kind="stable")
+        self.keys, self.items = index.hashes[at][order], np.repeat(items, size)[order]
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
     def candidates(self, rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """Distinct (row, item) pairs that share a sketch value."""
+        """(row, item) pairs whose row holds enough of the item's sketch."""
         near = np.flatnonzero(self.filter[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
         a, b = np.searchsorted(self.keys, hashes[near]), np.searchsorted(self.keys, hashes[near], "right")
         hit = np.flatnonzero(b > a)
         n = (b - a)[hit]
         at = np.repeat(a[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.unique(np.stack([np.repeat(rows[near][hit], n), self.items[at]]), axis=1)
+        row, at = np.unique(np.stack([np.repeat(rows[near][hit], n), at]), axis=1)  # a shingle that repeats counts once
+        pairs, held = np.unique(np.stack([row, self.items[at]]), axis=1, return_counts=True)
+        return pairs[:, held >= self.want[pairs[1]]]
+
+
+class Sketches:
+    """The shingle sets of a block of items, ascending, which is their MinHash order, and their partitions."""
+
+    def __init__(self, ids: list, texts: list[str | None], size: int, share: int):
+        data, offsets = text.flat(pa.array(texts, pa.string()))
+        self.hashes, self.bounds = text.shingle_sets(data, offsets, size)
+        self.ids, self.n = ids, np.diff(self.bounds)
+        band = np.floor(np.log2(np.maximum(1, self.n))).astype(np.int64)
+        self.partitions = [Partition(np.flatnonzero((band == i) & (self.n > 0)), self, share) for i in np.unique(band[self.n > 0])]
+
+    def candidates(self, rows: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Distinct (row, item) pairs to verify; sizes: shingles of each row, repeats included."""
+        out = [np.zeros((2, 0), np.int64)]
+        for p in self.partitions:
+            able = sizes >= p.least
+            inside = slice(None) if able.all() else able[rows]
+            out.append(p.candidates(rows[inside], hashes[inside]))
+        return np.concatenate(out, axis=1)
 
 
 def contained(docs: DataFrame, items: DataFrame, size: int = 5, share: int = 80) -> DataFrame:
@@ -73,7 +101,7 @@ def contained(docs: DataFrame, items: DataFrame, size: int = 5, share: int = 80)
             index = held.value
             for part, data, offsets in text.steps(batches, "text"):
                 rows, hashes = text.shingle_rows(data, offsets, size)
-                pairs = index.candidates(rows, hashes)
+                pairs = index.candidates(rows, hashes, np.bincount(rows, minlength=part.num_rows))
                 if not pairs.shape[1]:
                     continue
                 order = np.argsort(rows, kind="stable")
