@@ -7,12 +7,12 @@
    leaves keep about LEAF classes, and the number of trees follows from the levels, so that the
    expected share of missed links at the cosine threshold itself stays below MISS (closer pairs
    are missed far less often). That holds for splits of density DENSITY, so the density at each
-   split is measured in a bounded sample (SAMPLE vectors): where it is higher, as in a group of
+   split is measured in a bounded sample (SAMPLE vectors, more with more leaves, MOST at most): where it is higher, as in a group of
    near copies, the spill of that node is widened to part as few pairs. A node where no split
    leaves at most SHRINK of it on each side is a leaf, whatever its size: the pairs of a large
    group of near copies are links, and are compared and counted. Trees are added, up to TREES,
    until the near pairs within PAIRS sampled vectors are held but for a share of MISS. Nodes with
-   fewer than 16 sampled vectors are too small to measure and take SPILL as it is.
+   fewer than MEASURED sampled vectors are too small to measure and take SPILL as it is.
 3. Each leaf is compared by one matrix product in double precision; a leaf of more than CAP
    classes is dealt into tiles. A pair that an earlier tree's leaf (or an earlier leaf) already
    holds is not counted again: each class carries the names of its leaves, so no pairs are
@@ -37,9 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import frames
+from . import frames, text
 
 SPILL, LEAF, SAMPLE, CAP = 0.24, 400, 32_768, 3000
+#: Directions that nodes draw from, and sampled vectors that a node needs at least to be measured.
+POOL, MEASURED = 4096, 16
+#: Vectors in the sample at most, which bounds the forest that is broadcast.
+MOST = 1 << 17
 MISS = 0.002
 COSINE = 0.9
 DENSITY, SHRINK, TREES, PAIRS = 0.4, 0.8, 40, 2048
@@ -64,55 +68,65 @@ def trees_for(levels: int, cosine: float, spill: float, miss: float) -> int:
 
 
 class Forest:
-    """Trees as arrays: node i has the children 2 i + 1 and 2 i + 2; a leaf's spill is infinite."""
+    """Trees as arrays: node i has the children 2 i + 1 and 2 i + 2; a leaf's spill is infinite.
+
+    Each node has a direction of its own, drawn from a pool of random ones by a hash of tree and
+    node. Cuts and spills are kept for the upper levels, as far as the sample reaches; nodes below
+    are cut in the middle of the sphere. What a forest holds is therefore bounded.
+    """
 
     def __init__(self, sample: np.ndarray, rows: int, leaf: int, cosine: float, spill: float, miss: float, seed: int):
         rng = np.random.default_rng(seed)
         size = sample.shape[1] if sample.size else 1
         self.levels = int(np.ceil(np.log2(max(1, rows / leaf))))
+        self.kept = min(self.levels, int(np.log2(max(1, len(sample) / MEASURED * 2))))
         self.unit = size**-0.5
         self.sd = max(1e-9, (2 - 2 * cosine) ** 0.5)
         # spills, and the densities at which they part as many pairs as `spill` at DENSITY
         self.steps = spill + np.arange(0, 64) / 16 * self.sd
         self.bears = np.array([DENSITY * parted(spill, self.sd) / max(1e-300, parted(w, self.sd)) for w in self.steps])
-        self.planes, self.cuts, self.spills = [], [], []
+        pool = rng.standard_normal((POOL, size))
+        self.pool = pool / np.linalg.norm(pool, axis=1, keepdims=True) / self.unit
+        self.seed, self.cuts, self.spills = seed, [], []
         some = sample[:PAIRS]
         missed = np.triu(some @ some.T >= cosine, 1) if len(some) else np.zeros((0, 0), bool)
         allowed, least = miss * missed.sum(), trees_for(self.levels, cosine, spill, miss)
-        while len(self.planes) < least or missed.sum() > allowed and len(self.planes) < TREES:
-            planes = rng.standard_normal((self.levels, size))
-            # a hyperplane for each level of a tree, a threshold and a spill for each node
-            self.planes.append(planes / np.linalg.norm(planes, axis=1, keepdims=True))
+        while len(self.cuts) < least or missed.sum() > allowed and len(self.cuts) < TREES:
             self.grow(sample, leaf * len(sample) / max(1, rows))
-            row, node = self.leaves(len(self.planes) - 1, some)
+            row, node = self.leaves(len(self.cuts) - 1, some)
             _, node = np.unique(node, return_inverse=True)
             held = np.zeros((len(some), 1 + node.max(initial=0)), np.float32)
             held[row, node] = 1
             missed &= held @ held.T == 0
 
+    def sides(self, tree: int, unit: np.ndarray, row: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """The projection of each row on its node's direction, in standard deviations."""
+        drawn = text.mix(node.astype(np.uint64) + np.uint64((tree << 44) + (self.seed << 52))) % np.uint64(POOL)
+        return np.einsum("ij,ij->i", unit[row], self.pool[drawn.astype(np.int64)])
+
     def grow(self, sample: np.ndarray, least: float) -> None:
-        """Cuts and spills of the last tree; nodes of up to `least` sampled vectors are leaves."""
-        cuts, spills = np.zeros((1 << self.levels) - 1), np.full((1 << self.levels) - 1, np.inf)
-        side = sample @ self.planes[-1].T / self.unit
+        """One more tree; nodes of up to `least` sampled vectors are leaves."""
+        cuts, spills = np.zeros((1 << self.kept) - 1), np.full((1 << self.kept) - 1, np.inf)
+        self.cuts.append(cuts)
+        self.spills.append(spills)
         row, node = np.arange(len(sample)), np.zeros(len(sample), np.int64)
-        for level in range(self.levels):
+        for level in range(self.kept):
             order = np.argsort(node, kind="stable")
             row, node = row[order], node[order]
             first, start = np.unique(node, return_index=True)
-            for i, own in zip(first.tolist(), np.split(side[row, level], start[1:])):
+            side = self.sides(len(self.cuts) - 1, sample, row, node)
+            for i, own in zip(first.tolist(), np.split(side, start[1:])):
                 if len(own) > least:
                     cuts[i], spills[i] = self.split(np.sort(own))
             # places that the sample does not reach
             empty = np.setdiff1d(np.arange((1 << level) - 1, (2 << level) - 1), first)
             spills[empty] = self.steps[0]
-            row, node = self.step(side[row, level], row, node, cuts, spills)[:2]
-        self.cuts.append(cuts)
-        self.spills.append(spills)
+            row, node = self.step(side, row, node, cuts[node], spills[node])[:2]
 
     def split(self, own: np.ndarray) -> tuple[float, float]:
         """(cut, spill) of a node from its sorted projections; the spill is infinite without a good cut."""
         n = len(own)
-        if n < 16:
+        if n < MEASURED:
             return float(np.median(own)) if n >= 8 else 0.0, self.steps[0]
         at = np.quantile(own, np.linspace(0.25, 0.75, 17) if n >= 64 else [0.5])
         within = np.searchsorted(own, at + self.sd / 2, "right") - np.searchsorted(own, at - self.sd / 2, "left")
@@ -123,11 +137,10 @@ class Forest:
         return float(at[best]), float(wide[best]) if share[best] <= SHRINK else np.inf
 
     @staticmethod
-    def step(side: np.ndarray, row: np.ndarray, node: np.ndarray, cuts: np.ndarray, spills: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def step(side: np.ndarray, row: np.ndarray, node: np.ndarray, cut: np.ndarray | float, spill: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, node) one level down, and those that are in a leaf."""
-        spill = spills[node]
         end = np.isinf(spill)
-        d = side - cuts[node]
+        d = side - cut
         both = np.abs(d) <= spill
         right = ((d > 0) | both) & ~end
         left = ((d <= 0) | both) & ~end
@@ -135,11 +148,12 @@ class Forest:
 
     def leaves(self, t: int, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of each vector in tree t; a row near a cut has more than one."""
-        side = unit @ self.planes[t].T / self.unit
         row, node = np.arange(len(unit)), np.zeros(len(unit), np.int64)
         out = []
         for level in range(self.levels):
-            row, node, *ended = self.step(side[row, level], row, node, self.cuts[t], self.spills[t])
+            held = level < self.kept
+            cut, spill = (self.cuts[t][node], self.spills[t][node]) if held else (0.0, np.full(len(node), self.steps[0]))
+            row, node, *ended = self.step(self.sides(t, unit, row, node), row, node, cut, spill)
             out.append(ended)
         rows, nodes = zip(*out, (row, node))
         return np.concatenate(rows), np.concatenate(nodes)
@@ -204,7 +218,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, spill: float = SPIL
     sizes = {r.dim: r.n for r in points.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     forests = {}
     for k, (dim, n) in enumerate(sorted(sizes.items())):
-        got = points.where(F.col("dim") == dim).where(F.pmod(F.col("sid"), F.lit(max(1, -(-n // sample)))) == 0).select("unit").limit(2 * sample).toArrow()
+        some = min(max(sample, 64 * n // leaf), max(sample, MOST))
+        got = points.where(F.col("dim") == dim).where(F.pmod(F.col("sid"), F.lit(max(1, -(-n // some)))) == 0).select("unit").limit(2 * some).toArrow()
         forests[dim] = (k, Forest(matrix(got.column("unit")), n, leaf, cosine, spill, miss, seed))
     held = spark.sparkContext.broadcast(forests)
 
@@ -215,7 +230,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, spill: float = SPIL
                 own = part.take(pa.array(np.flatnonzero(dims == dim)))
                 k, forest = held.value[int(dim)]
                 x, width = matrix(own.column("unit")), 2 << forest.levels
-                row, name = (np.concatenate(y) for y in zip(*((r, t * width + leaf) for t in range(len(forest.planes)) for r, leaf in [forest.leaves(t, x)])))
+                row, name = (np.concatenate(y) for y in zip(*((r, t * width + leaf) for t in range(len(forest.cuts)) for r, leaf in [forest.leaves(t, x)])))
                 order = np.lexsort((name, row))
                 row, name = row[order], name[order] | np.int64(k) << 48
                 at = np.searchsorted(row, np.arange(len(x) + 1))
