@@ -166,6 +166,20 @@ def rolling(data: np.ndarray, k: int) -> np.ndarray:
         size *= 2
 
 
+def words_at(t: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number that orders as they do; zeros follow the end."""
+    padded = np.append(t, np.zeros(7, np.uint8))
+    out = np.zeros(len(t), U)
+    for k in range(8):
+        out <<= U(8)
+        out |= padded[k : k + len(t)]
+    return out
+
+
+#: Which bits of such a number its first 0 .. 8 bytes have.
+FIRST = np.array([0, *((1 << 64) - (1 << (64 - 8 * k)) for k in range(1, 9))], U)
+
+
 def strings(values: list[bytes]) -> pa.Array:
     """Bytes as a string column; bytes that are no whole UTF-8 get the replacement character."""
     return pa.array([v.decode("utf-8", "replace") for v in values], pa.string())
