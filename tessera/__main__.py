@@ -1,24 +1,10 @@
-"""python -m tessera QUERY SF_DIR [OUT]: run a registered query; without OUT its first rows are shown."""
+"""python -m tessera COMMAND ...: see tessera.plans.commands."""
 
 from __future__ import annotations
 
 import sys
 
-
-def main(args: list[str]) -> int:
-    from .plans import catalog
-    from .session import session
-
-    if len(args) not in (2, 3) or args[0] not in catalog.QUERIES:
-        print(__doc__, "Queries:", *sorted(catalog.QUERIES), sep="\n  ", file=sys.stderr)
-        return 2
-    df = catalog.QUERIES[args[0]](session(), args[1])
-    if len(args) == 3:
-        df.write.mode("errorifexists").parquet(args[2])
-    else:
-        df.show(20, truncate=80)
-    return 0
-
-
 if __name__ == "__main__":
+    from .plans.commands import main
+
     sys.exit(main(sys.argv[1:]))

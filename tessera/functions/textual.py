@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import lexicon
 
@@ -61,6 +67,32 @@ def cosine_sums(dot: Column, left: Column, right: Column) -> Column:
     )
 
 
+def feature_counts(text: str) -> tuple[np.ndarray, np.ndarray, Counter]:
+    """2- and 3-grams of a normalised text as numbers with their weights in hundredths, and its words' counts."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    two = c[:-1] << np.uint64(21) | c[1:]
+    three = (two[:-1] << np.uint64(21) | c[2:]) + np.uint64(1 << 63)
+    grams, n = np.unique(np.concatenate([two, three]), return_counts=True)
+    return grams, n * np.where(grams >> np.uint64(63), 135, 100), Counter(re.findall("[a-z0-9]{2,}", text))
+
+
+def bag_cosine(a: tuple[np.ndarray, np.ndarray, Counter], b: tuple[np.ndarray, np.ndarray, Counter]) -> float:
+    """The cosine of two bags of features(); sums are of integers, hence exact. 0 if one is empty."""
+    square = lambda x: int((x[1] * x[1]).sum()) + 22_500 * sum(v * v for v in x[2].values())
+    left, right = square(a), square(b)
+    if not left or not right:
+        return 0.0
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    dot = int((a[1][i] * b[1][j]).sum()) + 22_500 * sum(v * b[2][k] for k, v in a[2].items() if k in b[2])
+    return min(1.0, dot / (left**0.5 * right**0.5))
+
+
+@F.pandas_udf(T.DoubleType())
+def feature_cosine(left: pd.Series, right: pd.Series) -> pd.Series:
+    """bag_cosine of two columns of normalised texts; null is empty. No row leaves its task."""
+    return pd.Series([bag_cosine(feature_counts(a or ""), feature_counts(b or "")) for a, b in zip(left, right)])
+
+
 def cues(normal: Column, patterns: Sequence[tuple[str, float, str]] = lexicon.CUES) -> Column:
     """struct(score, names): the largest weight of the patterns that occur, and their names in order."""
     found = F.array_compact(F.array(*[F.when(normal.rlike(p), F.struct(F.lit(w).alias("w"), F.lit(n).alias("n"))) for p, w, n in patterns]))
@@ -79,13 +111,21 @@ def keywords(text: Column, terms: Sequence[str] = lexicon.TERMS, limit: int = 8)
     """Terms by count, then list order; filled up with the most frequent Latin words, first seen first."""
     counted = F.filter(F.array(*[F.struct((-occurrences(text, t)).alias("c"), F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(terms)]), lambda x: x["c"] < 0)
     own = F.slice(F.transform(F.array_sort(counted), lambda x: x["t"]), 1, limit)
-    # a match needs a word boundary on both sides; trailing dots and hyphens are given back
-    words = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_\p{L}])([A-Za-z][A-Za-z0-9.-]{1,15}(?<=[A-Za-z0-9]))(?![A-Za-z0-9_\p{L}])"), F.lit(1))
-    ranked = once(words, lambda ws: F.transform(F.array_distinct(ws), lambda w: F.struct((-F.size(F.filter(ws, lambda x: x == w))).alias("c"), F.array_position(ws, w).alias("i"), w.alias("t"))))
-    fill = F.slice(F.transform(F.array_sort(ranked), lambda x: x["t"]), F.lit(1), F.greatest(F.lit(0), F.lit(limit) - F.size(own)))
+    fill = F.slice(latin_words(text), F.lit(1), F.greatest(F.lit(0), F.lit(limit) - F.size(own)))
     return F.concat(own, F.filter(fill, lambda x: ~F.array_contains(own, x)))
 
 
+#: A match needs a word boundary on both sides; trailing dots and hyphens are given back.
+LATIN = re.compile(r"(?<!\w)([A-Za-z][A-Za-z0-9.-]{1,15}(?<=[A-Za-z0-9]))(?!\w)")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def latin_words(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The distinct Latin words of a text, the most frequent first, then by first place; one pass."""
+    for texts in parts:
+        yield pd.Series([[w for w, _ in Counter(LATIN.findall(t or "")).most_common()] for t in texts])
+
+
 def collapse(text: Column) -> Column:
     """White space (as Unicode has it) as single blanks."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -102,3 +142,35 @@ def replacement_marks(text: Column) -> Column:
 def prompt_ok(text: Column) -> Column:
     """A prompt is 1 to 1000 characters after trimming, without control characters."""
     return ~text.rlike(r"\p{Cc}") & F.length(F.trim(text)).between(1, 1000)
+
+
+@F.pandas_udf(T.StringType())
+def safe_name(names: pd.Series) -> pd.Series:
+    """A run's name: NFKC, every run of other than word characters a hyphen, trimmed, 72 characters at most."""
+    clean = lambda t: re.sub(r"[^\w]+", "-", unicodedata.normalize("NFKC", t)).strip("-_.")[:72].strip("-_.") or "run"
+    return pd.Series([None if t is None else clean(t) for t in names])
+
+
+def clean_list(items: Column) -> Column:
+    """Trimmed, non-empty strings, each once, in order."""
+    return F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def finite(value: Column) -> Column:
+    """A number as JSON can hold it: NaN and infinities are null."""
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+
+
+def finite_list(values: Column) -> Column:
+    return F.transform(values, finite)
+
+
+def json_ready(df):
+    """df whose double columns, and those in arrays, are finite or null."""
+    out = {}
+    for f in df.schema:
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            out[f.name] = finite(F.col(f.name))
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.DoubleType, T.FloatType)):
+            out[f.name] = finite_list(F.col(f.name))
+    return df.withColumns(out) if out else df

@@ -23,6 +23,13 @@ def timecode(micros: Column) -> Column:
     return F.format_string("%02d:%02d:%02d.%03d", F.floor(ms / 3_600_000), F.floor(ms / 60_000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
 
 
+def plain_duration(seconds_: Column) -> Column:
+    """HH:MM:SS.mmm of seconds whose milliseconds do not carry over: 59.9996 s shows as 00:00:60.000."""
+    hours = F.floor(seconds_ / 3600).cast("int")
+    minutes = F.floor((seconds_ - hours * 3600) / 60).cast("int")
+    return F.format_string("%02d:%02d:%06.3f", hours, minutes, seconds_ - hours * 3600 - minutes * 60)
+
+
 def parse_timecode(text: Column) -> Column:
     """Seconds of SS, MM:SS or HH:MM:SS; null for anything else, NaN and negatives included."""
     ok = text.rlike(r"^\s*(\d+:){0,2}\d+(\.\d+)?\s*$")

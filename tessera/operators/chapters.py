@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,12 +17,9 @@ WEIGHTS = {"novelty": 0.44, "discourse": 0.25, "pause": 0.11, "visual": 0.20}
 COLLAPSE_US, LOOKBACK_US, LOOKAHEAD_US, TITLE_WINDOW_US = 18_000_000, 210_000_000, 5_000_000, 14_000_000
 
 
-def cosine(df: DataFrame, ident: Sequence[str], left: str, right: str, out: str = "similarity") -> DataFrame:
-    """df with the feature cosine of two normalised texts; weights are integers, so that sums are exact."""
-    sides = df.select(*ident, F.explode(F.concat(F.transform(textual.features(F.col(left)), lambda x: F.struct(F.lit(0).alias("s"), x["key"].alias("key"), x["weight"].alias("w"))), F.transform(textual.features(F.col(right)), lambda x: F.struct(F.lit(1).alias("s"), x["key"].alias("key"), x["weight"].alias("w"))))).alias("x")).select(*ident, "x.*")
-    bags = sides.groupBy(*ident, "key").agg(F.sum(F.when(F.col("s") == 0, F.col("w")).otherwise(0)).alias("l"), F.sum(F.when(F.col("s") == 1, F.col("w")).otherwise(0)).alias("r"))
-    sums = bags.groupBy(*ident).agg(F.sum(F.col("l") * F.col("r")).alias("_dot"), F.sum(F.col("l") * F.col("l")).alias("_ll"), F.sum(F.col("r") * F.col("r")).alias("_rr"))
-    return df.join(sums, list(ident), "left").withColumn(out, textual.cosine_sums(F.col("_dot"), F.col("_ll"), F.col("_rr"))).drop("_dot", "_ll", "_rr")
+def cosine(df: DataFrame, left: str, right: str, out: str = "similarity") -> DataFrame:
+    """df with the feature cosine of two normalised texts, computed within the row."""
+    return df.withColumn(out, textual.feature_cosine(left, right))
 
 
 def title_lines(lines: DataFrame, keys: Sequence[str], exclusions: Sequence[str] = lexicon.TITLE_EXCLUSIONS) -> DataFrame:
@@ -35,26 +33,6 @@ def title_lines(lines: DataFrame, keys: Sequence[str], exclusions: Sequence[str]
     return best.select(*keys, F.col("x.text").alias("title"), F.round("x.confidence", 6).alias("confidence"))
 
 
-def _bag(text: str) -> dict[str, int]:
-    import re
-
-    out: dict[str, int] = {}
-    for n, w in ((2, 100), (3, 135)):
-        for i in range(len(text) - n + 1):
-            k = f"{n}:{text[i : i + n]}"
-            out[k] = out.get(k, 0) + w
-    for x in re.findall("[a-z0-9]{2,}", text):
-        out["word:" + x] = out.get("word:" + x, 0) + 150
-    return out
-
-
-def _similar(a: dict[str, int], b: dict[str, int]) -> float:
-    if not a or not b:
-        return 0.0
-    dot = sum(v * b.get(k, 0) for k, v in a.items())
-    return min(1.0, dot / (sum(v * v for v in a.values()) ** 0.5 * sum(v * v for v in b.values()) ** 0.5))
-
-
 def changed_titles(titles: DataFrame, keys: Sequence[str], order: Sequence[str], same: float = 0.72) -> DataFrame:
     """Titles that differ from the last kept one of their source; a sequential fold over one source's titles."""
 
@@ -62,8 +40,8 @@ def changed_titles(titles: DataFrame, keys: Sequence[str], order: Sequence[str],
         part = part.sort_values(list(order), kind="stable")
         keep, last = [], None
         for norm in part["_norm"]:
-            bag = _bag(norm)
-            keep.append(last is None or _similar(last, bag) < same)
+            bag = textual.feature_counts(norm)
+            keep.append(last is None or textual.bag_cosine(last, bag) < same)
             if keep[-1]:
                 last = bag
         return part[keep].drop(columns="_norm")
@@ -77,25 +55,27 @@ def boundary_features(speech: DataFrame, keys: Sequence[str], window_us: int = 4
     speech(keys, speech_id, start_us, end_us, text), ordered by start within keys.
     """
     w = Window.partitionBy(*keys).orderBy("start_us", "speech_id")
-    own = speech.withColumns({"_before": F.lag("end_us").over(w), "_next": F.lead("text").over(w), "_n": F.row_number().over(w)}).where("_n > 1")
-    base = own.select(*keys, "speech_id", "start_us", "_before", F.concat_ws(" ", "text", "_next").alias("_two"))
-    order = ["start_us", "speech_id"]
-    told = speech.withColumnsRenamed({"speech_id": "_sid"})
-    sides = base
-    for name, lo, hi in (("_left", -window_us, 0), ("_right", 0, window_us)):
-        windows = base.select(*keys, "speech_id", (F.col("start_us") + lo).alias("ws"), (F.col("start_us") + hi).alias("we"))
-        got = joins.window_text(windows, told, keys, ["speech_id"], ["start_us", "_sid"]).select(*keys, "speech_id", textual.normalise(F.col("window_text")).alias(name))
-        sides = sides.join(got, [*keys, "speech_id"])
-    out = cosine(sides, [*keys, "speech_id"], "_left", "_right")
-    cue = textual.cues(textual.normalise(F.col("_two")), patterns)
-    return out.withColumn("_cue", cue).select(
-        *keys, "speech_id", "start_us",
-        F.round(1.0 - F.col("similarity"), 6).alias("novelty"),
-        F.round("_cue.score", 6).alias("discourse"),
-        F.round(F.least(F.lit(1.0), F.greatest(F.lit(0), F.col("start_us") - F.col("_before")) / 1_500_000.0), 6).alias("pause"),
-        F.greatest(F.lit(0), F.col("start_us") - F.col("_before")).alias("pause_us"),
-        F.col("_cue.names").alias("cues"),
-    )
+    cue = textual.cues(textual.normalise(F.concat_ws(" ", "text", "_next")), patterns)
+    own = speech.withColumns({"_before": F.lag("end_us").over(w), "_next": F.lead("text").over(w), "norm": textual.normalise(F.coalesce("text", F.lit("")))})
+    pause = F.greatest(F.lit(0), F.col("start_us") - F.col("_before"))
+    own = own.withColumn("_cue", F.when(F.col("_before").isNotNull(), cue))
+    own = own.select(*keys, "speech_id", "start_us", "end_us", "norm", F.round("_cue.score", 6).alias("discourse"), F.round(F.least(F.lit(1.0), pause / 1_500_000.0), 6).alias("pause"), pause.alias("pause_us"), F.col("_cue.names").alias("cues"))
+    kept = [*keys, "speech_id", "start_us", "discourse", "pause", "pause_us", "cues"]
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["start_us", "speech_id"], kind="stable")
+        start, end, norm = part["start_us"].to_numpy(), part["end_us"].to_numpy(), part["norm"].to_numpy()
+        rows = np.flatnonzero(part["home"].to_numpy() & part["pause_us"].notna().to_numpy())
+        text = lambda ws, we: "".join(norm[(end > ws) & (start < we)])
+        bags = ((textual.feature_counts(text(t - window_us, t)), textual.feature_counts(text(t, t + window_us))) for t in start[rows])
+        out = part.iloc[rows][kept].copy()
+        out["novelty"] = [round(1.0 - textual.bag_cosine(a, b), 6) for a, b in bags]
+        return out
+
+    sliced = joins.time_slices(own, "start_us", "end_us", window_us, 20 * window_us)
+    out = sliced.groupBy(*keys, "slice").applyInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "novelty double"]))
+    return out.withColumn("cues", F.coalesce("cues", F.array().cast("array<string>")))
 
 
 def scored(features: DataFrame, visual: str | None = None) -> DataFrame:
@@ -121,7 +101,7 @@ def attach_titles(features: DataFrame, titles: DataFrame, speech: DataFrame, key
     shared = F.lit(0)
     for term in terms:
         shared = shared + (F.contains("_title", F.lit(term)) & F.contains("_r", textual.normalise_match(F.lit(term)))).cast("int")
-    rows = cosine(both.withColumn("_shared", shared), ident, "_l", "_r").select(*ident, "t_us", "at", "discourse", "similarity", F.col("_shared").alias("shared"), F.col("confidence"), "range_start_us")
+    rows = cosine(both.withColumn("_shared", shared), "_l", "_r").select(*ident, "t_us", "at", "discourse", "similarity", F.col("_shared").alias("shared"), F.col("confidence"), "range_start_us")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         out, earliest = [], None

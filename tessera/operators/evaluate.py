@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from . import joins
 
 
+#: Characters by which a span finds the speech that may hold it.
+GRAM = 8
+
+
 def match_points(points: list[tuple[float, float, float]], candidates: list[float]) -> list[tuple[int, int]]:
     """Pairs (point, candidate) of an order-preserving one-to-one match.
 
@@ -103,8 +107,14 @@ def anchor_scores(anchors: DataFrame, speech: DataFrame, keys: Sequence[str], to
     own = anchors.withColumns({"_s": F.col("start_us") - tolerance_us, "_e": F.col("end_us") + tolerance_us})
     near = joins.overlapping(own, speech.select(*keys, "speech_id", F.col("start_us").alias("ss"), F.col("end_us").alias("se"), "text"), keys, "_s", "_e", "ss", "se", closed=True)
     hits = near.groupBy(*keys, "anchor_id").agg(F.max(F.contains("text", "expected_span")).alias("expected"), F.max(F.contains("text", "baseline_span")).alias("baseline"), F.count("*").alias("near"))
-    # the complement of the window join, counted by subtraction: no pairs of far rows are built
-    spans = own.select(*keys, "anchor_id", "expected_span").join(speech.select(*keys, "text"), list(keys)).where(F.contains("text", "expected_span")).groupBy(*keys, "anchor_id").agg(F.count("*").alias("all_hits"))
+    # the complement of the window join, counted by subtraction: a span meets only the speech that
+    # holds its first characters, so that no pairs of unlike rows are built
+    gram = lambda c: F.substring(c, 1, GRAM)
+    told = speech.select(*keys, "text", F.explode(F.array_distinct(F.expr(f"transform(sequence(1, greatest(1, length(text) - {GRAM - 1})), i -> substring(text, i, {GRAM}))"))).alias("_gram"))
+    long = own.where(F.length("expected_span") >= GRAM).select(*keys, "anchor_id", "expected_span", gram("expected_span").alias("_gram")).join(told, [*keys, "_gram"])
+    short = own.where(F.length("expected_span") < GRAM).select(*keys, "anchor_id", "expected_span").join(speech.select(*keys, "text"), list(keys))
+    hit = long.drop("_gram").unionByName(short).where(F.contains("text", "expected_span"))
+    spans = hit.groupBy(*keys, "anchor_id").agg(F.count("*").alias("all_hits"))
     held = near.where(F.contains("text", "expected_span")).groupBy(*keys, "anchor_id").agg(F.count("*").alias("near_hits"))
     out = anchors
     for d in (hits, spans, held):

@@ -43,6 +43,16 @@ def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], ls: str,
     return a.alias("a").join(b.alias("b"), [*on, once, touch]).select(*[F.col(f"a.{c}") for c in left.columns], *[F.col(f"b.{c}") for c in right.columns if c not in keys])
 
 
+def time_slices(df: DataFrame, start: str, end: str, margin: int, width: int) -> DataFrame:
+    """df with slice and home: each row in every slice of `width` that it or the margin around it touches.
+
+    Work in a window of up to `margin` around a row finds all rows of that window in the row's home
+    slice. A long or hot source is many slices, so that no group grows with it.
+    """
+    own = df.withColumns({"home": _bucket(F.col(start), width), "slice": F.explode(F.sequence(_bucket(F.col(start) - margin, width), _bucket(F.col(end) + margin, width)))})
+    return own.withColumn("home", F.col("home") == F.col("slice"))
+
+
 def as_of(probes: DataFrame, samples: DataFrame, keys: Sequence[str], probe: str, at: str, values: Sequence[str], direction: str = "backward") -> DataFrame:
     """probes with the values of the last sample at or before (or first at or after) each probe.
 
@@ -110,6 +120,28 @@ def dispatch(segments: DataFrame, samples: DataFrame, keys: Sequence[str], selec
     return points_in_segments(samples, own.withColumnsRenamed({"start_us": "segment_start_us", "end_us": "segment_end_us"}), keys, t="t_us", start="segment_start_us", end="until_us").withColumn("lookahead", F.col("t_us") > F.col("segment_end_us"))
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], pattern: str, out: str = "event_id") -> DataFrame:
+    """df with ids that count from 1 within each source, as in visual-0001."""
+    return df.withColumn(out, F.format_string(pattern, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))))
+
+
+def timeline(frames: DataFrame, speech: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, k, kind, event_id, t_us) of frames and speech; visual (k 0) goes before speech (k 1) at one time."""
+    a = numbered(frames, keys, ["t_us", "sample_index"], "visual-%04d").select(*keys, F.lit(0).alias("k"), F.lit("visual").alias("kind"), "event_id", "t_us")
+    b = numbered(speech, keys, ["start_us", "speech_id"], "speech-%04d").select(*keys, F.lit(1).alias("k"), F.lit("speech").alias("kind"), "event_id", F.col("start_us").alias("t_us"))
+    return a.unionByName(b)
+
+
+def source_kind(frames: DataFrame, strategy: DataFrame, manifest: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """frames(keys, segment_id) with route_kind from the strategy's segments, else the manifest's, else unknown.
+
+    strategy and manifest(keys, segment_id, kind) hold a row for each segment.
+    """
+    on = [*keys, "segment_id"]
+    both = strategy.select(*on, F.col("kind").alias("_a")).join(manifest.select(*on, F.col("kind").alias("_b")), on, "full_outer").select(*on, F.coalesce("_a", "_b").alias("route_kind"))
+    return frames.join(both, on, "left").withColumn("route_kind", F.coalesce("route_kind", F.lit("unknown")))
+
+
 def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, status): matched, missing_right, missing_left or repeated, for coverage checks."""
     a, b = left.groupBy(key).agg(F.count("*").alias("l")), right.groupBy(key).agg(F.count("*").alias("r"))

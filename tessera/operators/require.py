@@ -34,3 +34,32 @@ def violations(df: DataFrame, **checks: Column | str) -> DataFrame:
     sums = [F.sum((~F.coalesce(F.expr(c) if isinstance(c, str) else c, F.lit(False))).cast("long")).alias(n) for n, c in checks.items()]
     row = df.agg(*sums)
     return row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.coalesce(F.col(n), F.lit(0)).alias("violations")) for n in checks])).alias("x")).select("x.*")
+
+
+def ratios(**values: float) -> None:
+    """Raise unless every named value is a finite number within 0 and 1."""
+    for name, v in values.items():
+        if isinstance(v, bool) or not isinstance(v, (int, float)) or not 0 <= v <= 1:
+            raise ValueError(f"{name} must be within 0 and 1")
+
+
+def positive(**values: float) -> None:
+    """Raise unless every named value is a finite number above 0."""
+    for name, v in values.items():
+        if isinstance(v, bool) or not isinstance(v, (int, float)) or not 0 < v < float("inf"):
+            raise ValueError(f"{name} must be finite and positive")
+
+
+def within(low: float, high: float, **values: float) -> None:
+    for name, v in values.items():
+        if isinstance(v, bool) or not isinstance(v, (int, float)) or not low <= v <= high:
+            raise ValueError(f"{name} must be {low} to {high}")
+
+
+def at_most(df: DataFrame, n: int, message: str) -> DataFrame:
+    """df if it has up to n rows; more raise instead of being cut off."""
+    if n < 1:
+        raise ValueError("a limit is positive")
+    if df.limit(n + 1).count() > n:
+        raise Violation(message)
+    return df

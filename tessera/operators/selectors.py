@@ -1,12 +1,13 @@
 """Frame selectors. Time-only ones are DataFrame operators; those that compare pixels with a moving
-anchor run over one segment's frames in an Arrow group, a short, bounded clip.
+anchor (see automata) run over one segment's frames in a group, a short, bounded clip.
 
-Candidate columns: sample_index, t (seconds), score, reasons, segment_id.
+Candidate columns: sample_index, t_us (or t in seconds), score, reasons, segment_id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,9 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pixels as px
-from . import joins, sequences
+from . import automata, joins, sequences
 
 CANDIDATE = "sample_index long, t double, score double, reasons array<string>"
+STRATEGIES = automata.STRATEGIES
 
 
 # ---- DataFrame selectors -----------------------------------------------------------------
@@ -31,12 +33,12 @@ def uniform(samples: DataFrame, keys: Sequence[str], interval_us: int) -> DataFr
     return got.select(*keys, "sample_index", "t_us", F.lit(0.10).alias("score"), F.array(F.lit("density_floor")).alias("reasons")).distinct()
 
 
-def content(samples: DataFrame, cuts: DataFrame, keys: Sequence[str], settle_us: int = 600_000) -> DataFrame:
+def content(samples: DataFrame, cuts: DataFrame, keys: Sequence[str], settle_us: int = 600_000, reason: str = "scenedetect_content") -> DataFrame:
     """A little after each scene cut (the first cut itself), the nearest sample; score at least 0.30."""
     w = Window.partitionBy(*keys).orderBy("cut_us")
     probes = cuts.select(*keys, (F.col("cut_us") + F.when(F.row_number().over(w) == 1, F.lit(0)).otherwise(F.lit(settle_us))).alias("_probe"))
     got = joins.nearest(probes, samples.select(*keys, "t_us", "sample_index", "change_score"), keys, "_probe", "t_us", ["sample_index", "change_score"])
-    return got.select(*keys, "sample_index", "t_us", F.greatest(F.lit(0.30), F.col("change_score")).alias("score"), F.array(F.lit("scene_cut")).alias("reasons"))
+    return got.select(*keys, "sample_index", "t_us", F.greatest(F.lit(0.30), F.col("change_score")).alias("score"), F.array(F.lit(reason)).alias("reasons"))
 
 
 def adaptive(samples: DataFrame, keys: Sequence[str], radius: int, k: int, least_us: int = 2_000_000, change: float = 0.018, ratio: float = 3.0, quiet: float = 0.008) -> DataFrame:
@@ -45,8 +47,8 @@ def adaptive(samples: DataFrame, keys: Sequence[str], radius: int, k: int, least
     own = sequences.first_stable(own, keys, ["sample_index"], "change_score", "sample_index", k, quiet)
     settled = samples.select(*keys, F.col("sample_index").alias("settled_index"), F.col("t_us").alias("settled_us"))
     peaks = own.where((F.col("sample_index") > 0) & (F.col("change_score") >= change) & (F.col("ratio") >= ratio) & F.col("local_peak")).join(settled, [*keys, "settled_index"])
-    kept = sequences.greedy_gap(peaks, keys, "t_us", least_us, "settled_index", "change_score", settled="settled_us")
-    return kept.select(*keys, F.col("settled_index").alias("sample_index"), F.col("settled_us").alias("t_us"), F.col("change_score").alias("score"), F.array(F.lit("adaptive_peak")).alias("reasons"))
+    kept = sequences.greedy_gap(peaks, keys, "t_us", least_us, "settled_index", "ratio", settled="settled_us")
+    return kept.select(*keys, F.col("settled_index").alias("sample_index"), F.col("settled_us").alias("t_us"), F.col("ratio").alias("score"), F.array(F.lit("adaptive_change_settled")).alias("reasons"))
 
 
 def merge(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -56,8 +58,8 @@ def merge(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
     return candidates.groupBy(*keys, "sample_index").agg(F.min("t_us").alias("t_us"), F.max("score").alias("score"), F.when(F.count("*") == 1, reasons).otherwise(F.array_sort(F.array_distinct(reasons))).alias("reasons"), segment.alias("segment_id"))
 
 
-#: Classes of reasons by rank.
-RANKS = {"page_terminal": 4, "pre_replacement": 4, "bounded_tail_stable": 4, "additive_build_final": 4, "boundary_terminal": 4, "table_state": 4, "settled": 3, "segment_end_after_change": 3, "adaptive_peak": 2, "scene_cut": 2}
+#: Ranks of reasons; any other has rank 1.
+RANKS = {"settled_after_change": 4, "segment_end_after_change": 4, "scenedetect_content": 3, "scenedetect_adaptive": 3, "adaptive_change_settled": 2}
 
 
 def priority(ranks: dict[str, int] = RANKS) -> Column:
@@ -76,278 +78,13 @@ def cap(candidates: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
     return own.withColumn("kept", (F.col("_n") <= most) | (place <= most)).drop("_p", "_a", "_b", "_n", "_first")
 
 
-# ---- clips -------------------------------------------------------------------------------
-
-class Clip:
-    """Frames of one segment in time order; `last` is the last one that may be emitted."""
-
-    def __init__(self, t: Sequence[float], images: Sequence[np.ndarray], fps: float, last: int | None = None):
-        self.t, self.images, self.fps = list(t), list(images), fps
-        self.last = len(self.t) - 1 if last is None else last
-        self._change = [0.0]
-        for a, b in zip(self.images, self.images[1:]):
-            self._change.append(px.comparison(a, b)["score"])
-
-    def change(self, i: int) -> float:
-        return self._change[i]
-
-    def steps(self, seconds: float) -> int:
-        return max(1, round(seconds * self.fps))
-
-
-Emit = tuple[int, float, list[str]]
-
-
-def settled(clip: Clip, trigger: float = 0.014, far: float = 0.024, quiet: float = 0.006, hold: float = 2.0, gap: float = 3.0) -> list[Emit]:
-    """After a change, the frame at which the picture has been still for `hold` seconds."""
-    out: list[Emit] = []
-    k, base, active, still, peak, emitted = clip.steps(hold), 0, False, 0, 0.0, -np.inf
-    away = 0.0
-    for i in range(1, len(clip.t)):
-        away = px.comparison(clip.images[base], clip.images[i])["score"]
-        if clip.change(i) >= trigger or away >= far:
-            active = True
-            peak = max(peak, clip.change(i), away)
-        if not active:
-            continue
-        still = still + 1 if clip.change(i) <= quiet else 0
-        if still < k or px.comparison(clip.images[max(base, i - k + 1)], clip.images[i])["score"] > max(1.5 * quiet, 0.01):
-            continue
-        if clip.t[i] - emitted >= gap:
-            out.append((i, max(0.4, peak), ["settled"]))
-            emitted = clip.t[i]
-        base, active, still, peak = i, False, 0, 0.0
-    if active and away >= far:
-        out.append((len(clip.t) - 1, max(0.4, peak), ["segment_end_after_change"]))
-    return out
-
-
-def alike(a: np.ndarray, b: np.ndarray, bits: int = 4, ssim: float = 0.996, block: float = 0.012) -> bool:
-    """Near-duplicate frames; the cheapest test comes first."""
-    return (px.perceptual_hash(a) ^ px.perceptual_hash(b)).bit_count() <= bits and px.frame_ssim(a, b) >= ssim and px.block_change(a, b) <= block
-
-
-def terminal(clip: Clip, first: int, boundary: int, back: float = 2.0, hold: float = 1.0, quiet: float = 0.008, upto: int | None = None) -> int:
-    """The latest still run before a boundary whose picture lasts until it, else the frame before it."""
-    end = max(first, min(boundary - 1, boundary - 1 if upto is None else upto))
-    low, k = max(first, end - clip.steps(back) + 1), clip.steps(hold)
-    for e in range(end, low - 1, -1):
-        if e - k + 1 < low:
-            break
-        if all(clip.change(j) <= quiet for j in range(e - k + 1, e + 1)) and all(alike(clip.images[e], clip.images[j]) for j in range(e + 1, end + 1)):
-            return e
-    return end
-
-
-def boundary_terminal(clip: Clip) -> list[Emit]:
-    """The last still picture before each confirmed replacement of what was on screen."""
-    pre, post, rev, n = max(1, round(0.5 * clip.fps)), max(1, round(1.5 * clip.fps)), max(1, round(2 * clip.fps)), len(clip.t)
-    density = [px.edge_density(x) for x in clip.images]
-    events = []
-    for i in range(pre, n - post):
-        if clip.change(i) < 0.025:
-            continue
-        old, later = clip.images[i - pre], range(i, i + post)
-        delta = float(np.median([px.frame_delta(old, clip.images[j]) for j in later]))
-        losses = [density[i - pre] - density[j] for j in later]
-        mask = float(np.median([(np.abs(old.astype(np.int16) - clip.images[j]) >= 12).mean() for j in later]))
-        if delta < 0.004 or losses[0] < 0.003 or np.mean([x >= 0.003 for x in losses]) < 2 / 3 or mask < 0.001:
-            continue
-        if i - rev >= 0:
-            past, final = clip.images[i - rev], clip.images[i + post - 1]
-            if px.frame_delta(past, old) >= 0.004 and px.frame_delta(past, final) < 0.002 and px.frame_ssim(past, final) >= 0.997:
-                continue
-        events.append((i, max(delta, max(losses), mask)))
-    clusters: list[list[tuple[int, float]]] = []
-    for e in events:
-        if clusters and clip.t[e[0]] - clip.t[clusters[-1][-1][0]] <= 3.0:
-            clusters[-1].append(e)
-        else:
-            clusters.append([e])
-    out: list[Emit] = []
-    start = 0
-    for c in clusters:
-        if start > clip.last:
-            break
-        i = c[0][0]
-        at = terminal(clip, start, i)
-        if at > clip.last:
-            inside = terminal(clip, start, i, upto=clip.last)
-            if inside > clip.last or not all(alike(clip.images[inside], clip.images[j]) for j in range(inside + 1, at + 1)):
-                break
-            at = inside
-        out.append((at, c[0][1], ["boundary_terminal"]))
-        start = c[-1][0] + post
-        if i > clip.last:
-            break
-    return out
-
-
-def table_event(g: dict[str, float], focus: bool) -> str | None:
-    if g["residual_ratio"] >= 0.055 and g["residual_row_coverage"] >= 0.20 and g["residual_column_coverage"] >= 0.50:
-        return "viewport"
-    if focus and g["highlight_ratio"] >= 0.012 and g["highlight_row_share"] >= 0.015 and g["highlight_column_coverage"] >= 0.75:
-        return "focus"
-    return None
-
-
-def table_states(clip: Clip, focus: bool = False, hold: float = 1.0, calm: float = 5.0, quiet: float = 0.01) -> list[Emit]:
-    """Distinct, still worksheet states; `focus` also tells moved highlight rows apart."""
-    if clip.last == 0:
-        return []
-    out: list[Emit] = []
-    seen: list[int] = []
-    k, first_done, pending, kinds = clip.steps(hold), False, False, set()
-    peak, event_at, still, candidate = 0.0, 0.0, 0, None
-
-    def new(i: int) -> bool:
-        return all(table_event(px.table_geometry(clip.images[j], clip.images[i]), focus) for j in seen)
-
-    for i in range(1, len(clip.t)):
-        g = px.table_geometry(clip.images[i - 1], clip.images[i])
-        kind = table_event(g, focus)
-        if kind:
-            if i > clip.last and not pending:
-                break
-            kinds.add(kind)
-            pending, first_done, event_at, still, candidate = True, True, clip.t[i], 0, None
-            peak = max(peak, g["residual_ratio"], g["residual_row_coverage"], g["highlight_ratio"], g["highlight_column_coverage"])
-            continue
-        if pending:
-            if g["changed_ratio"] <= quiet:
-                still += 1
-                if still >= k and candidate is None and i <= clip.last:
-                    candidate = i
-            else:
-                still, candidate = 0, None
-            if candidate is not None and clip.t[i] - event_at >= calm:
-                if new(candidate):
-                    out.append((candidate, max(0.20, peak), ["table_state", *sorted(f"table_{x}" for x in kinds)]))
-                    seen.append(candidate)
-                pending, kinds, peak, candidate, still = False, set(), 0.0, None, 0
-                if i > clip.last:
-                    break
-            continue
-        if i > clip.last:
-            break
-        if not first_done:
-            still = still + 1 if g["changed_ratio"] <= quiet else 0
-            if still >= k:
-                out.append((i, 0.10, ["table_state", "table_initial"]))
-                seen.append(i)
-                first_done, still = True, 0
-    return out
-
-
-def _noise(g: dict[str, float], edge: float = 0.005) -> bool:
-    return g["component_count"] <= 4 and g["largest_area"] <= 0.006 and g["largest_width"] <= 0.08 and g["largest_height"] <= 0.12 and g["changed_ratio"] <= 0.012 and g["edge_delta"] < edge and g["block_spread"] <= 0.0625
-
-
-def _meaningful(g: dict[str, float]) -> bool:
-    return not _noise(g) and (g["changed_ratio"] >= 0.003 or g["edge_delta"] >= 0.005 or g["block_spread"] >= 0.03)
-
-
-def _quiet(g: dict[str, float]) -> bool:
-    return g["soft_changed_ratio"] <= 0.002 or _noise(g)
-
-
-def _hard(g: dict[str, float]) -> bool:
-    return g["changed_ratio"] >= 0.08 and g["block_spread"] >= 0.35
-
-
-def _additive(g: dict[str, float]) -> bool:
-    return g["retained"] >= 0.96 and g["edge_loss"] <= 0.004 and g["edge_gain"] >= 0.001
+def hybrid(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """All candidates of several selectors (uniform, content, adaptive, settled), merged by sample."""
+    columns = [*keys, "sample_index", "t_us", "score", "reasons"]
+    return merge(reduce(DataFrame.unionByName, (p.select(*columns) for p in parts)), keys)
 
 
-def _same_slide(a: np.ndarray, b: np.ndarray) -> bool:
-    g = px.slide_geometry(a, b)
-    if g["changed_ratio"] > 0.002 or g["edge_delta"] > 0.004:
-        return False
-    a, b = px.crop(a, 0.04, 0.02, 0.98, 0.90), px.crop(b, 0.04, 0.02, 0.98, 0.90)
-    return px.frame_ssim(a, b) >= 0.995 and (px.perceptual_hash(a) ^ px.perceptual_hash(b)).bit_count() <= 4
-
-
-def _slide_states(clip: Clip, hold: float, calm: float) -> Iterator[tuple[int, float, bool]]:
-    """(frame, score, hard) of each state that a slide settles in."""
-    k = clip.steps(hold)
-    geometry = lambda a, b: px.slide_geometry(clip.images[a], clip.images[b])
-    anchor, run, still, n = None, 0, 0, len(clip.t)
-    event = hard = False
-    peak, event_at, candidate, start = 0.0, 0.0, None, None
-
-    def state() -> tuple[int, float, bool]:
-        g = geometry(anchor, candidate)
-        return candidate, max(0.20, peak, g["changed_ratio"], g["edge_delta"]), not _additive(g) and (hard or _hard(g))
-
-    for i in range(1, n):
-        step = geometry(i - 1, i)
-        if anchor is None:
-            if i > clip.last:
-                return
-            if _quiet(step) and _quiet(geometry(run, i)):
-                still += 1
-            else:
-                run, still = i, 0
-            if still >= k:
-                yield i, 0.10, False
-                anchor = i
-            continue
-        if not event:
-            if i > clip.last:
-                return
-            g = geometry(anchor, i)
-            if _meaningful(g):
-                event, hard, peak = True, _hard(g), max(g["changed_ratio"], g["edge_delta"], g["block_spread"])
-                event_at, candidate, start, still = clip.t[i], None, None, 0
-            continue
-        if _meaningful(step):
-            g = geometry(anchor, i)
-            event_at, candidate, start, still = clip.t[i], None, None, 0
-            hard, peak = hard or _hard(g), max(peak, g["changed_ratio"], g["edge_delta"], g["block_spread"])
-        elif _quiet(step):
-            start = i - 1 if start is None else start
-            if _quiet(geometry(start, i)):
-                still += 1
-                if still >= k and candidate is None and i <= clip.last:
-                    candidate = i
-            else:
-                start, still, candidate, event_at = i, 0, None, clip.t[i]
-        else:
-            candidate, start, still, event_at = None, None, 0, clip.t[i]
-        if candidate is not None and clip.t[i] - event_at >= calm:
-            yield state()
-            anchor, event = candidate, False
-            if i > clip.last:
-                return
-    if event and candidate is not None:
-        yield state()
-
-
-def presentation_states(clip: Clip, hold: float = 1.0, calm: float = 2.0) -> list[Emit]:
-    """The final picture of each slide: builds that only add are one state, shown once."""
-    if clip.fps < 1:
-        raise ValueError("presentation states need at least one frame a second")
-    out: list[Emit] = []
-    seen: list[int] = []
-    held: tuple[int, float, list[str]] | None = None
-    for i, score, hard in _slide_states(clip, hold, calm):
-        if any(_same_slide(clip.images[j], clip.images[i]) for j in seen):
-            continue
-        seen.append(i)
-        if held is None:
-            held = (i, score, [])
-        elif not hard and _additive(px.slide_geometry(clip.images[held[0]], clip.images[i])):
-            held = (i, max(held[1], score), ["additive_build_final"])
-        else:
-            out.append((held[0], held[1], [*held[2], "page_terminal" if hard else "pre_replacement"]))
-            held = (i, score, [])
-    if held is not None:
-        out.append((held[0], held[1], [*held[2], "bounded_tail_stable"]))
-    return out
-
-
-STRATEGIES = {"settled": settled, "boundary_terminal": boundary_terminal, "table_viewport": table_states, "table_focus": lambda c: table_states(c, True), "presentation_states": presentation_states}
-
+# ---- clips -------------------------------------------------------------------------------
 
 def select_clips(frames: DataFrame, keys: Sequence[str], strategy: str | Column, fps: float) -> DataFrame:
     """Run a clip selector for each group of frames(keys, sample_index, t, h, w, gray, lookahead).
@@ -365,10 +102,12 @@ def select_clips(frames: DataFrame, keys: Sequence[str], strategy: str | Column,
             part = part.iloc[:0]
             return pd.DataFrame({**{k: part[k] for k in keys}, "sample_index": pd.Series(dtype="int64"), "t": pd.Series(dtype="float64"), "score": pd.Series(dtype="float64"), "reasons": pd.Series(dtype=object)})
         name = part["_strategy"].iloc[0]
-        got = STRATEGIES[name](Clip(part["t"].tolist(), images, fps, int(inside[-1])))
-        if any(i > inside[-1] for i, _, _ in got) and name != "settled":
+        last = int(inside[-1])
+        # settled has no use for look-ahead: its clip ends with the segment
+        size = last + 1 if name == "settled" else len(images)
+        got = STRATEGIES[name](automata.Clip(part["t"].tolist()[:size], images[:size], fps, last))
+        if any(i > last for i, _, _ in got):
             raise RuntimeError("a selector emitted a look-ahead frame")
-        got = [x for x in got if x[0] <= inside[-1]]
         out = pd.DataFrame({"sample_index": [int(part["sample_index"][i]) for i, _, _ in got], "t": [float(part["t"][i]) for i, _, _ in got], "score": [float(s) for _, s, _ in got], "reasons": pd.Series([r for _, _, r in got], dtype=object)})
         for k in keys:
             out[k] = part[k].iloc[0]
@@ -378,21 +117,77 @@ def select_clips(frames: DataFrame, keys: Sequence[str], strategy: str | Column,
     return own.groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), CANDIDATE]))
 
 
-def dedup_kept(rows: list[dict], same, window: int = 6) -> tuple[list[dict], list[dict]]:
-    """Fold over candidates in time order against the last `window` kept ones, oldest first.
+def routed(frames: DataFrame, keys: Sequence[str], fps: float) -> DataFrame:
+    """Candidates of each routed segment by the selector of its kind, with the route's reasons.
+
+    frames(keys, segment_id, kind, selector, sample_index, t, h, w, gray, lookahead) as dispatch()
+    deals them. Indices stay those of the source; a frame of the look-ahead is never emitted.
+    """
+    own = select_clips(frames, [*keys, "segment_id", "kind", "selector"], F.col("selector"), fps)
+    tags = F.array(F.concat(F.lit("route:segment="), "segment_id"), F.concat(F.lit("route:kind="), "kind"), F.concat(F.lit("route:selector="), "selector"))
+    return own.select(*keys, "sample_index", F.rint(F.col("t") * 1e6).cast("long").alias("t_us"), "score", F.array_sort(F.array_distinct(F.concat("reasons", tags))).alias("reasons"), "segment_id")
+
+
+def fold_duplicates(rows: list[dict], differences, window: int = 6) -> tuple[list[dict], list[dict]]:
+    """Fold candidates in time order against the last `window` kept ones, oldest first.
 
-    The first match wins: the row of higher (rank, score, t) stays in its place, reasons are merged.
+    differences(old, new) is the measured (hash distance, ssim, block change) of a duplicate, or
+    None. The first match wins: the row of greater (rank, score, t) takes the place, reasons are
+    merged, and the other one is dropped with what was measured.
     """
+    priority = lambda r: (r["rank"], r["score"], r["t_us"])
     kept: list[dict] = []
     dropped: list[dict] = []
     for row in rows:
-        for at in range(max(0, len(kept) - window), len(kept)):
-            old = kept[at]
-            if same(old, row):
-                better, worse = (row, old) if (row["rank"], row["score"], row["t"]) > (old["rank"], old["score"], old["t"]) else (old, row)
-                kept[at] = better | {"reasons": sorted(set(old["reasons"]) | set(row["reasons"]))}
-                dropped.append({**worse, "duplicate_of": better["t"]})
-                break
-        else:
+        hits = ((at, differences(kept[at], row)) for at in range(max(0, len(kept) - window), len(kept)))
+        at, measured = next((h for h in hits if h[1] is not None), (len(kept), None))
+        if measured is None:
             kept.append(row)
-    return sorted(kept, key=lambda r: (r["t"], r["sample_index"])), dropped
+            continue
+        worse, better = sorted((kept[at], row), key=priority) if priority(row) != priority(kept[at]) else (row, kept[at])
+        kept[at] = better | {"reasons": sorted({*kept[at]["reasons"], *row["reasons"]})}
+        dropped.append({**worse, "duplicate_of_us": better["t_us"], "measured": measured})
+    return sorted(kept, key=lambda r: (r["t_us"], r["sample_index"])), dropped
+
+
+def measured(a: np.ndarray, b: np.ndarray, bits: int = 4, ssim: float = 0.996, block: float = 0.012) -> tuple[int, float, float] | None:
+    """(hash distance, ssim, block change) of near-duplicate frames, else None; the cheapest test comes first."""
+    apart = (px.perceptual_hash(a) ^ px.perceptual_hash(b)).bit_count()
+    if apart > bits or (like := px.frame_ssim(a, b)) < ssim or (change := px.block_change(a, b)) > block:
+        return None
+    return apart, like, change
+
+
+def deduplicate(candidates: DataFrame, frames: DataFrame, keys: Sequence[str], window: int = 6, bits: int = 4, ssim: float = 0.996, block: float = 0.012) -> DataFrame:
+    """Merged candidates with status kept or duplicate, and of duplicates of what and by which measures.
+
+    frames(keys, sample_index, h, w, gray). A group is one source's candidates and their frames.
+    """
+    own = candidates.withColumn("rank", priority()["rank"]).join(frames.select(*keys, "sample_index", "h", "w", "gray"), [*keys, "sample_index"])
+    columns = [*keys, "sample_index", "t_us", "score", "reasons", "segment_id"]
+    own = own.select(*columns, "rank", "h", "w", "gray")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        rows = part.sort_values(["t_us", "sample_index"], kind="stable").to_dict("records")
+        for r in rows:
+            r["image"], r["reasons"] = np.frombuffer(r.pop("gray"), np.uint8).reshape(r.pop("h"), r.pop("w")), list(r["reasons"])
+        kept, dropped = fold_duplicates(rows, lambda a, b: measured(a["image"], b["image"], bits, ssim, block), window)
+        out = [(*(r[c] for c in columns), "kept", None, None, None, None) for r in kept]
+        out += [(*(r[c] for c in columns), "duplicate", r["duplicate_of_us"], *r["measured"]) for r in dropped]
+        return pd.DataFrame(out, columns=[*columns, "status", "duplicate_of_us", "phash_distance", "ssim", "block_change"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
+    return own.groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "status string, duplicate_of_us long, phash_distance int, ssim double, block_change double"]))
+
+
+def finalize(candidates: DataFrame, frames: DataFrame, keys: Sequence[str], most: int, unique: bool = True) -> DataFrame:
+    """Merged candidates with status selected, duplicate or capped: merge, de-duplicate, cap in time."""
+    raw = merge(candidates, keys)
+    extra = ["duplicate_of_us", "phash_distance", "ssim", "block_change"]
+    if unique:
+        marked = deduplicate(raw, frames, keys)
+    else:
+        marked = raw.withColumns({"status": F.lit("kept"), **{c: F.lit(None).cast("long" if c == "duplicate_of_us" else "int" if c == "phash_distance" else "double") for c in extra}})
+    columns = [*keys, "sample_index", "t_us", "score", "reasons", "segment_id", "status", *extra]
+    capped = cap(marked.where("status = 'kept'"), keys, most).withColumn("status", F.when(F.col("kept"), "selected").otherwise("capped"))
+    return capped.select(*columns).unionByName(marked.where("status = 'duplicate'").select(*columns))

@@ -3,8 +3,9 @@ needed, and Arrow groups by source for the fixpoints. A group is one source's se
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,36 +90,46 @@ def first_stable(df: DataFrame, keys: Sequence[str], order: Sequence[str], score
     return ends.withColumn("settled_index", F.coalesce(F.min("_end").over(w.rowsBetween(k, Window.unboundedFollowing)), F.col(index))).drop("_end")
 
 
+def _folded(df: DataFrame, keys: Sequence[str], columns: list[str], keep: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
+    """The rows of each source that a sequential rule keeps, one group of scalars in order for each source."""
+    own = df.select(*keys, *columns)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(columns, kind="stable")
+        return part.iloc[keep(part)]
+
+    return own.groupBy(*keys).applyInPandas(run, own.schema)
+
+
 def greedy_gap(df: DataFrame, keys: Sequence[str], t: str, least: int, *payload: str, settled: str | None = None) -> DataFrame:
     """Rows that a greedy pass keeps, each at least `least` after the (settled) time of the last kept one."""
     last = settled or t
-    rows = F.array_sort(F.collect_list(F.struct(t, *[c for c in dict.fromkeys([last, *payload]) if c != t])))
-    kept = F.aggregate(
-        "_rows",
-        F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(_array_type(df, [t, *[c for c in dict.fromkeys([last, *payload]) if c != t]])).alias("out")),
-        lambda a, x: F.when(a["last"].isNull() | (x[t] - a["last"] >= least), F.struct(x[last].cast("long").alias("last"), F.array_append(a["out"], x).alias("out"))).otherwise(a),
-        lambda a: a["out"],
-    )
-    return df.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, F.explode(kept).alias("_x")).select(*keys, "_x.*")
 
+    def keep(part: pd.DataFrame) -> np.ndarray:
+        out, free = [], None
+        for i, (at, until) in enumerate(zip(part[t].tolist(), part[last].tolist())):
+            if free is None or at >= free:
+                out.append(i)
+                free = until + least
+        return np.array(out, np.int64)
 
-def _array_type(df: DataFrame, columns: list[str]) -> str:
-    return "array<struct<" + ", ".join(f"`{c}`: {df.schema[c].dataType.simpleString()}" for c in columns) + ">>"
+    return _folded(df, keys, list(dict.fromkeys([t, last, *payload])), keep)
 
 
 def collapse(df: DataFrame, keys: Sequence[str], t: str, score: str, within: int) -> DataFrame:
     """Rows closer than `within` to the current representative are one; a strictly higher score takes its place."""
-    cell = _array_type(df, [t, score])
-    kept = F.aggregate(
-        "_rows",
-        F.array().cast(cell),
-        lambda a, x: F.when((F.size(a) == 0) | (x[t] - F.element_at(a, -1)[t] >= within), F.array_append(a, x)).otherwise(
-            F.when(x[score] > F.element_at(a, -1)[score], F.array_append(F.slice(a, F.lit(1), F.size(a) - 1), x)).otherwise(a)
-        ),
-    )
-    # element_at fails on an empty array, which the first branch keeps from it
-    safe = F.when(F.size("_rows") > 0, kept)
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(t, score))).alias("_rows")).select(*keys, F.explode(safe).alias("_x")).select(*keys, "_x.*")
+
+    def keep(part: pd.DataFrame) -> np.ndarray:
+        times, scores = part[t].tolist(), part[score].tolist()
+        out: list[int] = []
+        for i, at in enumerate(times):
+            if not out or at - times[out[-1]] >= within:
+                out.append(i)
+            elif scores[i] > scores[out[-1]]:
+                out[-1] = i
+        return np.array(out, np.int64)
+
+    return _folded(df, keys, [t, score], keep)
 
 
 def spaced(rows: list[tuple[float, float]], start: float, end: float, least: float) -> list[tuple[float, float]]:

@@ -63,24 +63,24 @@ def align_nearby_window(spark, sf_dir):
 
 @query(
     sql("speech frames", """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY t_us, k, event_id) AS BIGINT) AS position, event_id, kind, t_us FROM (
- SELECT conv_id, 0 AS k, 'visual' AS kind, 'visual-' || lpad(CAST(frame_id AS VARCHAR), 8, '0') AS event_id, t_us FROM frames UNION ALL
- SELECT conv_id, 1, 'speech', 'speech-' || lpad(CAST(speech_id AS VARCHAR), 8, '0'), start_us FROM speech)""")
+ SELECT conv_id, 0 AS k, 'visual' AS kind, printf('visual-%04d', row_number() OVER (PARTITION BY conv_id ORDER BY t_us, frame_id)) AS event_id, t_us FROM frames UNION ALL
+ SELECT conv_id, 1, 'speech', printf('speech-%04d', row_number() OVER (PARTITION BY conv_id ORDER BY start_us, speech_id)), start_us FROM speech)""")
 )
 def align_timeline_union(spark, sf_dir):
-    a = adapters.frames(spark, sf_dir).select("conv_id", F.lit(0).alias("k"), F.lit("visual").alias("kind"), F.format_string("visual-%08d", "frame_id").alias("event_id"), "t_us")
-    b = adapters.speech(spark, sf_dir).select("conv_id", F.lit(1).alias("k"), F.lit("speech").alias("kind"), F.format_string("speech-%08d", "speech_id").alias("event_id"), F.col("start_us").alias("t_us"))
+    own = joins.timeline(adapters.frames(spark, sf_dir).withColumnRenamed("frame_id", "sample_index"), adapters.speech(spark, sf_dir), ["conv_id"])
     w = Window.partitionBy("conv_id").orderBy("t_us", "k", "event_id")
-    return a.unionByName(b).select("conv_id", F.row_number().over(w).cast("long").alias("position"), "event_id", "kind", "t_us")
+    return own.select("conv_id", F.row_number().over(w).cast("long").alias("position"), "event_id", "kind", "t_us")
 
 
 @query(
-    sql("speech", """, a AS (SELECT conv_id, speech_id AS anchor_id, start_us, end_us, substr(text, 1, 12) AS expected_span, substr(text, 5, 6) AS baseline_span FROM speech WHERE speech_id % 3 = 0 AND length(text) >= 12),
+    sql("speech", """, a AS (SELECT conv_id, speech_id AS anchor_id, start_us, end_us, text AS expected_span, lag(text) OVER (PARTITION BY conv_id ORDER BY speech_id) AS baseline_span FROM speech),
  p AS (SELECT a.conv_id, a.anchor_id, contains(s.text, expected_span) AS e, contains(s.text, baseline_span) AS b, s.end_us >= a.start_us - 750000 AND s.start_us <= a.end_us + 750000 AS near FROM a JOIN speech s USING (conv_id))
  SELECT conv_id, anchor_id, CASE WHEN bool_or(e AND near) THEN 'expected_exact' WHEN bool_or(b AND near) THEN 'baseline_error_persists' ELSE 'other_output' END AS outcome, count(*) FILTER (near) AS near, count(*) FILTER (e AND NOT near) AS off_anchor FROM p GROUP BY 1, 2""").replace(") , a AS", "), a AS")
 )
 def anchor_closed_window(spark, sf_dir):
     own = adapters.speech(spark, sf_dir)
-    anchors = own.where("speech_id % 3 = 0 and length(text) >= 12").select("conv_id", F.col("speech_id").alias("anchor_id"), "start_us", "end_us", F.substring("text", 1, 12).alias("expected_span"), F.substring("text", 5, 6).alias("baseline_span"))
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("speech_id"))
+    anchors = own.select("conv_id", F.col("speech_id").alias("anchor_id"), "start_us", "end_us", F.col("text").alias("expected_span"), before.alias("baseline_span"))
     return evaluate.anchor_scores(anchors, own, ["conv_id"]).select("conv_id", "anchor_id", "outcome", "near", "off_anchor")
 
 
@@ -113,11 +113,13 @@ def nearest_sample(spark, sf_dir):
     return joins.nearest(_grid(spark, sf_dir), last, ["user_id"], "probe_us", "t_us", ["sample_index"])
 
 
-@query(sql("speech", """, x AS (SELECT conv_id, speech_id AS k FROM speech WHERE speech_id % 2 = 0), y AS (SELECT conv_id, speech_id AS k FROM speech WHERE speech_id % 3 = 0)
- SELECT CASE WHEN x.k IS NULL THEN 'missing_left' WHEN y.k IS NULL THEN 'missing_right' ELSE 'matched' END AS status, count(*) AS n FROM x FULL JOIN y ON x.conv_id = y.conv_id AND x.k = y.k GROUP BY 1""").replace(") , x AS", "), x AS"))
+@query(sql("speech ranges frames", "").rstrip() + STATUS + """, x AS (SELECT DISTINCT conv_id, speech_id FROM linked WHERE speech_id IS NOT NULL)
+ SELECT CASE WHEN x.speech_id IS NULL THEN 'missing_left' WHEN s.speech_id IS NULL THEN 'missing_right' ELSE 'matched' END AS status, count(*) AS n FROM x FULL JOIN speech s ON x.conv_id = s.conv_id AND x.speech_id = s.speech_id GROUP BY 1""")
 def one_to_one_status(spark, sf_dir):
-    own = adapters.speech(spark, sf_dir).select(F.concat_ws(":", "conv_id", "speech_id").alias("key"), "speech_id")
-    return joins.one_to_one(own.where("speech_id % 2 = 0"), own.where("speech_id % 3 = 0"), "key").groupBy("status").agg(F.count("*").alias("n"))
+    """Speech that a frame links to, against all speech."""
+    key = F.concat_ws(":", "conv_id", "speech_id").alias("key")
+    seen = _aligned(spark, sf_dir).where("speech_id is not null").select(key).distinct()
+    return joins.one_to_one(seen, adapters.speech(spark, sf_dir).select(key), "key").groupBy("status").agg(F.count("*").alias("n"))
 
 
 # ---- sequences ---------------------------------------------------------------------------
@@ -201,7 +203,7 @@ m AS (SELECT doc_id, sum(w * w) AS s FROM b GROUP BY 1)"""
 def cosine_adjacent(spark, sf_dir):
     w = Window.partitionBy("source").orderBy("doc_id")
     own = table(spark, sf_dir, "documents").withColumn("_n", textual.normalise(F.col("text"))).select("doc_id", F.col("_n").alias("b"), F.lag("_n").over(w).alias("a")).where("a is not null")
-    return chapters.cosine(own, ["doc_id"], "a", "b").select("doc_id", F.round("similarity", 6).alias("similarity"))
+    return chapters.cosine(own, "a", "b").select("doc_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("SELECT doc_id, CASE WHEN t ~ '^the.*' THEN 0.9 WHEN regexp_matches(t, '^(in|of|and)') THEN 0.84 WHEN contains(t, 'tion') THEN 0.6 ELSE 0.0 END::DOUBLE AS score, concat_ws(',', CASE WHEN starts_with(t, 'the') THEN 'opens_with_article' END, CASE WHEN contains(t, 'tion') THEN 'abstract_noun' END, CASE WHEN regexp_matches(t, '^(in|of|and)') THEN 'continues' END) AS names FROM (SELECT doc_id, lower(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS t FROM documents)")

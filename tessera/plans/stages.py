@@ -6,9 +6,11 @@ writes, so that earlier stages' ledgers stay as they were.
 
 from __future__ import annotations
 
-import html
-from collections.abc import Callable, Sequence
+import itertools
+from collections import Counter
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from ..operators import chapters, joins
 from ..operators import require as checks
 from ..operators.require import Violation
 from ..sources import ledgers
+from . import reports
 
 KEYS = ["video_id"]
 
@@ -38,8 +41,7 @@ def align(frames: DataFrame, ocr: DataFrame, speech: DataFrame, ranges: DataFram
     own = both.drop("ocr_us")
     links = joins.align_points(own, speech.drop("text"), KEYS, ranges)
     near = joins.nearby_speech(own, speech, KEYS, ranges, context_us, context_us)
-    events = own.select(*KEYS, F.lit(0).alias("k"), F.lit("visual").alias("kind"), F.format_string("visual-%08d", "sample_index").alias("event_id"), "t_us")
-    timeline = events.unionByName(speech.select(*KEYS, F.lit(1).alias("k"), F.lit("speech").alias("kind"), F.format_string("speech-%08d", "speech_id").alias("event_id"), F.col("start_us").alias("t_us")))
+    timeline = joins.timeline(own, speech, KEYS)
     summary = links.groupBy(*KEYS, "status").agg(F.count_distinct("sample_index").alias("frames"), F.count("speech_id").alias("links"))
     return {"links": links, "nearby": near, "timeline": timeline.orderBy(*KEYS, "t_us", "k", "event_id"), "summary": summary}
 
@@ -75,25 +77,44 @@ def export(events: DataFrame, parts: DataFrame) -> DataFrame:
 
 def review_html(title: str, rows: Sequence[dict], columns: Sequence[str]) -> bytes:
     """A table for reviewers; every value is escaped and no script can run."""
-    head = "".join(f"<th>{html.escape(c)}</th>" for c in columns)
-    body = "".join("<tr>" + "".join(f"<td>{html.escape(str(r.get(c, '')))}</td>" for c in columns) + "</tr>" for r in rows)
-    return f"<!doctype html><meta charset=utf-8><meta http-equiv=Content-Security-Policy content=\"default-src 'none'; style-src 'unsafe-inline'; img-src 'self'\"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table>\n".encode()
+    return reports.page(title, reports.table(rows, columns))
 
 
 @dataclass
 class Workflow:
-    """Stages in order, each with a gate over its ledgers; the first failure ends the run and is recorded."""
+    """Stages in order, each with a gate over its ledgers; the first failure ends the run and is recorded.
+
+    After each change of state the status document and page in the run's folder are replaced as a
+    whole, and `progress` is told.
+    """
 
     spark: SparkSession
     folder: str
     stages: list[tuple[str, Callable[[SparkSession, str], dict[str, DataFrame]], Callable[[dict[str, DataFrame]], None] | None]]
+    progress: Callable[[dict], None] | None = None
     status: dict[str, str] = field(default_factory=dict)
     error: str | None = None
 
+    def document(self) -> dict:
+        done = set(self.status.values())
+        state = "error" if "error" in done else "running" if done & {"running", "pending"} else "ok"
+        now = next((n for n, s in self.status.items() if s == "running"), None)
+        return {"kind": "workflow", "schema_version": 1, "status": state, "current_stage": now, "stages": dict(self.status), "error": self.error}
+
+    def tell(self, name: str, state: str) -> None:
+        self.status[name] = state
+        doc = self.document()
+        if "://" not in self.folder:
+            Path(self.folder).mkdir(parents=True, exist_ok=True)
+            ledgers.replace(Path(self.folder, "workflow.json"), doc)
+            ledgers.replace_bytes(Path(self.folder, "status.html"), reports.status_page("Workflow", self.status, self.error))
+        if self.progress:
+            self.progress(doc)
+
     def run(self) -> dict:
         self.status = {name: "pending" for name, _, _ in self.stages}
         for name, work, gate in self.stages:
-            self.status[name] = "running"
+            self.tell(name, "running")
             try:
                 out = work(self.spark, self.folder)
                 if gate:
@@ -101,22 +122,78 @@ class Workflow:
                 for ledger, df in out.items():
                     df.write.mode("errorifexists").parquet(f"{self.folder}/{name}/{ledger}")
             except Exception as e:
-                self.status[name], self.error = "error", f"{type(e).__name__}: {str(e)[:500]}"
+                self.error = f"{type(e).__name__}: {str(e)[:500]}"
+                self.tell(name, "error")
                 raise
-            self.status[name] = "ok"
-        return {"status": "ok", "stages": self.status}
-
-
-def run_batch(items: Sequence[str], work: Callable[[str], None], most: int = 50) -> dict:
-    """Items one after the other; a failure is recorded and the rest go on. Status ok, partial or error."""
+            self.tell(name, "ok")
+        return {"status": "ok", "stages": dict(self.status)}
+
+
+def unique_names(names: Sequence[str], taken: Sequence[str] = (), most: int = 80) -> list[str]:
+    """Run names that differ in more than case from each other and from those taken: a number is added."""
+    held = {t.casefold() for t in taken}
+    out = []
+    for base in names:
+        tries = itertools.chain([base], (f"{base[: most - len(f'-{k}')]}-{k}" for k in itertools.count(2)))
+        out.append(next(t for t in tries if t.casefold() not in held))
+        held.add(out[-1].casefold())
+    return out
+
+
+def confined(root: Path, name: str) -> Path:
+    """A file below root by its relative name; a name or link that leaves root, or is hidden, is refused."""
+    path = (Path(root) / name).resolve()
+    inside = Path(root).resolve() in path.parents
+    if not inside or any(p.startswith(".") for p in Path(name).parts):
+        raise Violation("the path leaves the run's folder")
+    return path
+
+
+def land(source: Iterable[bytes], size: int, target: Path, check: Callable[[Path], None]) -> Path:
+    """Copy an announced number of bytes into a landing folder: the file gets its name only if it is
+    whole and `check` does not raise; else nothing is left."""
+    target = Path(target)
+    if target.exists():
+        raise Violation(f"{target} exists")
+    target.parent.mkdir(parents=True, exist_ok=True)
+    hidden = target.with_name(f".{target.name}.part")
+    try:
+        with open(hidden, "wb") as f:
+            got = sum(f.write(part) for part in source)
+        if got != size:
+            raise Violation(f"{got} of {size} bytes arrived")
+        check(hidden)
+        hidden.rename(target)
+    finally:
+        hidden.unlink(missing_ok=True)
+    return target
+
+
+def run_batch(items: Sequence[str], work: Callable[[str], None], most: int = 50, ledger: Path | None = None) -> dict:
+    """Items one after the other; a failure is recorded and the rest go on. Status ok, partial or error.
+
+    With `ledger`, a file, the batch's document is replaced after each change, so that a batch that
+    is broken off shows how far it came.
+    """
     if not 1 <= len(items) <= most or len(set(items)) != len(items):
         raise ValueError(f"a batch has 1 to {most} different items")
-    done = {}
+    done = {item: "pending" for item in items}
+
+    def document() -> dict:
+        n = Counter(v.split(":")[0] for v in done.values())
+        state = "running" if n["pending"] or n["running"] else "ok" if n["ok"] == len(items) else "partial" if n["ok"] else "error"
+        return {"kind": "batch", "status": state, "items": dict(done), "summary": {"ok": n["ok"], "error": n["error"], "pending": n["pending"]}}
+
+    def tell(item: str, state: str) -> None:
+        done[item] = state
+        if ledger:
+            ledgers.replace(Path(ledger), document())
+
     for item in items:
+        tell(item, "running")
         try:
             work(item)
-            done[item] = "ok"
+            tell(item, "ok")
         except Exception as e:
-            done[item] = f"error: {e}"
-    good = sum(v == "ok" for v in done.values())
-    return {"status": "ok" if good == len(items) else "partial" if good else "error", "items": done, "summary": {"ok": good, "error": len(items) - good, "pending": 0}}
+            tell(item, f"error: {e}")
+    return document()

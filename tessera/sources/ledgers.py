@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import os
 import re
 import shutil
@@ -86,12 +87,77 @@ def publish(target: Path, files: dict[str, bytes], inputs: dict[Path, str] | Non
 
 def replace(path: Path, doc: dict) -> None:
     """Replace a status document in one step."""
+    replace_bytes(path, document(doc))
+
+
+def replace_bytes(path: Path, body: bytes) -> None:
     path = Path(path)
     hidden = path.with_name(f".{path.name}.{os.getpid()}")
-    hidden.write_bytes(document(doc))
+    hidden.write_bytes(body)
     os.replace(hidden, path)
 
 
+class Fields:
+    """Typed access to a JSON object: a value of another kind is a violation that names its place."""
+
+    def __init__(self, value: object, place: str = "document"):
+        if not isinstance(value, dict):
+            raise Violation(f"{place} is no object")
+        self.value, self.place = value, place
+
+    def _get(self, key: str, ok: bool, kind: str) -> object:
+        if not ok:
+            raise Violation(f"{self.place}.{key} is no {kind}")
+        return self.value[key]
+
+    def fields(self, key: str) -> Fields:
+        return Fields(self.value.get(key), f"{self.place}.{key}")
+
+    def items(self, key: str) -> list:
+        return self._get(key, isinstance(self.value.get(key), list), "list")
+
+    def number(self, key: str) -> float:
+        v = self.value.get(key)
+        return float(self._get(key, isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v), "finite number"))
+
+    def integer(self, key: str) -> int:
+        v = self.value.get(key)
+        return self._get(key, isinstance(v, int) and not isinstance(v, bool), "integer")
+
+    def text(self, key: str) -> str:
+        v = self.value.get(key)
+        return self._get(key, isinstance(v, str) and bool(v.strip()), "text")
+
+    def event(self, key: str, kind: str) -> str:
+        """An event id as in visual-0001."""
+        v = self.value.get(key)
+        return self._get(key, isinstance(v, str) and bool(re.fullmatch(rf"{kind}-\d{{4,}}", v)), f"{kind} event")
+
+
+def bind(**sides: DataFrame) -> None:
+    """Raise unless all ledgers name the same sources with the same hashes.
+
+    Each side is (video_id, and hashes in columns that end in _sha256); sides share the columns that
+    they both have.
+    """
+    named = list(sides.items())
+    for (a, left), (b, right) in zip(named, named[1:]):
+        shared = [c for c in left.columns if c in right.columns and (c == "video_id" or c.endswith("_sha256"))]
+        x, y = left.select(*shared).distinct(), right.select(*shared).distinct()
+        if x.exceptAll(y).limit(1).count() or y.exceptAll(x).limit(1).count():
+            raise Violation(f"{a} and {b} are not of the same sources")
+
+
+def same_speech(aligned: DataFrame, raw: DataFrame, columns: tuple[str, ...] = ("speech_id", "start_us", "end_us", "text")) -> None:
+    """Raise unless aligned speech is the raw speech, row by row in time order."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("video_id").orderBy("start_us", "speech_id")
+    own = [df.select("video_id", F.row_number().over(w).alias("n"), *columns) for df in (aligned, raw)]
+    if own[0].exceptAll(own[1]).limit(1).count() or own[1].exceptAll(own[0]).limit(1).count():
+        raise Violation("aligned speech is not the raw speech")
+
+
 def document(doc: dict) -> bytes:
     return (json.dumps(doc, ensure_ascii=False, indent=2) + "\n").encode()
 

@@ -85,8 +85,16 @@ def audio_checks(files: DataFrame, slack: float = 1.0) -> DataFrame:
     return files.select("path", "content", "requested_seconds").mapInPandas(run, "path string, seconds double, ok boolean, error string")
 
 
-def sampled(frames: DataFrame, keys: list[str], fps: float) -> DataFrame:
-    """Frames at a constant analysis rate: the first in each slot of 1 / fps seconds."""
-    slot = F.floor((F.col("t") + 0.5 / F.col("source_fps") - F.col("range_start")) * fps + 1e-9)
-    first = frames.withColumn("_slot", slot).groupBy(*keys, "_slot").agg(F.min_by(F.struct(*[c for c in frames.columns if c not in keys]), "t").alias("x"))
-    return first.select(*keys, "x.*")
+def coarse_grid(metadata: DataFrame, interval: float, most: int, start: float = 0.0, length: float | None = None) -> DataFrame:
+    """(video_id, position, t): probes every `interval` seconds of the range, with a last one near the
+    end where the grid leaves a gap there. A source that would have more than `most` aborts."""
+    if interval <= 0 or most < 1:
+        raise ValueError("an interval is positive, and so is the number of frames")
+    span = clamp_range(F.lit(start), F.lit(float("inf") if length is None else length), F.col("frame_count") / F.col("fps"))
+    own = metadata.select("video_id", "fps", span.alias("r")).select("video_id", "fps", "r.start", "r.end")
+    n = F.least(F.greatest(F.ceil((F.col("end") - 1e-6 - F.col("start")) / interval), F.lit(0)), F.lit(most)).cast("int")
+    grid = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.col("start") + k * interval)).otherwise(F.array().cast("array<double>"))
+    short = (n == 0) | (F.get(grid, n - 1) < F.col("end") - min(0.25 * interval, 2.0))
+    whole = F.concat(grid, F.when(short, F.array(F.greatest(F.col("start"), F.col("end") - 1.0 / F.col("fps")))).otherwise(F.array().cast("array<double>")))
+    own = own.withColumn("g", whole).where(F.when(F.size("g") > most, F.raise_error(F.lit("more frames than allowed; take a longer interval")).cast("boolean")).otherwise(True))
+    return own.select("video_id", F.posexplode("g").alias("position", "t"))

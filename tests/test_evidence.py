@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import pixels as px
 from tessera.functions import textual
 from tessera.functions import time as clock
-from tessera.operators import chapters, evaluate, joins, require, routing, selectors, sequences, speech
+from tessera.operators import chapters, evaluate, joins, require, routing, sequences, speech
 
 
 def rows(df):
@@ -142,16 +142,3 @@ def test_pixel_kernels():
         px.frame_delta(a, a[:-1])
 
 
-def test_additive_builds_end_in_one_state():
-    frames = [slide(1, n) for n in (1, 2, 3) for _ in range(6)] + [slide(2, 2)] * 8
-    got = selectors.presentation_states(selectors.Clip([i / 2 for i in range(len(frames))], frames, 2.0))
-    assert len(got) == 2 and got[0][2] == ["additive_build_final", "page_terminal"] and 12 <= got[0][0] < 18
-
-
-def test_equal_priority_duplicate_keeps_the_later():
-    base = np.zeros((96, 160), np.uint8)
-    other = base.copy()
-    other[:40, :40] = 200
-    cells = [{"sample_index": i, "t": float(i), "score": 0.1, "rank": 1, "reasons": ["r"], "img": x} for i, x in enumerate((base, base, other))]
-    kept, dropped = selectors.dedup_kept(cells, lambda a, b: selectors.alike(a["img"], b["img"]))
-    assert [k["sample_index"] for k in kept] == [1, 2] and [d["sample_index"] for d in dropped] == [0]
