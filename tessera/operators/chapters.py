@@ -57,9 +57,9 @@ def boundary_features(speech: DataFrame, keys: Sequence[str], window_us: int = 4
     w = Window.partitionBy(*keys).orderBy("start_us", "speech_id")
     cue = textual.cues(textual.normalise(F.concat_ws(" ", "text", "_next")), patterns)
     own = speech.withColumns({"_before": F.lag("end_us").over(w), "_next": F.lead("text").over(w), "norm": textual.normalise(F.coalesce("text", F.lit("")))})
-    pause = F.greatest(F.lit(0), F.col("start_us") - F.col("_before"))
+    pause = F.when(F.col("_before").isNotNull(), F.greatest(F.lit(0), F.col("start_us") - F.col("_before")))
     own = own.withColumn("_cue", F.when(F.col("_before").isNotNull(), cue))
-    own = own.select(*keys, "speech_id", "start_us", "end_us", "norm", F.round("_cue.score", 6).alias("discourse"), F.round(F.least(F.lit(1.0), pause / 1_500_000.0), 6).alias("pause"), pause.alias("pause_us"), F.col("_cue.names").alias("cues"))
+    own = own.select(*keys, "speech_id", "start_us", "end_us", "norm", F.round("_cue.score", 6).alias("discourse"), F.when(pause.isNotNull(), F.round(F.least(F.lit(1.0), pause / 1_500_000.0), 6)).alias("pause"), pause.alias("pause_us"), F.col("_cue.names").alias("cues"))
     kept = [*keys, "speech_id", "start_us", "discourse", "pause", "pause_us", "cues"]
     kinds = {f.name: f.dataType.simpleString() for f in own.schema}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,46 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", F.size("_l").alias("_n"), F.posexplode("_l").alias("line", "text")).select("doc_id", "line", "text", (F.col("line") / F.col("_n")).alias("y"), F.least(F.lit(1.0), F.length("text") / 80.0).alias("width"), (F.length("text") % 20 / 20.0).alias("confidence"))
 
 
+def _bars(img: np.ndarray, n: int, ink: int) -> np.ndarray:
+    for i in range(n):
+        img[6 + 7 * i : 10 + 7 * i, 8 : 8 + 80 - 6 * i] = ink
+    return img
+
+
+def screen(kind: str, page: int, items: int, seen: int) -> np.ndarray:
+    """A gray picture of 60 x 100: a slide that builds, a worksheet that scrolls or a board that fills and is wiped."""
+    if kind == "slide":
+        return _bars(np.full((60, 100), 235 if page else 40, np.uint8), min(items, 6) + 1, 60 if page else 200)
+    if kind == "board":
+        return _bars(np.full((60, 100), 20, np.uint8), min(items, 7), 230)
+    img = np.full((60, 100), 250, np.uint8)
+    img[::10] = 120
+    cells = np.random.default_rng(seen).integers(2, 8, (4, 10))
+    for y in range(4):
+        for x in range(10):
+            img[18 + 10 * y : 24 + 10 * y, 10 * x + 1 : 10 * x + 1 + cells[y, x]] = 30
+    return img
+
+
+def screens(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Analysis frames at one a second of videos of four conversations each: a turn is shown for six
+    seconds and adds an item, a conversation is a page; the last turn of a video is look-ahead."""
+    w = Window.partitionBy("video_id").orderBy("conv_id", "turn", "role")
+    turns = table(spark, sf_dir, "conversations").withColumn("video_id", F.format_string("video-%06d", F.expr("conv_id div 4")))
+    turns = turns.withColumns({"seen": F.row_number().over(w) - 1, "items": F.row_number().over(Window.partitionBy("video_id", "conv_id").orderBy("turn", "role")) - 1, "last": F.count("*").over(Window.partitionBy("video_id")) - 1})
+    own = turns.select("video_id", F.col("conv_id").cast("int").bitwiseAND(1).alias("page"), "items", "seen", (F.col("seen") == F.col("last")).alias("lookahead"))
+
+    def run(parts):
+        for part in parts:
+            out = []
+            for v, page, items, seen, ahead in part.itertuples(index=False):
+                raw = screen(kind, page, items, seen).tobytes()
+                out += [(v, 6 * seen + j, float(6 * seen + j), 60, 100, raw, ahead) for j in range(6)]
+            yield pd.DataFrame(out, columns=["video_id", "frame_index", "t", "h", "w", "gray", "lookahead"])
+
+    return own.mapInPandas(run, "video_id string, frame_index long, t double, h int, w int, gray binary, lookahead boolean")
+
+
 #: The same adapters as common table expressions for DuckDB.
 SQL = {
     "speech": "speech AS (SELECT conv_id, turn AS speech_id, text, CAST(start_us AS BIGINT) AS start_us, CAST(start_us + length(text) * 60000 AS BIGINT) AS end_us FROM (SELECT *, coalesce(sum(length(text) * 60000 + turn % 3 * 500000) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_us FROM conversations))",

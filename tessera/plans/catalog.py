@@ -169,7 +169,14 @@ def greedy_min_gap(spark, sf_dir):
     return sequences.greedy_gap(adapters.signal(spark, sf_dir), ["user_id"], "t_us", 21_600_000_000, "sample_index")
 
 
-@query()
+@query(
+    sql("signal", """, f AS (SELECT user_id, sample_index, t_us, change_score, sample_index AS shown, t_us AS shown_us, change_score AS shown_score, false AS closed, 0 AS closed_index FROM signal WHERE sample_index = 0
+  UNION ALL SELECT s.user_id, s.sample_index, s.t_us, s.change_score, CASE WHEN s.t_us - f.shown_us >= 43200000000 OR s.change_score > f.shown_score THEN s.sample_index ELSE f.shown END,
+  CASE WHEN s.t_us - f.shown_us >= 43200000000 OR s.change_score > f.shown_score THEN s.t_us ELSE f.shown_us END, CASE WHEN s.t_us - f.shown_us >= 43200000000 OR s.change_score > f.shown_score THEN s.change_score ELSE f.shown_score END,
+  s.t_us - f.shown_us >= 43200000000, f.shown FROM f JOIN signal s ON s.user_id = f.user_id AND s.sample_index = f.sample_index + 1),
+ k AS (SELECT user_id, closed_index AS i FROM f WHERE closed UNION ALL SELECT user_id, arg_max(shown, sample_index) FROM f GROUP BY 1)
+ SELECT s.user_id, s.t_us, s.change_score FROM k JOIN signal s ON s.user_id = k.user_id AND s.sample_index = k.i""", True).replace(") , f", "), f")
+)
 def collapse_candidates(spark, sf_dir):
     return sequences.collapse(adapters.signal(spark, sf_dir), ["user_id"], "t_us", "change_score", 43_200_000_000)
 
@@ -183,7 +190,15 @@ def asr_normalise(spark, sf_dir):
     return speech.normalise(own).select("conv_id", "speech_id", "absolute_start_seconds", "absolute_end_seconds", "clamp_count")
 
 
-@query()
+@query(
+    """WITH d AS (SELECT source, doc_id, text, regexp_replace(text, '[\\s\\x0b\\x85\\p{Z}]+', '', 'g') AS t, trim(regexp_replace(text, '[\\s\\x0b\\x85\\p{Z}]+', ' ', 'g')) AS c FROM documents),
+ g AS (SELECT source, doc_id, substr(t, p, 32) AS gram, min(p) AS first, max(p) AS last FROM (SELECT source, doc_id, t, unnest(range(1, length(t) - 30)) AS p FROM d WHERE length(t) >= 64) GROUP BY 1, 2, 3),
+ h AS (SELECT source, count(DISTINCT doc_id) AS n FROM g WHERE last - first >= 32 GROUP BY 1),
+ r AS (SELECT source, c, sum(CASE WHEN p = c THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY doc_id) AS run FROM (SELECT source, doc_id, c, lag(c) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM d)),
+ i AS (SELECT source, count(*) AS n FROM (SELECT source, run, c FROM r WHERE length(c) > 0 GROUP BY 1, 2, 3 HAVING count(*) >= 3) GROUP BY 1)
+ SELECT d.source, count(*) AS segments, CAST(sum(length(text) - length(replace(text, chr(65533), ''))) AS BIGINT) AS replacement_marks, any_value(coalesce(i.n, 0)) AS identical_runs, any_value(coalesce(h.n, 0)) AS repeated_grams,
+ sum(length(text) - length(replace(text, chr(65533), ''))) = 0 AND any_value(coalesce(i.n, 0)) = 0 AND any_value(coalesce(h.n, 0)) = 0 AS passed FROM d LEFT JOIN i USING (source) LEFT JOIN h USING (source) GROUP BY 1"""
+)
 def quality_gate(spark, sf_dir):
     return speech.quality_gate(table(spark, sf_dir, "documents"), ["source"], ["doc_id"]).select("source", "segments", "replacement_marks", "identical_runs", "repeated_grams", "passed")
 
