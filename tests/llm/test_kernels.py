@@ -58,12 +58,39 @@ def test_rolling_hashes_follow_the_bytes(raw, k):
 @given(st.lists(st.binary(min_size=1, max_size=40).map(lambda b: bytes(97 + x % 2 for x in b)), min_size=1, max_size=5))
 def test_two_stage_sorting(parts):
     raw = b"\0".join(parts) + b"\0"
-    order = suffixes.two_stage(np.frombuffer(raw, np.uint8), 8)
+    t = np.frombuffer(raw, np.uint8)
+    order = suffixes.two_stage(t, text.words_at(t), 8)
     assert sorted(order.tolist()) == list(range(len(raw)))
     keys = [raw[i : raw.index(b"\0", i)][:8] for i in order]
     assert keys == sorted(keys)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.integers(97, 99), min_size=1, max_size=60).map(bytes), min_size=1, max_size=6), st.integers(9, 20))
+def test_repeats_are_the_later_strings(parts, length):
+    rk, start = np.arange(len(parts)) % 2, np.arange(len(parts)) * 1000
+    got = suffixes.repeats(*text.flat(pa.array(parts, pa.binary())), rk, start, length)
+    stands: dict = {}
+    for p, d, a in zip(parts, rk.tolist(), start.tolist()):
+        for i in range(len(p) - length + 1):
+            stands.setdefault(p[i : i + length], []).append((d, a + i))
+    assert sorted(zip(*(x.tolist() for x in got))) == sorted(x for own in stands.values() for x in sorted(own)[1:])
+
+
+@given(st.integers(0, 30), st.integers(0, 30), st.integers(0, 20))
+def test_halves_of_a_segment_hold_all_its_strings(before, after, free):
+    gram = 5
+    length = gram + free
+    body, lo = bytes(range(100, 100 + before + gram + after)), before
+    whole = [i for i in range(len(body) - length + 1) if i <= lo and i + length >= lo + gram]
+    got = []
+    for a, b, low, high in suffixes.halved(body, lo, lo + gram, length):
+        own = list(range(a, b - length + 1))
+        assert all(i <= low and i + length >= high for i in own) and high - low > gram
+        got += own
+    assert sorted(got) == (whole if free else [])
+
+
 def test_tree_bound_keeps_every_pair():
     rng = np.random.default_rng(0)
     base = [np.unique(rng.integers(0, 1 << 62, 60).astype(np.uint64)) for _ in range(60)]
@@ -84,7 +111,21 @@ def test_words_are_encoded_as_whole_texts_are():
     e = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
     values = TEXTS + ["Word, a'sb. It's! O'Re, <|endoftext|>x İx ΟΔΟΣ Straße%%% ÉÉ&&& ab's. 12, a1,", "x\x85y\xa0z é ́b"]
     want = [np.array(x.ids, e.kind).tobytes() for x in e.tokenizer.encode_batch(values, add_special_tokens=False)]
-    assert e.encode(values, None) == want
+    for _ in range(2):  # the second time from memory
+        ids, sizes = e.encode(*flat(values), None)
+        assert [ids[b - n : b].tobytes() for b, n in zip(np.cumsum(sizes), sizes)] == want
+    ids, sizes = e.encode(*flat(values), 2)
+    assert ids[np.cumsum(sizes) - 1].tolist() == [2] * len(values) and sizes.tolist() == [1 + len(w) // e.kind.itemsize for w in want]
+    assert e.encode(*flat([]), 2)[0].tolist() == []
+
+
+def test_memory_begins_anew_when_it_is_full(monkeypatch):
+    monkeypatch.setattr(tokens, "SPANS", 50)
+    e = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for i in range(20):
+        value = " ".join(f"word{'abcdefgh'[j % 8]}x{i + j}, plain{'qrst'[j % 4]}" for j in range(40))
+        assert e.encode(*flat([value]), None)[0].tolist() == e.tokenizer.encode(value, add_special_tokens=False).ids
+    assert e.known.count < 200
 
 
 def encode(m, values, rate, seed=1):
@@ -131,7 +172,22 @@ def test_sketch_finds_every_item_at_the_threshold():
     for value, n in ((f"x y {part} z", 16), (f"x y {less} z", 15)):
         rows, hashes = text.shingle_rows(*flat([value]))
         assert len(set(index.hashes.tolist()) & set(hashes.tolist())) == n
-        assert bool(index.candidates(rows, hashes).shape[1]) or n < 16
+        assert bool(index.candidates(rows, hashes, np.array([len(rows)])).shape[1]) or n < 16
+
+
+def test_partitions_lose_no_match():
+    rng = np.random.default_rng(3)
+    items = [" ".join(f"v{x}" for x in rng.integers(0, 10**6, n)) for n in (3, 5, 6, 9, 20, 70, 300)]
+    index = contain.Sketches(list(range(len(items))), items, 5, 80)
+    assert len(index.partitions) > 3
+    for i, item in enumerate(items):
+        words = item.split()
+        for share in (0.82, 0.9, 1.0):
+            part = " ".join(words[: int(np.ceil(share * len(words)))])
+            rows, hashes = text.shingle_rows(*flat([f"z z {part} {part} y" if len(words) > 4 else part]))
+            held = len(set(hashes.tolist()) & set(index.hashes[index.bounds[i] : index.bounds[i + 1]].tolist()))
+            if 100 * held >= 80 * index.n[i]:
+                assert i in index.candidates(rows, hashes, np.array([len(rows)]))[1]
 
 
 def test_classifier_separates_and_survives_one_class():
@@ -154,5 +210,64 @@ def test_more_levels_need_more_trees():
     assert n == sorted(n) and n[0] >= 2
 
 
-def test_halves():
-    assert tokens.halves("Word,.") == ("word", ",.") and tokens.halves("a'b") == ("a'b", "") and tokens.halves("İ,") == ("İ,", "")
+def test_spans_of_words():
+    data, offsets = flat(["Word,. a'b", "", "É! İ,"])
+    low, letter = tokens.lowered(data)
+    starts, ends, plain, first = tokens.spans(data, letter, offsets)
+    assert [(low.tobytes()[a:b].decode(), bool(p)) for a, b, p in zip(starts, ends, plain)] == [("word", True), (",.", False), ("a'b", False), ("é", True), ("!", False), ("İ,", False)]
+    assert first.tolist() == [0, 3, 3, 6]
+
+
+def slow_pieces(sp, value, key, rate):
+    """Seeded merge-dropout by its definition: merge the best pair that is not skipped, leftmost first, from scratch each time."""
+    limit, out = int(rate * 2**32), []
+    chars = " " + value
+    runs, run = [], []
+    for i, c in enumerate(chars):
+        piece = "\u2581" if c == " " else c
+        known = piece != "\u2581" or c == " "
+        known = known and not sp.is_unknown(sp.piece_to_id(piece))
+        if run and (not known or (c == " " and chars[i - 1] != " ")):
+            runs.append(run)
+            run = []
+        if known:
+            run.append((i, piece))
+        else:
+            runs.append([(i, None)])
+    runs.append(run)
+    for run in runs:
+        pieces_ = list(run)
+        if pieces_ and pieces_[0][1] is None:
+            out += [sp.piece_to_id(f"<0x{b:02X}>") for b in chars[pieces_[0][0]].encode()]
+            continue
+        while True:
+            best = None
+            for j in range(len(pieces_) - 1):
+                (at, a), (_, b) = pieces_[j], pieces_[j + 1]
+                i = sp.piece_to_id(a + b)
+                if sp.is_unknown(i) or sp.is_byte(i) or sp.is_control(i) or sp.is_unused(i):
+                    continue
+                h = (key + at) * 0x9E3779B97F4A7C15 % 2**64
+                h ^= h >> 32
+                h ^= (sp.piece_to_id(a) << 20 | sp.piece_to_id(b)) * 0xC2B2AE3D27D4EB4F % 2**64
+                h ^= h >> 29
+                h = h * 0xBF58476D1CE4E5B9 % 2**64
+                if h >> 32 >= limit and (best is None or sp.get_score(i) > best[0]):
+                    best = (sp.get_score(i), j, a + b)
+            if best is None:
+                break
+            pieces_[best[1] : best[1] + 2] = [(pieces_[best[1]][0], best[2])]
+        out += [sp.piece_to_id(p) for _, p in pieces_]
+    return out
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.5])
+def test_dropout_by_its_definition(rate):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    m, sp = pieces.model(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    values = ["the quick brown fox jumps over the lazy dog", "  two  spaces", "é \u2581 x日本 tokenisation unbelievable", "a\nb\tc", "international" * 3]
+    keys = text.mix(np.arange(len(values), dtype=np.uint64) + np.uint64(1)).tolist()
+    got = [x.tolist() for x in encode(m, values, rate)]
+    assert got == [slow_pieces(sp, v, k, rate) for v, k in zip(values, keys)]

@@ -45,7 +45,9 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 16_384])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(frames, "FEW_EDGES", few)
     r = random.Random(5)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(1000 + i, 1001 + i) for i in range(20)]
     root: dict[int, int] = {}
@@ -93,6 +95,25 @@ def test_tokens(docs, empty):
     assert tokens.token_files(empty, WORD, 2).count() == 0
 
 
+def test_one_key_over_many_shards(spark):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    e = Tokenizer.from_file(WORD)
+    rows = [(None, f"{i:03d} text") for i in range(60)] + [(7, f"{i} other") for i in range(30)] + [(9, "last")]
+    own = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = tokens.token_files(own, WORD, 2).orderBy("start").collect()
+    at = 0
+    for row, (d, t) in zip(got, order(rows), strict=True):
+        ids = e.encode(t, add_special_tokens=False).ids + [2]
+        assert (row.doc_id, row.start, row.n_tokens, row.ids_crc32) == (d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert len({r.shard for r in got if r.doc_id is None}) > 1
+    keys = tokens.write_tokens(own, WORD, 2, frames.scratch_root(spark) + "/t")
+    assert keys.groupBy("doc_id", "nth").count().where("count > 1").count() == 0
+
+
 def test_unknown_keys_are_refused(spark, docs):
     folder = frames.scratch_root(spark) + "/t"
     keys = tokens.write_tokens(docs.where("doc_id is not null"), WORD, 2, folder)
@@ -100,22 +121,34 @@ def test_unknown_keys_are_refused(spark, docs):
 
 
 def brute_chunks(rows):
-    seen, out = set(), {}
+    """Chunks by their definition: at each place the hash of the 16 bytes before it, from scratch."""
+    gear, out, seen = [int(x) for x in chunks.GEAR], {}, set()
     for d, t in rows:
         b = (t or "").encode()
-        ends = chunks.chunk_ends(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0]
-        a, runs = 0, []
-        for e in ends:
+        ends, last = [], 0
+        for p in range(1, len(b) + 1):
+            h = sum(gear[b[p - 1 - k]] << k for k in range(min(16, p))) & 0xFFFF
+            if p - last == chunks.MOST or (p - last >= chunks.LEAST and h >> (16 - chunks.BITS) == 0):
+                ends.append(p)
+                last = p
+        if last < len(b):
+            if ends and len(b) - last < chunks.LEAST:
+                ends.pop()
+            ends.append(len(b))
+        runs = []
+        for a, e in zip([0, *ends], ends):
             if b[a:e] in seen:
-                if runs and runs[-1][1] == a:
-                    runs[-1][1] = e
-                else:
-                    runs.append([a, e])
+                runs = [*runs[:-1], [runs[-1][0], e]] if runs and runs[-1][1] == a else [*runs, [a, e]]
             seen.add(b[a:e])
-            a = e
-        cuts = [chunks.whole_characters(b, x, y) for x, y in runs if y - x >= chunks.MIN_RUN]
-        out.setdefault(d, []).append(sum(y - x for x, y in cuts))
-    return {d: sorted(v) for d, v in out.items()}
+        kept, at = b"", 0
+        for a, e in runs:
+            while a < e and b[a] >> 6 == 2:  # a cut takes whole characters only
+                a += 1
+            while a < e < len(b) and b[e] >> 6 == 2:
+                e -= 1
+            kept, at = kept + b[at:a], max(at, e)
+        out.setdefault(d, []).append(None if t is None else (kept + b[at:]).decode())
+    return {d: sorted(v, key=str) for d, v in out.items()}
 
 
 def order(rows):
@@ -125,13 +158,50 @@ def order(rows):
 def test_chunk_dedup(docs, empty):
     got: dict = {}
     for x in chunks.dedup_chunks(docs).collect():
-        got.setdefault(x.doc_id, []).append(x.n_removed)
-        assert (x.text is None) == (x.n_bytes == 0 and x.text is None)
-    assert {d: sorted(v) for d, v in got.items()} == brute_chunks(order(corpus()))
-    assert sum(sum(got[300 + i]) > 200 for i in range(5)) == 4
+        got.setdefault(x.doc_id, []).append(x.text)
+        assert len((x.text or "").encode()) == x.n_bytes - x.n_removed
+    assert {d: sorted(v, key=str) for d, v in got.items()} == brute_chunks(order(corpus()))
+    whole = {d: t for d, t, *_ in corpus()}
+    assert sum(len(whole[300 + i]) - len(got[300 + i][0]) > 200 for i in range(5)) == 4
     assert chunks.dedup_chunks(empty, "rk", "n").count() == 0
 
 
+def test_a_chunk_of_a_third_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(frames, "HOT_ROWS", 8)
+    r = random.Random(2)
+    line = "this very passage stands at the start of one text in three and is cut from all but one. " * 2
+    rows = [(i, (line if i % 3 == 0 else "") + " ".join(f"{r.randrange(10**6)}" for _ in range(30))) for i in range(150)]
+    got = {x.doc_id: [x.text] for x in chunks.dedup_chunks(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute_chunks(rows)
+
+
+def test_joins_spread_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(frames, "HOT_ROWS", 5)
+    rows = spark.createDataFrame([(1, i) for i in range(40)] + [(2, 50), (None, 60)], "k long, i long")
+    sums = rows.groupBy("k").agg(F.count("*").alias("n"))
+    out = frames.spread_join(rows, sums, ["k"], ["i"])
+    assert sorted(map(tuple, out.select("k", "i", "n").collect())) == [(1, i, 40) for i in range(40)] + [(2, 50, 1)]
+    assert "_salt" in out._jdf.queryExecution().toString()
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(frames, "HOT_ROWS", 4)
+    monkeypatch.setattr(frames, "FEW_EDGES", 0)
+    star = [(0, i) for i in range(1, 200)] + [(500, 501), (501, 502)]
+    got = {x.node: x.root for x in frames.components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(200)} | {500: 500, 501: 500, 502: 500}
+
+
+def test_scratch_folders_go(spark):
+    import os
+
+    step = frames.cut(spark.range(3), "x")
+    path = step.scratch.removeprefix("file:").replace("//", "/")
+    assert os.path.isdir(path)
+    frames.discard(step)
+    assert not os.path.exists(path)
+
+
 def test_encoding(docs, empty):
     out = pieces.encode_docs(docs, PIECE).collect()
     assert len(out) == len(corpus()) and all(x.lossless and x.n_pieces == len(x.ids) for x in out)
@@ -152,6 +222,11 @@ def test_preferences(spark):
     assert out[2].rejected is None and out[2].n_prefix == 0 and out[2].rejected_spans == []
     assert out[3].n_prefix == 1 and out[3].chosen == "" and out[3].rejected == ""
     assert out[None].chosen_spans[0].end > 0
+    loose = spark.createDataFrame([(None, None, 0, "assistant", "lost", 1, "x")], "pair_id long, side int, turn long, role string, text string, nth int, line string")
+    row = chat.preference_pairs(loose).first()
+    assert row.chosen.endswith("lost<|im_end|>\n") and row.rejected is None and len(row.chosen_spans) == 1
+    long = spark.createDataFrame([(1, s, t, "user" if t % 2 else "assistant", "word " * 20_000) for s in (0, 1) for t in range(4)], "pair_id long, side int, turn long, role string, text string")
+    assert chat.preference_pairs(long).first().n_prefix == 4
     assert chat.preference_pairs(spark.createDataFrame([], "pair_id long, side int, turn long, role string, text string")).count() == 0
 
 
@@ -166,6 +241,58 @@ def test_quality(spark, docs, empty):
     assert none.count() == 0 and "rk" in none.columns
 
 
+def test_quality_by_hand(spark):
+    """Scores against the definition, computed document by document with dictionaries."""
+    rows = [(i, f"good words {i} of a row " * (i % 3 + 1)) for i in range(40)] + [(100 + i, f"bad | {i} | cells ### " * (i % 2 + 1)) for i in range(30)]
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(d < 100)) for d, _ in rows], "doc_id long, quality int")
+    model = quality.train(own, labels)
+    import zlib
+
+    learned = [(d, t) for d, t in rows if zlib.crc32(str(d).encode()) % 5]
+
+    def places(t):
+        return set(quality.features(*text_of([t]))[1].tolist())
+
+    sums = {1: {}, 0: {}}
+    for d, t in learned:
+        for p in places(t):
+            sums[int(d < 100)][p] = sums[int(d < 100)].get(p, 0) + 1
+    total = {k: sum(v.values()) + quality.DIM for k, v in sums.items()}
+    ratio = lambda p: np.log((sums[1].get(p, 0) + 1) / total[1]) - np.log((sums[0].get(p, 0) + 1) / total[0])
+    got = {x.doc_id: x.score for x in quality.score(own, model).collect()}
+    for d, t in rows:
+        r = {p: ratio(p) for p in places(t)}
+        norm = np.sqrt(sum(v * v for v in r.values()))
+        weight = {p: model.weights[p] / ratio(p) if ratio(p) else 0.0 for p in r}
+        margin = sum(weight[p] * r[p] for p in r) / norm + model.bias
+        assert got[d] == pytest.approx(1 / (1 + np.exp(-np.clip(model.slope * margin + model.shift, -30, 30))), abs=1e-9)
+    # a minimum of the hinge loss: no learned text's dual step could move far
+    for d, t in learned:
+        r = {p: ratio(p) for p in places(t)}
+        norm = np.sqrt(sum(v * v for v in r.values()))
+        y = 1 if d < 100 else -1
+        assert y * (sum(model.weights[p] for p in r) / norm + model.bias) > 0
+
+
+def test_quality_of_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.train(docs, labels)
+    out = quality.score(docs, model).where(quality.held_out()).join(labels, "doc_id").select("score", "quality").toPandas()
+    good, bad = out[out.quality == 1].score.to_numpy(), out[out.quality == 0].score.to_numpy()
+    auc = (good[:, None] > bad[None, :]).mean() + (good[:, None] == bad[None, :]).mean() / 2
+    assert len(good) and len(bad) and auc >= 0.97
+
+
+def text_of(values):
+    import pyarrow as pa
+
+    from tessera.llm import text
+
+    return text.flat(pa.array(values, pa.string()))
+
+
 def test_suffix_dedup(spark, empty):
     r = random.Random(9)
     rows = [(i, "".join(r.choice(["ab", "a", "b", "é"]) for _ in range(r.randint(0, 500)))) for i in range(40)]
@@ -248,6 +375,15 @@ def test_forest(spark, cap):
     assert forest.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_forest_of_repeated_and_missing_ids(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(16)
+    rows = [(5, base.tolist()), (5, base.tolist()), (5, (base + 0.01).tolist()), (None, (2 * base).tolist()), (None, None), (9, (-base).tolist())]
+    own = spark.createDataFrame([(*r, 1, 2.0, "x") for r in rows], "vec_id long, embedding array<double>, unit int, weight double, leaf string")
+    got = sorted(((x.vec_id, x.n_links, x.component_id, x.kept) for x in forest.near_vectors(own).collect()), key=str)
+    assert got == sorted([(5, 3, 5, True)] * 3 + [(None, 3, 5, False), (None, 0, None, False), (9, 0, 9, True)], key=str)
+
+
 def test_forest_keeps_links_of_a_hot_group(spark):
     rng = np.random.default_rng(6)
     n, hot = 3000, 1000
@@ -284,10 +420,40 @@ def test_containment_in_blocks(docs, spark, monkeypatch):
     assert sorted(map(tuple, contain.contained(docs, items).collect()), key=str) == one
 
 
+FILES = "path string, is_licence_file boolean, text string"
+MIT = next(t for k, t in licences.TEMPLATES if k == "MIT" and len(t) > 500)
+
+
 def test_licences(spark):
     files = [("a/LICENSE", True, "MIT\nReleased under the MIT License."), ("a/b/c/x.py", False, "code"), ("a/b/y.py", False, "Licensed under CC BY-NC 4.0.\ncode"), ("z/q.py", False, None), ("q.py", False, ""), (None, False, "code"), ("a/b/LICENSE", True, "Licensed under the Apache License, Version 2.0."), ("a/b/c/x.py", False, "code")]
-    got = {(x.path, x.how): x for x in licences.scan(spark.createDataFrame(files, "path string, is_licence_file boolean, text string")).collect()}
+    got = {(x.path, x.how): x for x in licences.scan(spark.createDataFrame(files, FILES)).collect()}
     assert got["a/b/c/x.py", "inherited"].licence == "Apache-2.0" and got["a/b/c/x.py", "inherited"].licence_path == "a/b/LICENSE"
     assert got["a/LICENSE", "own"].licence == "MIT" and got["a/b/y.py", "own"].licence == "CC-BY-NC-4.0" and got["a/b/y.py", "own"].score == 1.0
     assert ("z/q.py", "none") in got and ("q.py", "none") in got and (None, "none") in got
-    assert licences.scan(spark.createDataFrame([], "path string, is_licence_file boolean, text string")).count() == 0
+    assert licences.scan(spark.createDataFrame(files, FILES)).count() == len(files)
+    assert licences.scan(spark.createDataFrame([], FILES)).count() == 0
+
+
+def wrapped(text: str, mark: str = "# ", width: int = 70) -> str:
+    import textwrap
+
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+def test_notices_over_many_lines(spark):
+    notice = {k: max((t for i, t in licences.TEMPLATES if i == k), key=len) for k in ("Apache-2.0", "GPL-3.0", "GPL-2.0", "MPL-2.0", "AGPL-3.0")}
+    files = [(f"{k}.py", False, f"#!/usr/bin/env python\n# Copyright 2020 Some One\n#\n{wrapped(t)}\n\nimport os\n" + "print(1)\n" * 300) for k, t in notice.items()]
+    files += [(f"spdx-{k}.c", False, f"// SPDX-License-Identifier: {k}\n" + "int x;\n" * 200) for k in ("MIT", "Apache-2.0", "BSD-3-Clause", "MPL-2.0")]
+    files += [("GPL-3.0-spdx.c", False, "// SPDX-License-Identifier: GPL-3.0-only\n"), ("lib/LICENSE", True, "Copyright (c) 2021 The Authors of a long list\n\n" + wrapped(MIT, "")), ("lib/deep/er/x.js", False, "code"), ("words.txt", False, "a licence to speak is not a thing " * 4000)]
+    got = {x.path: x for x in licences.scan(spark.createDataFrame(files, FILES)).collect()}
+    for p, x in got.items():
+        if p.startswith("spdx-") or p.removesuffix(".py") in notice:
+            assert x.licence == p.removeprefix("spdx-").removesuffix(".c").removesuffix(".py") and x.how == "own", p
+    assert got["GPL-3.0-spdx.c"].licence == "GPL-3.0" and got["lib/LICENSE"].licence == "MIT"
+    assert got["lib/deep/er/x.js"].licence_path == "lib/LICENSE" and got["words.txt"].how == "none"
+
+
+def test_licences_with_clashing_columns(spark):
+    own = spark.createDataFrame([("a/LICENSE", True, "Released under the MIT License.", "s", "d", 1, 2, "u", "z"), ("a/x", False, None, "t", None, 3, 4, "v", "y")], FILES + ", source string, dir string, own int, id int, key string, how string")
+    got = {x.path: x for x in licences.scan(own).collect()}
+    assert (got["a/x"].source, got["a/x"].dir, got["a/x"].own, got["a/x"].id, got["a/x"].key, got["a/x"].how) == ("t", None, 3, 4, "v", "inherited")
