@@ -189,5 +189,6 @@ def finalize(candidates: DataFrame, frames: DataFrame, keys: Sequence[str], most
     else:
         marked = raw.withColumns({"status": F.lit("kept"), **{c: F.lit(None).cast("long" if c == "duplicate_of_us" else "int" if c == "phash_distance" else "double") for c in extra}})
     columns = [*keys, "sample_index", "t_us", "score", "reasons", "segment_id", "status", *extra]
-    capped = cap(marked.where("status = 'kept'"), keys, most).withColumn("status", F.when(F.col("kept"), "selected").otherwise("capped"))
-    return capped.select(*columns).unionByName(marked.where("status = 'duplicate'").select(*columns))
+    # duplicates are a group of their own, so that one pass caps what is left
+    capped = cap(marked, [*keys, "status"], most)
+    return capped.withColumn("status", F.when(F.col("status") == "duplicate", "duplicate").when(F.col("kept"), "selected").otherwise("capped")).select(*columns)

@@ -60,7 +60,7 @@ def screen(kind: str, page: int, items: int, seen: int) -> np.ndarray:
         return _bars(np.full((60, 100), 20, np.uint8), min(items, 7), 230)
     img = np.full((60, 100), 250, np.uint8)
     img[::10] = 120
-    cells = np.random.default_rng(seen).integers(2, 8, (4, 10))
+    cells = np.random.default_rng(seen).integers(1, 10, (4, 10))
     for y in range(4):
         for x in range(10):
             img[18 + 10 * y : 24 + 10 * y, 10 * x + 1 : 10 * x + 1 + cells[y, x]] = 30

@@ -242,7 +242,7 @@ def dedup_window6(spark, sf_dir):
 @query()
 def visual_stage(spark, sf_dir):
     """The whole visual stage over the slides: signals, five strategies, de-duplication, cap and statuses."""
-    samples = visual.build_samples(adapters.screens(spark, sf_dir, "slide"))
+    samples = visual.build_samples(adapters.screens(spark, sf_dir, "slide")).persist()  # every strategy reads them
     ranges = samples.groupBy("video_id").agg(F.min("t").alias("range_start"), F.max("t").alias("range_end"))
     p = visual.Parameters(strategies=("uniform", "content", "adaptive", "settled", "hybrid"), rate=1.0)
     return visual.run_visual(samples, visual.scene_cuts(samples, p), ranges, p)["ledger"].select("video_id", "strategy", "sample_index", "t_us", F.round("score", 6).alias("score"), F.array_join("reasons", ",").alias("reasons"), "status")

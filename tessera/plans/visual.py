@@ -135,6 +135,8 @@ def candidates(samples: DataFrame, cuts: DataFrame, ranges: DataFrame, p: Parame
         sliced = joins.dispatch(segments, samples.drop(*LAYOUT), KEYS, ahead)
         out["routed"] = selectors.routed(sliced, KEYS, p.rate)
     if "hybrid" in wanted:
+        for s in ("uniform", "content", "adaptive", "settled"):
+            out[s] = out[s].persist()  # a few rows a source, read by themselves and by hybrid
         out["hybrid"] = selectors.hybrid([out[s] for s in ("uniform", "content", "adaptive", "settled")], KEYS)
     return {s: out[s] for s in p.strategies}, segments
 
