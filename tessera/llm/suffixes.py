@@ -14,9 +14,11 @@ strings are first brought together, and then sorted:
    in buckets of bounded size: of all suffixes, only those smaller than their successor are
    sorted directly; the others are induced from them by a scan over the first-byte buckets. Then
    neighbours' common prefixes show which strings are equal, and the earliest stays.
-4. An anchor with more than CAP different segments is no one task's work: its strings are
-   written out one by one and the earliest of each is found by an aggregate, which gives the
-   same result.
+4. An anchor with more than CAP different segments is no one task's work. Its strings are told
+   apart by more bytes beside the anchor: a string holds half of its other bytes to the left of
+   it or to the right, and those name a longer anchor, on which equal strings still meet. This
+   is repeated until no anchor is large; after seven rounds an anchor is a whole string, of
+   which there is one. Then step 3 sorts them like all others.
 
 Bit filters of bounded size spare the second pass most rows; results do not depend on them.
 
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +41,16 @@ from pyspark.sql import functions as F
 from . import frames, text
 
 LENGTH, GRAM = 100, 32
-PIECE = 1 << 21
+PIECE = 1 << 19
 INDEX_BITS = 26
-BUCKET_BYTES = 1 << 20
+BUCKET_BYTES = 1 << 19
 CAP = 1500
 U = np.uint64
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, start in the buffer, end, anchor) of each run of strings with one anchor."""
-    rows, starts, ends, anchors = [], [], [], []
+    """(text number, start in the buffer, end, place of the anchor, anchor) of each run of strings with one anchor."""
+    rows, starts, ends, places, anchors = [], [], [], [], []
     width = length - gram + 1
     n = len(data) - length + 1
     for a in range(0, max(0, n), PIECE):
@@ -75,67 +78,93 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
         rows.append(row[first])
         starts.append(place[first])
         ends.append(place[last] + length)
+        places.append(at[first] + a)
         anchors.append(text.mix(hashes[at[first]]))  # least hashes are all small; mixed they fill a filter evenly
     if not rows:
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, U)
-    return tuple(np.concatenate(x) for x in (rows, starts, ends, anchors))
-
-
-def two_stage(t: np.ndarray, depth: int) -> np.ndarray:
+        return none, none, none, none, np.zeros(0, U)
+    return tuple(np.concatenate(x) for x in (rows, starts, ends, places, anchors))
+
+
+def ordered(words: np.ndarray, at: np.ndarray, room: np.ndarray, depth: int) -> np.ndarray:
+    """Places sorted by up to `depth` bytes, but no more than `room`: eight bytes a round, ties only."""
+    room = np.minimum(room, depth)
+    order, slot, run = np.arange(len(at)), np.arange(len(at)), np.zeros(len(at), np.int64)
+    for k in range(0, depth, 8):
+        own = order[slot]
+        key = words[np.minimum(at[own] + k, len(words) - 1)] & text.FIRST[np.clip(room[own] - k, 0, 8)]
+        by = np.lexsort((key, run)) if k else np.argsort(key, kind="stable")
+        key = key[by]
+        order[slot] = own[by]
+        new = np.ones(len(slot), bool)
+        new[1:] = (run[1:] != run[:-1]) | (key[1:] != key[:-1])
+        run = np.cumsum(new)
+        tied = np.bincount(run)[run] > 1
+        slot, run = slot[tied], run[tied]
+        if not len(slot):
+            break
+    return at[order]
+
+
+def two_stage(t: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     """Suffix array of t (bytes, parts ended by 0), right for the first `depth` bytes within a part.
 
-    Suffixes smaller than their successor are sorted directly; a scan over the array then puts
-    each larger one at the head of its first byte's bucket, in the order of its successor.
+    Suffixes smaller than their successor are sorted directly; a scan over the first-byte buckets
+    then puts each larger one into its own bucket, in the order of its successor. Where suffix and
+    successor share a bucket, the scan goes in waves: a wave's predecessors follow it.
     """
     n = len(t)
     step = np.sign(np.diff(t.astype(np.int16)))
     step = np.append(step, 1)  # the last separator counts as smaller
     known = np.flatnonzero(step)
-    small = step[known[np.searchsorted(known, np.arange(n))]] > 0
-    direct = np.flatnonzero(small)
+    larger = step[known[np.searchsorted(known, np.arange(n))]] < 0
+    direct = np.flatnonzero(~larger)
     stop = np.flatnonzero(t == 0)
-    room = stop[np.searchsorted(stop, direct)] - direct
-    padded = np.append(t, np.zeros(depth, np.uint8))
-    keys = np.lib.stride_tricks.sliding_window_view(padded, depth)[direct].copy()
-    keys[np.arange(depth) > room[:, None]] = 0
-    direct = direct[np.argsort(keys.view(f"S{depth}").ravel(), kind="stable")]
-    heads = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=256))])
-    sa = np.full(n, -1, np.int64)
-    byte = t[direct]
-    count = np.bincount(byte, minlength=256)
-    within = np.arange(len(direct)) - np.repeat(np.cumsum(count) - count, count)
-    sa[heads[1:][byte] - count[byte] + within] = direct
-    out, head, big, raw = sa.tolist(), heads[:256].tolist(), (~small).tolist(), t.tolist()
-    for r in range(n):
-        i = out[r] - 1
-        if i >= 0 and big[i]:
-            c = raw[i]
-            out[head[c]] = i
-            head[c] += 1
-    return np.array(out, np.int64)
-
-
-def repeats(parts: list[bytes], rk: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    direct = ordered(words, direct, stop[np.searchsorted(stop, direct)] - direct, depth)
+    ends = np.cumsum(np.bincount(t[direct], minlength=256))
+    induced: list[list[np.ndarray]] = [[] for _ in range(256)]
+    out = []
+    for c in np.flatnonzero(np.bincount(t, minlength=256)).tolist():
+        wave = np.concatenate(induced[c]) if induced[c] else direct[:0]
+        whole = [wave]
+        while len(wave):
+            wave = wave[wave > 0] - 1
+            wave = wave[larger[wave] & (t[wave] == c)]
+            whole.append(wave)
+        whole.append(direct[ends[c - 1] if c else 0 : ends[c]])
+        induced[c] = [np.concatenate(whole)]
+        out.append(induced[c][0])
+        before = out[-1][out[-1] > 0] - 1
+        before = before[larger[before] & (t[before] > c)]
+        before = before[np.argsort(t[before], kind="stable")]
+        to, first = np.unique(t[before], return_index=True)
+        for x, own in zip(to.tolist(), np.split(before, first[1:])):
+            induced[x].append(own)
+    return np.concatenate(out)
+
+
+def repeats(data: np.ndarray, offsets: np.ndarray, rk: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, place) of each string of `length` bytes in the parts that stands earlier in another place."""
+    sizes = np.diff(offsets)
     # a zero byte would be a separator; 0xFF is no byte of UTF-8
-    raw = b"\0".join(p.replace(b"\0", b"\xff") for p in parts) + b"\0"
-    t = np.frombuffer(raw, np.uint8)
-    sizes = np.array([len(p) for p in parts], np.int64)
-    first = np.cumsum(sizes + 1) - sizes - 1
-    of = np.repeat(np.arange(len(parts)), sizes + 1)
-    sa = two_stage(t, length)
+    t = np.insert(np.where(data == 0, np.uint8(255), data), offsets[1:], np.uint8(0))
+    first = offsets[:-1] + np.arange(len(sizes))
+    of = np.repeat(np.arange(len(sizes)), sizes + 1)
+    words = text.words_at(t)
+    sa = two_stage(t, words, length)
     sa = sa[sa - first[of[sa]] + length <= sizes[of[sa]]]
     if len(sa) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     # common prefixes of neighbours, up to `length`, eight bytes at a time
     same = np.arange(len(sa) - 1)
-    words = np.lib.stride_tricks.sliding_window_view(t, 8)
     for k in [*range(0, length - 7, 8), length - 8]:
-        same = same[(words[sa[same] + k] == words[sa[same + 1] + k]).all(1)]
+        same = same[words[sa[same] + k] == words[sa[same + 1] + k]]
     equal = np.zeros(len(sa), bool)
     equal[same + 1] = True
-    group = np.cumsum(~equal)
+    # places alone in their group are done
+    grouped = equal.copy()
+    grouped[:-1] |= equal[1:]
+    group, sa = np.cumsum(~equal)[grouped], sa[grouped]
     doc, place = rk[of[sa]], start[of[sa]] + sa - first[of[sa]]
     order = np.lexsort((place, doc, group))
     later = np.zeros(len(sa), bool)
@@ -143,6 +172,24 @@ def repeats(parts: list[bytes], rk: np.ndarray, start: np.ndarray, length: int)
     return doc[order][later], place[order][later]
 
 
+def halved(body: bytes, lo: int, hi: int, length: int) -> list[tuple[int, int, int, int]]:
+    """The strings of `length` bytes of a segment, all of which hold body[lo:hi], in two parts:
+    (start, end, lo, hi) of those that hold half of the other bytes to the left, and of the rest,
+    which hold half of them to the right. Parts are empty where no string is of their kind."""
+    free = length - (hi - lo)
+    half = (free + 1) // 2
+    # a string starts `left` bytes before lo, 0 <= left <= free
+    most, least = min(free, lo), max(0, lo + length - len(body))
+    out = []
+    if free and most >= max(least, half):
+        low = max(least, half)
+        out.append((lo - most, lo - low + length, lo - half, hi))
+    if free and min(most, half - 1) >= least:
+        high = min(most, half - 1)
+        out.append((lo - high, lo - least + length, lo, hi + free - half + 1))
+    return out
+
+
 def spans_of(doc: np.ndarray, place: np.ndarray, length: int) -> pa.RecordBatch:
     """(rk, a, b) of runs of neighbouring strings."""
     order = np.lexsort((place, doc))
@@ -163,7 +210,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, cap
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in text.steps(batches, "text"):
-            row, a, b, anchor = segments(data, offsets, length, gram)
+            row, a, b, _, anchor = segments(data, offsets, length, gram)
             if len(row):
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(digests(data.tobytes(), a, b)), pa.array(part.column("rk").to_numpy()[row])], ["anchor", "seg", "rk"])
 
@@ -181,59 +228,60 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, cap
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in text.steps(batches, "text"):
-            row, a, b, anchor = segments(data, offsets, length, gram)
+            row, a, b, at, anchor = segments(data, offsets, length, gram)
             keep = np.flatnonzero(frames.in_filter(anchor, bits, some.value))
             if not len(keep):
                 continue
-            row, a, b, anchor = row[keep], a[keep], b[keep], anchor[keep]
+            row, a, b, at, anchor = row[keep], a[keep], b[keep], at[keep], anchor[keep]
             raw = data.tobytes()
             many = frames.in_filter(anchor, mixed_bits, mixed.value).tolist()
             bodies = [raw[x:y] if m else None for m, x, y in zip(many, a.tolist(), b.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(part.column("rk").to_numpy()[row]), pa.array(a - offsets[row]), pa.array(b - offsets[row]), pa.array(bodies, pa.binary())], ["anchor", "rk", "a", "b", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(part.column("rk").to_numpy()[row]), pa.array(a - offsets[row]), pa.array(b - offsets[row]), pa.array((at - a).astype(np.int32)), pa.array(bodies, pa.binary())], ["anchor", "rk", "a", "b", "lo", "body"])
 
-    held = frames.cut(keyed.mapInArrow(second_pass, "anchor long, rk long, a long, b long, body binary").join(shared, "anchor"), "segments")
+    held = frames.cut(keyed.mapInArrow(second_pass, "anchor long, rk long, a long, b long, lo int, body binary").join(shared, "anchor"), "segments")
     # all segments of the anchor are equal: in its lowest document the first stays, elsewhere none
     equal = held.where("not mixed")
     inner = equal.where("rk = low").groupBy("anchor", "rk").agg(F.min("a").alias("stay"), F.count("*").alias("k")).where("k > 1").select("anchor", "rk", "stay")
     spans = equal.where("rk <> low").select("rk", "a", "b").union(equal.join(inner, ["anchor", "rk"]).where("a <> stay").select("rk", "a", "b"))
 
-    rest = held.where("mixed").withColumn("seg", F.xxhash64("body", F.lit(3)))
-    firsts = frames.cut(rest.groupBy("anchor", "seg", F.md5("body").alias("md5")).agg(F.min(F.struct("rk", "a", "b")).alias("first"), F.count("*").alias("k"), F.first("body").alias("body")), "firsts")
-    copies = firsts.where("k > 1").select("anchor", "seg", "first")
-    spans = spans.union(rest.join(copies, ["anchor", "seg"]).where("rk <> first.rk or a <> first.a").select("rk", "a", "b"))
-
-    counts = firsts.groupBy("anchor").agg(F.count("*").alias("k"), F.sum(F.length("body") + 1).alias("size")).where("k > 1")
-    counts = frames.cut(counts, "counts")
-    total = counts.where(F.col("k") <= cap).agg(F.sum("size")).first()[0] or 0
-    buckets = max(1, -(-int(total) // BUCKET_BYTES))
-    sized = firsts.drop("k").join(counts.select("anchor", (F.col("k") > cap).alias("large")), "anchor").select("anchor", "large", "first.rk", "first.a", "body")
-    sized = frames.cut(sized, "sized")
-
     def sort(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(list(parts))
-        doc, place = repeats([x.as_py() for x in got.column("body")], got.column("rk").to_numpy(), got.column("a").to_numpy(), length)
+        doc, place = repeats(*text.flat(got.column("body")), got.column("rk").to_numpy(), got.column("a").to_numpy(), length)
         if len(doc):
             yield spans_of(doc, place, length)
 
-    spans = spans.union(sized.where("not large").groupBy(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket")).applyInArrow(sort, "rk long, a long, b long"))
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            h, rk, at = [], [], []
-            for body, r, a in zip(part.column("body").to_pylist(), part.column("rk").to_pylist(), part.column("a").to_pylist()):
-                for i in range(len(body) - length + 1):
-                    h.append(xxhash.xxh3_128_digest(body[i : i + length]))
-                    rk.append(r)
-                    at.append(a + i)
-            both = np.frombuffer(b"".join(h), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[::2]), pa.array(both[1::2]), pa.array(rk, pa.int64()), pa.array(at, pa.int64())], ["h1", "h2", "rk", "a"])
-
-    large = sized.where("large").select("rk", "a", "body")
-    if large.limit(1).count():
-        each = frames.cut(large.repartition("rk", "a").mapInArrow(strings, "h1 long, h2 long, rk long, a long"), "strings")
-        twice = each.groupBy("h1", "h2").agg(F.min(F.struct("rk", "a")).alias("first"), F.count("*").alias("k")).where("k > 1")
-        spans = spans.union(each.join(twice, ["h1", "h2"]).where("rk <> first.rk or a <> first.a").select("rk", "a", (F.col("a") + length).alias("b")))
-    return spans
+            out = []
+            for anchor, rk, a, lo, hi, body in zip(*(part.column(c).to_pylist() for c in ("anchor", "rk", "a", "lo", "hi", "body"))):
+                for side, (x, y, low, high) in enumerate(halved(body, lo, hi, length)):
+                    name = xxhash.xxh3_64_intdigest(body[low:high], anchor + side & 0xFFFFFFFFFFFFFFFF)
+                    out.append((name - (1 << 63), rk, a + x, a + y, low - x, high - x, body[x:y]))
+            names = ["anchor", "rk", "a", "b", "lo", "hi", "body"]
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+
+    rows, sized, total = held.where("mixed").withColumn("hi", F.col("lo") + gram), [], 0
+    while True:
+        rows = rows.withColumn("seg", F.xxhash64("body", F.lit(3)))
+        firsts = frames.cut(
+            rows.groupBy("anchor", "seg", F.md5("body").alias("md5")).agg(F.min(F.struct("rk", "a", "b")).alias("first"), F.count("*").alias("k"), F.first("body").alias("body"), F.first("lo").alias("lo"), F.first("hi").alias("hi")), "firsts"
+        )
+        copies = firsts.where("k > 1").select("anchor", "seg", "first")
+        spans = spans.union(rows.join(copies, ["anchor", "seg"]).where("rk <> first.rk or a <> first.a").select("rk", "a", "b"))
+        counts = firsts.groupBy("anchor").agg(F.count("*").alias("k"), F.sum(F.length("body") + 1).alias("size")).where("k > 1")
+        counts = frames.cut(counts.select("anchor", "size", (F.col("k") > cap).alias("large")), "counts")
+        got = {r.large: r for r in counts.groupBy("large").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()}
+        total += got[False]["size"] if False in got else 0
+        known = firsts.drop("k").join(counts.select("anchor", "large"), "anchor")
+        sized.append(known.where("not large").select("anchor", "first.rk", "first.a", "body"))
+        if True not in got:
+            break
+        rows = frames.cut(known.where("large").select("anchor", "first.rk", "first.a", "lo", "hi", "body").mapInArrow(split, "anchor long, rk long, a long, b long, lo int, hi int, body binary"), "halves")
+
+    buckets = max(1, -(-int(total) // BUCKET_BYTES))
+    sized = reduce(DataFrame.union, sized).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
+    return spans.union(sized.groupBy("bucket").applyInArrow(sort, "rk long, a long, b long"))
 
 
 def remove_repeats(docs: DataFrame, *extra: str, length: int = LENGTH, gram: int = GRAM, cap: int = CAP) -> DataFrame:
