@@ -254,14 +254,13 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, spill: float = SPIL
     roots = frames.components(found.where("b is not null").select("a", "b")).withColumnsRenamed({"node": "sid"})
     named = points.select("sid", "h", "low", "weight").join(roots, "sid", "left").join(counts, "sid", "left")
     named = frames.cut(named.withColumn("root", F.coalesce("root", "sid")), "named")
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    final = named.join(least, "root").select("h", "weight", F.coalesce("others", F.lit(0)).alias("others"), "component_id")
-    out = rows.select("vec_id", "h").join(final, "h", "left").select(
-        "vec_id",
-        F.coalesce(F.col("others") + F.col("weight") - 1, F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "vec_id").alias("component_id"),
-    )
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    least = frames.cut(named.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n")), "least")
+    final = frames.spread_join(named, least, ["root"], ["sid"]).select("h", F.col("weight").alias("n"), F.coalesce("others", F.lit(0)).alias("others"), "component_id")
+    # a vector may be that of any share of the rows
+    linked = frames.spread_join(rows.where("ok").select("vec_id", "h"), frames.cut(final, "final"), ["h"], ["vec_id"])
+    out = linked.select("vec_id", (F.col("others") + F.col("n") - 1).cast("long").alias("n_links"), "component_id")
+    alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
