@@ -68,6 +68,12 @@ def quality_gate(df: DataFrame, keys: Sequence[str], order: Sequence[str], text:
     return out.withColumns({"failures": failures, "passed": F.size(failures) == 0})
 
 
+def worst_ratios(df: DataFrame, keys: Sequence[str], ident: str = "speech_id", ratio: str = "compression_ratio", limit: float = MAX_RATIO) -> DataFrame:
+    """(keys, max_ratio, offenders): the greatest ratio of each source, and the events above the limit in order."""
+    high = F.array_sort(F.collect_list(F.when(F.col(ratio) > limit, F.struct(F.col(ident).alias("id"), F.col(ratio).alias("ratio")))))
+    return df.groupBy(*keys).agg(F.max(ratio).alias("max_ratio"), high.alias("offenders"))
+
+
 def totals(df: DataFrame, keys: Sequence[str], elapsed: str | None = None, duration: str | None = None) -> DataFrame:
     """Segments, words and characters by source, and elapsed over duration."""
     aggs = [F.count("*").alias("segments"), F.sum(F.coalesce(F.size("words"), F.lit(0))).alias("words"), F.sum(F.length("text")).alias("characters")]

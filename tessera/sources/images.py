@@ -97,7 +97,12 @@ def image_of(h: int, w: int, channels: int, pixels: bytes) -> np.ndarray:
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """Frames below path/VIDEO/NUMBER.png as rows; a file that cannot be decoded aborts the scan."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(path).select("path", "content")
+    return decoded(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(path))
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """Frames of files(path, content), a table or a stream."""
+    files = files.select("path", "content")
     name = F.regexp_extract("path", r"([^/]+)/0*(\d+)\.png$", 1), F.regexp_extract("path", r"([^/]+)/0*(\d+)\.png$", 2).cast("long")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -134,6 +134,16 @@ class Fields:
         return self._get(key, isinstance(v, str) and bool(re.fullmatch(rf"{kind}-\d{{4,}}", v)), f"{kind} event")
 
 
+def candidates(spark: SparkSession, path: str) -> DataFrame:
+    """Selected candidates of strategy documents, one JSON object a file, with what may be absent filled in."""
+    item = "struct<sample_index:long,timestamp:double,score:double,reasons:array<string>,image_path:string,segment_id:string>"
+    docs = read_json(spark, path, f"strategy string, selected array<{item}>")
+    own = docs.select("strategy", F.explode("selected").alias("c")).select("strategy", "c.*")
+    ok = F.col("sample_index").isNotNull() & F.col("timestamp").isNotNull()
+    whole = own.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("a candidate has no index or time")).cast("boolean")))
+    return whole.withColumns({"score": F.coalesce("score", F.lit(0.0)), "reasons": F.coalesce("reasons", F.array().cast("array<string>"))})
+
+
 def bind(**sides: DataFrame) -> None:
     """Raise unless all ledgers name the same sources with the same hashes.
 

@@ -79,6 +79,20 @@ def test_recognition_keeps_failures_as_rows(spark):
     assert tuple(ocr.summary(out).first()) == (1, 1, 1, 2)
 
 
+def test_candidates_and_worst_ratios(spark, tmp_path):
+    from tessera.operators import speech
+
+    (tmp_path / "s.json").write_text('{"strategy": "settled", "selected": [{"sample_index": 1, "timestamp": 2.5}, {"sample_index": 2, "timestamp": 3, "score": 0.5, "reasons": ["r"], "segment_id": "x"}]}')
+    got = ledgers.candidates(spark, str(tmp_path / "s.json")).orderBy("sample_index").collect()
+    assert (got[0].score, got[0].reasons, got[0].image_path) == (0.0, [], None) and (got[1].score, got[1].reasons) == (0.5, ["r"])
+    (tmp_path / "t.json").write_text('{"strategy": "x", "selected": [{"timestamp": 1}]}')
+    with pytest.raises(Exception, match="no index"):
+        ledgers.candidates(spark, str(tmp_path / "t.json")).collect()
+    df = spark.createDataFrame([("v", 1, 2.5), ("v", 2, 1.0), ("v", 3, 3.0), ("w", 1, None)], "v string, speech_id long, compression_ratio double")
+    out = {r.v: r for r in speech.worst_ratios(df, ["v"]).collect()}
+    assert out["v"].max_ratio == 3.0 and [x.id for x in out["v"].offenders] == [1, 3] and out["w"].offenders == []
+
+
 def test_markdown(spark):
     df = spark.createDataFrame([("v", 2, "e2", "00:02", "a b/c.png"), ("v", 1, "e1", "00:01", "x.png")], "k string, t_us long, event_id string, timecode string, image_path string")
     assert ledgers.markdown(df, ["k"]).first().markdown == "![00:01](x.png)\n\n![00:02](a%20b/c.png)\n"
@@ -95,3 +109,44 @@ def test_streaming_runs_equal_batch(spark, tmp_path):
     got = {(r.k, r.run_id, r.label, r.length) for r in spark.sql("select * from runs").collect()}
     want = {(r.k, r.run_id, r.label, r.length) for r in sequences.runs(df, ["k"], ["i"], "label").collect()}
     assert got < want and len(want - got) == 3  # the last run of each key is still open
+
+
+def test_settled_stream_equals_batch(spark, tmp_path):
+    change = [0.0, 0.5, 0.2, 0.001, 0.002, 0.001, 0.0, 0.3, 0.3, 0.0]
+    rows = [(k, i, i * 1_000_000, c + 0.001 * k) for k in range(2) for i, c in enumerate(change)] + [(9, 0, 3_600_000_000, 0.0)]
+    df = spark.createDataFrame(rows, "k long, sample_index long, t_us long, change_score double").withColumn("ts", F.timestamp_micros("t_us"))
+    # two files: what the second adds moves the watermark beyond the first's sources
+    df.where("k < 9").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    told = []
+    listener = twins.Progress(told.append)
+    spark.streams.addListener(listener)
+    q = twins.settled_stream(stream, "k", "ts", "1 second", 5000, hold=2).writeStream.format("memory").queryName("settled").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+    q.processAllAvailable()
+    df.where("k = 9").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q.processAllAvailable()
+    q.stop()
+    spark.streams.removeListener(listener)
+    got = sorted(map(tuple, spark.sql("select * from settled").collect()))
+    want = sorted(map(tuple, twins.settled_batch(df.where("k < 9"), "k", hold=2).collect()))
+    assert got == want and {r[4] for r in want} == {"settled_after_change", "segment_end_after_change"}
+    assert any(t["state"] == "running" for t in told)
+
+
+def test_rows_out_of_order_are_told():
+    state, out = twins.settle(twins.OPEN, [(5, 1, 0.0), (3, 0, 0.9)], 0.1, 0.01, 2)
+    assert out == [(0, 3, 0.9, "out_of_order")] and state[0] is False and twins.ended(state) == []
+
+
+def test_frames_arrive(spark, tmp_path):
+    import numpy as np
+
+    from tessera.sources import images
+
+    (tmp_path / "in" / "v").mkdir(parents=True)
+    for i in range(3):
+        (tmp_path / "in" / "v" / f"{i}.png").write_bytes(images.png(np.full((4, 5), i, np.uint8)))
+    q = twins.frame_stream(spark, str(tmp_path / "in"), files=2).writeStream.format("memory").queryName("frames").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.video_id, r.frame_index, r.w) for r in spark.sql("select * from frames").collect()) == [("v", i, 5) for i in range(3)]
