@@ -161,16 +161,22 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
 
 
-def finite_list(values: Column) -> Column:
-    return F.transform(values, finite)
-
-
-def json_ready(df):
-    """df whose double columns, and those in arrays, are finite or null."""
+def _numbers(df, one: Callable[[Column], Column]):
+    """df with a function applied to its floating columns, and to those in arrays."""
     out = {}
     for f in df.schema:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out[f.name] = finite(F.col(f.name))
+            out[f.name] = one(F.col(f.name))
         elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.DoubleType, T.FloatType)):
-            out[f.name] = finite_list(F.col(f.name))
+            out[f.name] = F.transform(F.col(f.name), one)
     return df.withColumns(out) if out else df
+
+
+def json_ready(df):
+    """df whose floating columns, and those in arrays, are finite or null."""
+    return _numbers(df, finite)
+
+
+def public(df, places: int = 6):
+    """The published form of a ledger: floating columns finite or null, and rounded."""
+    return _numbers(df, lambda x: F.round(finite(x), places))

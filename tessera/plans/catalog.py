@@ -137,7 +137,18 @@ def short_known(spark, sf_dir):
     return sequences.short_known(adapters.signal(spark, sf_dir), ["user_id"], ["sample_index"], "label", 2).select("user_id", "sample_index", "label")
 
 
-@query()
+#: The first run of one row between equal neighbours, of lists of labels l and lengths n.
+FIRST_BRIDGE = "list_min(list_filter(range(2, len(l)), lambda i: n[i] <= 1 AND l[i - 1] = l[i + 1]))"
+
+
+@query(
+    (sql("signal", "", True).rstrip() + RUNS)
+    + f""", z AS (SELECT user_id, list(label ORDER BY run_id) AS l, list(k ORDER BY run_id) AS n FROM (SELECT user_id, run_id, label, count(*) AS k FROM r GROUP BY 1, 2, 3) GROUP BY 1),
+ f AS (SELECT user_id, l, n, {FIRST_BRIDGE} AS i FROM z UNION ALL
+  SELECT user_id, l, n, {FIRST_BRIDGE} FROM (SELECT user_id, l[1:i - 1] || l[i + 2:] AS l, n[1:i - 2] || [n[i - 1] + n[i] + n[i + 1]] || n[i + 2:] AS n FROM f WHERE i IS NOT NULL)),
+ q AS (SELECT user_id, flatten(list_transform(range(1, len(l) + 1), lambda k: list_transform(range(n[k]), lambda x: l[k]))) AS b FROM f WHERE i IS NULL)
+ SELECT s.user_id, s.sample_index, s.label, b[s.sample_index + 1] AS bridged FROM signal s JOIN q USING (user_id)"""
+)
 def bridge_runs(spark, sf_dir):
     return sequences.bridge(adapters.signal(spark, sf_dir), ["user_id"], ["sample_index"], "label", 1).select("user_id", "sample_index", "label", "bridged")
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import pixels as px
+from ..functions import textual
 from ..operators import annotations, joins, routing, selectors
 from ..operators.require import Violation, require_none
 from ..sources import images, ledgers, media
@@ -254,7 +255,7 @@ def benchmark(spark: SparkSession, source: Source, folder: str, p: Parameters, c
     tables["thumbnails"] = cut(images.write_images(small, f"{folder}/thumbs", "thumb"), "thumbnails")
     for name, df in tables.items():
         if name != "images":
-            df.write.mode("errorifexists").parquet(f"{folder}/{name}")
+            textual.public(df).write.mode("errorifexists").parquet(f"{folder}/{name}")
     spans = {r.video_id: {"start_seconds": r.range_start, "end_seconds": r.range_end, "duration_seconds": r.range_end - r.range_start} for r in ranges.collect()}  # a row a source
     manifest = {
         "kind": "candidate_frame_benchmark", "schema_version": 1, "sources": [r.asDict() for r in source.metadata.collect()], "ranges": spans,

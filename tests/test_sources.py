@@ -259,6 +259,8 @@ def test_names_lists_and_numbers(spark):
     assert one.select(textual.clean_list(F.array(*map(F.lit, (" a", "b", "a ", "", " "))))).first()[0] == ["a", "b"]
     ready = textual.json_ready(one.select(F.lit(float("nan")).alias("a"), F.lit(2.5).alias("b"), F.array(F.lit(1.0), F.lit(float("inf"))).alias("c"), F.lit("x").alias("d"))).first()
     assert tuple(ready) == (None, 2.5, [1.0, None], "x")
+    told = textual.public(one.select(F.lit(1 / 3).alias("a"), F.array(F.lit(2 / 3)).alias("b"), F.lit(3).alias("c"))).first()
+    assert tuple(told) == (0.333333, [0.666667], 3)
     assert one.select(clock.plain_duration(F.lit(59.9996)), clock.plain_duration(F.lit(3661.25))).first()[:] == ("00:00:60.000", "01:01:01.250")
     assert stages.unique_names(["a", "A", "a", "b"], ["B"]) == ["a", "A-2", "a-3", "b-2"]
     require.ratios(x=0.5)
