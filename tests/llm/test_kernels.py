@@ -271,3 +271,30 @@ def test_dropout_by_its_definition(rate):
     keys = text.mix(np.arange(len(values), dtype=np.uint64) + np.uint64(1)).tolist()
     got = [x.tolist() for x in encode(m, values, rate)]
     assert got == [slow_pieces(sp, v, k, rate) for v, k in zip(values, keys)]
+
+
+def test_forest_recall_on_20000_vectors():
+    rng = np.random.default_rng(9)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.standard_normal((14_000, 64)))
+    side = rng.standard_normal((6_000, 64))
+    side = unit(side - (side * x[:6_000]).sum(1, keepdims=True) * x[:6_000])
+    x = np.concatenate([x, 0.905 * x[:6_000] + (1 - 0.905**2) ** 0.5 * side])  # one near copy each, close to the threshold
+    f = forest.Forest(x[rng.permutation(len(x))[: forest.SAMPLE // 4]], len(x), 100, 0.9, forest.SPILL, forest.MISS, 3)
+    assert f.kept <= f.levels == 8 and sum(c.nbytes for c in f.cuts) < 1 << 20
+    held = [set() for _ in x]
+    for t in range(len(f.cuts)):
+        for row, leaf in zip(*(y.tolist() for y in f.leaves(t, x))):
+            held[row].add((t, leaf))
+    found = sum(not held[i].isdisjoint(held[14_000 + i]) for i in range(6_000))
+    assert found >= 0.99 * 6_000
+
+
+def test_forest_below_its_sample():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3_000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    f = forest.Forest(x[:200], len(x), 20, 0.9, forest.SPILL, forest.MISS, 3)
+    assert f.kept < f.levels
+    row, leaf = f.leaves(0, x)
+    assert set(row.tolist()) == set(range(3_000)) and len(np.unique(leaf)) > 1 << f.kept
