@@ -4,7 +4,8 @@ A gear hash rolls over the bytes of a text; a chunk ends where its top bits are
 LEAST and MOST bytes; a tail of fewer than LEAST bytes belongs to the last chunk. The end depends
 on the last 16 bytes only, so that an insertion moves no chunk ends but those near it. A chunk is
 a repeat if a chunk with the same 128-bit digest stands earlier (smaller doc_id, or same document
-and earlier start), and is cut out.
+and earlier start). Runs of repeats of at least min_run bytes are cut out, and those that are a
+whole text; shorter ones stay: lines and phrases that many texts share are no copied passages.
 
 The first pass shuffles one combined row for each digest and task, the second one row for each
 chunk; the rows of a digest that stands in a large share of all documents are dealt over many
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from . import frames, text
 
-LEAST, MOST, BITS = 32, 256, 4
+LEAST, MOST, BITS = 24, 256, 4
+MIN_RUN = 80
 GEAR = (text.BYTE_CODE >> np.uint64(40)).astype(np.uint16)
 #: The top bits of the 16-bit gear hash, which the last 16 bytes decide.
 TOP = np.uint16(((1 << BITS) - 1) << (16 - BITS))
@@ -89,7 +91,7 @@ def chunk_rows(keyed: DataFrame) -> DataFrame:
     return keyed.select("rk", "text").mapInArrow(run, "h1 long, h2 long, rk long, place long")
 
 
-def runs(places: np.ndarray, own: np.ndarray, digests: list) -> list[tuple[int, int]]:
+def runs(places: np.ndarray, own: np.ndarray, digests: list, size: int, min_run: int) -> list[tuple[int, int]]:
     """The spans to cut of one document, of its chunks whose digest also occurs elsewhere or twice here."""
     order = np.argsort(places, kind="stable")
     seen: set = set()
@@ -103,7 +105,7 @@ def runs(places: np.ndarray, own: np.ndarray, digests: list) -> list[tuple[int,
             out[-1] = (out[-1][0], a + n)
         else:
             out.append((a, a + n))
-    return out
+    return [(a, b) for a, b in out if b - a >= min(min_run, size)]
 
 
 def whole_characters(data: bytes, a: int, b: int) -> tuple[int, int]:
@@ -115,7 +117,7 @@ def whole_characters(data: bytes, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def dedup_chunks(docs: DataFrame, *extra: str) -> DataFrame:
+def dedup_chunks(docs: DataFrame, *extra: str, min_run: int = MIN_RUN) -> DataFrame:
     """(doc_id, text, n_bytes, n_removed, n_spans, extra...): text is what is left."""
     keyed = frames.keyed(docs, *extra)
     rows = chunk_rows(keyed)
@@ -136,7 +138,7 @@ def dedup_chunks(docs: DataFrame, *extra: str) -> DataFrame:
                 cuts = []
                 if got is not None and len(got):
                     h1, h2 = got.field("h1").to_numpy(), got.field("h2").to_numpy()
-                    spans = runs(got.field("place").to_numpy(), got.field("own").to_numpy(zero_copy_only=False), list(zip(h1.tolist(), h2.tolist())))
+                    spans = runs(got.field("place").to_numpy(), got.field("own").to_numpy(zero_copy_only=False), list(zip(h1.tolist(), h2.tolist())), len(own), min_run)
                     cuts = [x for x in (whole_characters(own, a, b) for a, b in spans) if x[0] < x[1]]
                 at, left = 0, []
                 for a, b in cuts:

@@ -140,6 +140,7 @@ def brute_chunks(rows):
             if b[a:e] in seen:
                 runs = [*runs[:-1], [runs[-1][0], e]] if runs and runs[-1][1] == a else [*runs, [a, e]]
             seen.add(b[a:e])
+        runs = [(a, e) for a, e in runs if e - a >= min(chunks.MIN_RUN, len(b))]
         kept, at = b"", 0
         for a, e in runs:
             while a < e and b[a] >> 6 == 2:  # a cut takes whole characters only
