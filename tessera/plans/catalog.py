@@ -326,4 +326,4 @@ def ledger_roundtrip(spark, sf_dir):
     return own.select("event_id", F.from_json(F.to_json("p"), "k long", {"mode": "FAILFAST"}).alias("q")).select("event_id", "q.k")
 
 
-from . import catalog_visual  # noqa: E402, F401
+from . import catalog_ledgers, catalog_visual  # noqa: E402, F401

@@ -208,7 +208,47 @@ def route_classify(spark, sf_dir):
     return routing.classify(_layout(spark, sf_dir)).select("vec_id", F.col("raw_kind").alias("kind"))
 
 
-@query()
+def _up(x: str, limit: float) -> str:
+    return f"least(1.0, greatest(0.0, {x} / {limit}))"
+
+
+def _down(x: str, limit: float) -> str:
+    return f"(CASE WHEN {x} <= {limit} THEN 1.0 ELSE greatest(0.0, 1 - ({x} - {limit}) / {limit}) END)"
+
+
+#: Kinds and confidences of the 8 x 8 images in SQL.
+ROUTED = (
+    sql("pixels", """, f AS (SELECT label, sample_index, vec_id, list_sum(gray) / len(gray) + 40 AS luma, len(list_filter(gray, lambda x: x < 110)) / len(gray) AS dark, len(list_filter(gray, lambda x: x > 140)) / len(gray) AS bright, len(list_filter(gray, lambda x: x > 150)) / len(gray) AS edge, len(list_filter(gray, lambda x: x > 160)) / len(gray) / 4 AS h, len(list_filter(gray, lambda x: x < 90)) / len(gray) / 4 AS v FROM pixels)""", True).replace(") , f", "), f")
+    + f""", w AS (SELECT *, 0.60 * {_up('dark', 0.72)} + 0.40 * {_down('luma', 100.0)} AS c, 0.25 * {_up('luma', 185.0)} + 0.20 * {_up('bright', 0.30)} + 0.25 * {_up('h', 0.008)} + 0.30 * {_up('edge', 0.07)} AS t,
+ 0.24 * {_up('luma', 105.0)} + 0.20 * {_down('dark', 0.60)} + 0.20 * {_down('h', 0.012)} + 0.16 * {_down('edge', 0.25)} + 0.20 * greatest({_down('bright', 0.25)}, least({_down('h', 0.010)}, {_down('v', 0.008)}, {_down('edge', 0.12)}, {_down('luma', 235.0)})) AS p,
+ CASE WHEN dark >= 0.72 AND luma <= 100 THEN 'chart' WHEN luma >= 185 AND bright >= 0.30 AND h >= 0.008 AND edge >= 0.07 THEN 'table' WHEN luma >= 105 AND dark <= 0.60 AND h <= 0.012 AND edge <= 0.25 AND (bright <= 0.25 OR (h < 0.010 AND v < 0.008 AND edge <= 0.12 AND luma <= 235)) THEN 'presentation' ELSE 'unknown' END AS kind FROM f),
+ k AS (SELECT label, sample_index, vec_id, kind, CASE kind WHEN 'chart' THEN c WHEN 'table' THEN t WHEN 'presentation' THEN p ELSE greatest(0.0, least(1.0, 1 - greatest(c, t, p))) END AS confidence FROM w)"""
+)
+
+
+@query(ROUTED + " SELECT vec_id, kind, round(confidence, 6) AS confidence FROM k")
+def route_confidence(spark, sf_dir):
+    return routing.classify(_layout(spark, sf_dir)).select("vec_id", F.col("raw_kind").alias("kind"), F.round("confidence", 6).alias("confidence"))
+
+
+#: The first run of up to three rows between equal neighbours, of lists of kinds l and lengths n.
+FIRST_BRIDGE = "list_min(list_filter(range(2, len(l)), lambda i: n[i] <= 3 AND l[i - 1] = l[i + 1]))"
+
+
+def _runs(name: str, column: str, source: str) -> str:
+    return f"{name} AS (SELECT *, sum(CASE WHEN p IS NOT DISTINCT FROM {column} AND sample_index > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY label ORDER BY sample_index) AS run FROM (SELECT *, lag({column}) OVER (PARTITION BY label ORDER BY sample_index) AS p FROM {source}))"
+
+
+@query(
+    ROUTED
+    + f""", {_runs('r', 'kind', 'k')}, z AS (SELECT label, list(kind ORDER BY run) AS l, list(m ORDER BY run) AS n FROM (SELECT label, run, kind, count(*) AS m FROM r GROUP BY 1, 2, 3) GROUP BY 1),
+ b AS (SELECT label, l, n, {FIRST_BRIDGE} AS i FROM z UNION ALL SELECT label, l, n, {FIRST_BRIDGE} FROM (SELECT label, l[1:i - 1] || l[i + 2:] AS l, n[1:i - 2] || [n[i - 1] + n[i] + n[i + 1]] || n[i + 2:] AS n FROM b WHERE i IS NOT NULL)),
+ q AS (SELECT label, flatten(list_transform(range(1, len(l) + 1), lambda j: list_transform(range(n[j]), lambda x: l[j]))) AS g FROM b WHERE i IS NULL),
+ d AS (SELECT k.* EXCLUDE kind, kind AS raw, g[sample_index + 1] AS bridged FROM k JOIN q USING (label)), {_runs('e', 'bridged', 'd')},
+ s AS (SELECT label, sample_index, raw, CASE WHEN bridged <> 'unknown' AND count(*) OVER (PARTITION BY label, run) < 8 THEN 'unknown' ELSE bridged END AS kind, confidence FROM e), {_runs('u', 'kind', 's')}
+ SELECT label, printf('route-%03d', CAST(run AS BIGINT)) AS segment_id, kind, min(sample_index) AS start_index, max(sample_index) + 1 AS stop_index, min(sample_index) * 500000 AS start_us, max(sample_index) * 500000 AS end_us,
+  round(avg(CASE WHEN kind <> raw THEN 0.0 ELSE confidence END), 6) AS confidence FROM u GROUP BY label, run, kind"""
+)
 def content_segments(spark, sf_dir):
     own = routing.classify(_layout(spark, sf_dir)).withColumn("t_us", F.col("sample_index") * 500_000)
     return routing.content_segments(routing.smooth(own, ["label"], ["sample_index"], 2.0), ["label"], "sample_index", "t_us").select("label", "segment_id", "kind", "start_index", "stop_index", "start_us", "end_us", F.round("confidence", 6).alias("confidence"))
