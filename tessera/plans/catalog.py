@@ -277,7 +277,9 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chapters.scored(chapters.boundary_features(adapters.speech(spark, sf_dir), ["conv_id"], patterns=lexicon.LATIN_CUES))
 
 
-@query(sql("speech", """, n AS (SELECT *, lower(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS t, lag(end_us) OVER w AS before, lead(text) OVER w AS next, row_number() OVER w AS k FROM speech WINDOW w AS (PARTITION BY conv_id ORDER BY start_us, speech_id)),
+#: Novelty, discourse and pause of each speech event but the first, in SQL.
+FEATURES = (
+    sql("speech ranges", """, n AS (SELECT *, lower(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS t, lag(end_us) OVER w AS before, lead(text) OVER w AS next, row_number() OVER w AS k FROM speech WINDOW w AS (PARTITION BY conv_id ORDER BY start_us, speech_id)),
  c AS (SELECT *, lower(regexp_replace(concat_ws(' ', text, next), '[^\\p{L}\\p{N}]', '', 'g')) AS two FROM n WHERE k > 1),
  s AS (SELECT c.conv_id, c.speech_id, 0 AS side, string_agg(n.text, ' ' ORDER BY n.start_us, n.speech_id) AS t FROM c JOIN n ON n.conv_id = c.conv_id AND n.end_us > c.start_us - 45000000 AND n.start_us < c.start_us GROUP BY 1, 2 UNION ALL
   SELECT c.conv_id, c.speech_id, 1, string_agg(n.text, ' ' ORDER BY n.start_us, n.speech_id) FROM c JOIN n ON n.conv_id = c.conv_id AND n.end_us > c.start_us AND n.start_us < c.start_us + 45000000 GROUP BY 1, 2),
@@ -286,8 +288,13 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT conv_id, speech_id, side, 'word:' || x, 150 FROM (SELECT conv_id, speech_id, side, unnest(regexp_extract_all(t, '[a-z0-9]{2,}')) AS x FROM q)) GROUP BY 1, 2, 3, 4),
  e AS (SELECT conv_id, speech_id, k, sum(CASE WHEN side = 0 THEN w ELSE 0 END) AS l, sum(CASE WHEN side = 1 THEN w ELSE 0 END) AS r FROM b GROUP BY 1, 2, 3),
  d AS (SELECT conv_id, speech_id, sum(l * r) AS dot, sum(l * l) AS ll, sum(r * r) AS rr FROM e GROUP BY 1, 2)
- SELECT c.conv_id, c.speech_id, round(1 - CASE WHEN coalesce(ll, 0) = 0 OR coalesce(rr, 0) = 0 THEN 0 ELSE least(1, dot / (sqrt(ll) * sqrt(rr))) END, 6) AS novelty,
- CASE WHEN starts_with(two, 'the') THEN 0.9 WHEN regexp_matches(two, '^(in|of|and)') THEN 0.84 WHEN contains(two, 'tion') THEN 0.6 ELSE 0 END::DOUBLE AS discourse, round(least(1.0, greatest(0, start_us - before) / 1500000.0), 6)::DOUBLE AS pause FROM c LEFT JOIN d USING (conv_id, speech_id)""").replace(") , n AS", "), n AS"))
+,
+ x AS (SELECT c.conv_id, c.speech_id, c.start_us, round(1 - CASE WHEN coalesce(ll, 0) = 0 OR coalesce(rr, 0) = 0 THEN 0 ELSE least(1, dot / (sqrt(ll) * sqrt(rr))) END, 6) AS novelty,
+ CASE WHEN starts_with(two, 'the') THEN 0.9 WHEN regexp_matches(two, '^(in|of|and)') THEN 0.84 WHEN contains(two, 'tion') THEN 0.6 ELSE 0 END::DOUBLE AS discourse, round(least(1.0, greatest(0, start_us - before) / 1500000.0), 6)::DOUBLE AS pause FROM c LEFT JOIN d USING (conv_id, speech_id))""", True).replace(") , n AS", "), n AS")
+)
+
+
+@query(FEATURES + " SELECT conv_id, speech_id, novelty, discourse, pause FROM x")
 def boundary_features(spark, sf_dir):
     return _candidates(spark, sf_dir).select("conv_id", "speech_id", "novelty", "discourse", "pause")
 
@@ -298,11 +305,45 @@ def _chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chapters.chapters(marks, ranges, ["conv_id"])
 
 
-@query()
+#: Lists of (time, score) folded as the operator does: what is within 18 s of the last is one with it, the rest is 30 s apart.
+FOLD = "list_reduce(list_transform({0}, lambda q: [q]), lambda a, q: CASE WHEN q[1].t - a[-1].t >= {1} THEN a || q WHEN q[1].s > a[-1].s THEN a[1:len(a) - 1] || q ELSE a END)"
+#: The first stretch between two boundaries that is longer than 300 s.
+GAP = "list_min(list_filter(range(1, len(m)), lambda j: m[j + 1] - m[j] > 300.000001))"
+
+
+#: The chosen boundaries: rows o(conv_id, forced, t).
+BOUNDARIES = (
+    FEATURES
+    + f""", y AS (SELECT x.conv_id, start_us, start_us / 1000000.0 AS t, round(0.44 * novelty + 0.25 * discourse + 0.11 * pause, 6) AS s, range_end_us / 1000000.0 AS e, start_us / 1000000.0 BETWEEN 30 AND range_end_us / 1000000.0 - 30 AND (discourse >= 0.90 OR (novelty >= 0.97 AND pause >= 0.45)) AS fits FROM x JOIN ranges USING (conv_id)),
+ l AS (SELECT conv_id, e, list({{'t': t, 's': s}} ORDER BY t) FILTER (fits) AS v FROM y GROUP BY 1, 2),
+ g AS (SELECT conv_id, e, {FOLD.format('v', 18)} AS v FROM l WHERE len(v) > 0), h AS (SELECT conv_id, e, {FOLD.format('v', 30)} AS v FROM g),
+ k AS (SELECT l.conv_id, l.e, [0.0] || coalesce(list_transform(h.v, lambda q: q.t), []) || [l.e] AS m FROM l LEFT JOIN h USING (conv_id)),
+ f AS (SELECT conv_id, e, m, []::DOUBLE[] AS forced, {GAP} AS i FROM k UNION ALL SELECT conv_id, e, m, forced, {GAP} FROM (
+  SELECT f.conv_id, f.e, list_sort(f.m || [b.t]) AS m, f.forced || [b.t] AS forced FROM f, LATERAL (SELECT y.t FROM y WHERE y.conv_id = f.conv_id AND y.t BETWEEN f.m[f.i] + 30 AND f.m[f.i + 1] - 30
+   ORDER BY y.s - abs(y.t - least(f.m[f.i] + 120, f.m[f.i + 1] - 30)) / 300 DESC, abs(y.t - least(f.m[f.i] + 120, f.m[f.i + 1] - 30)), y.t LIMIT 1) b WHERE f.i IS NOT NULL)),
+ o AS (SELECT conv_id, forced, unnest(m[2:len(m) - 1]) AS t FROM f WHERE i IS NULL)"""
+)
+
+
+@query(BOUNDARIES + " SELECT conv_id, CAST(round(t * 1000000) AS BIGINT) AS start_us, list_contains(forced, t) AS forced FROM o")
 def boundary_select(spark, sf_dir):
     return chapters.boundaries(_candidates(spark, sf_dir), adapters.speech_ranges(spark, sf_dir), ["conv_id"], least=30.0, target=120.0, most=300.0)
 
 
+@query(
+    BOUNDARIES
+    + """, st AS (SELECT conv_id, 0 AS start_us, false AS forced FROM ranges UNION ALL SELECT conv_id, CAST(round(t * 1000000) AS BIGINT), list_contains(forced, t) FROM o),
+ ch AS (SELECT st.*, printf('chapter-%03d', row_number() OVER w) AS chapter_id, coalesce(lead(start_us) OVER w, range_end_us) AS end_us FROM st JOIN ranges USING (conv_id) WINDOW w AS (PARTITION BY st.conv_id ORDER BY start_us))
+ SELECT ch.conv_id, chapter_id, ch.start_us, ch.end_us, forced, string_agg(sp.speech_id, ',' ORDER BY sp.start_us, sp.speech_id) AS speech_ids FROM ch LEFT JOIN speech sp ON sp.conv_id = ch.conv_id AND sp.start_us >= ch.start_us AND sp.start_us < ch.end_us GROUP BY 1, 2, 3, 4, 5"""
+)
+def chapter_spans(spark, sf_dir):
+    parts = _chapters(spark, sf_dir)
+    held = chapters.assign(adapters.speech(spark, sf_dir), parts, ["conv_id"], t="start_us")
+    ids = held.groupBy("conv_id", "chapter_id").agg(F.array_sort(F.collect_list(F.struct("start_us", "speech_id"))).alias("x"))
+    own = parts.join(ids, ["conv_id", "chapter_id"], "left")
+    return own.select("conv_id", "chapter_id", "start_us", "end_us", "forced", F.array_join(F.transform("x", lambda x: x["speech_id"].cast("string")), ",").alias("speech_ids"))
+
+
 @query()
 def chapter_ledger(spark, sf_dir):
     own = chapters.chapter_texts(adapters.speech(spark, sf_dir), _chapters(spark, sf_dir), ["conv_id"], lexicon.LATIN_TERMS, (), lexicon.LATIN_CUES)
