@@ -107,8 +107,6 @@ def transcribe(audio: DataFrame, backend: Callable[[], SpeechBackend], language:
 
     One source's failure is a row; others go on.
     """
-    import pandas as pd
-
     if profile not in PROFILES:
         raise ValueError(f"a decoding profile is one of {', '.join(PROFILES)}")
     said = prompt(initial_prompt)
