@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text that one array step takes at once. A longer text is a step of its own.
-STEP = 1 << 21
+STEP = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
