@@ -356,6 +356,24 @@ def test_jaccard_counts_links(docs, cap):
     assert sorted(((str(x.doc_id), x.n_shingles, x.component_id) for x in got), key=str) == sorted(brute_jaccard(rows), key=str)
 
 
+def test_prefix_rows_of_copies_and_of_single_classes_end_early(spark):
+    """Copies within a task give their rows once, shares of the shingles make up all, and only shared ones are kept."""
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words)] * 50 + [" ".join([*words[:-1], "other"]), " ".join(f"x{i}" for i in range(40))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    levels = np.zeros(1 << jaccard.SKETCH_BITS, np.uint8)
+    whole = sorted(map(tuple, jaccard.prefixes(docs, levels, 5, 80).collect()))
+    assert len(whole) == len(set(whole)) == 24  # 36 - 29 + 1 of each of three classes
+    parts = [r for k in range(3) for r in map(tuple, jaccard.prefixes(docs, levels, 5, 80, k, 3).collect())]
+    assert sorted(parts) == whole
+    classes = {}
+    for token, sid, _ in whole:
+        classes.setdefault(token, set()).add(sid)
+    held = jaccard.shared_rows(docs, levels, 5, 80).collect()
+    assert sorted((r.token, r.sid, r.place) for r in held) == [r for r in whole if len(classes[r[0]]) > 1]
+    assert all(r.few and r.hub == min(classes[r.token]) for r in held)
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
