@@ -80,6 +80,32 @@ def test_quality_gate(spark):
     assert got == {"a": (["identical_runs"], False), "b": (["repeated_grams"], False), "c": (["replacement_marks"], False), "d": ([], True)}
 
 
+def plain_repeat(t: str, size: int):
+    seen = {}
+    for i in range(len(t) - size + 1) if len(t) >= 2 * size else ():
+        if i - seen.setdefault(t[i : i + size], i) >= size:
+            return seen[t[i : i + size]], i
+    return None
+
+
+def test_repeats_are_found_where_the_text_is(spark):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abé\U0001f600"), n)) for n in rng.integers(0, 90, 300)] + ["a" * 200, "ab" * 70, "xyz" + "q" * 64]
+    for size in (4, 7, 32):
+        assert [speech.first_repeat(t, size) for t in texts] == [plain_repeat(t, size) for t in texts]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")
+    own = speech.repeated_grams(df, ["i"], size=7)
+    # no gram is shuffled: nothing but what was found leaves a task
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+    assert rows(own.select("i", "first", "again")) == [(i, *x) for i, t in enumerate(texts) if (x := plain_repeat(t, 7))]
+
+
+def test_rows_of_one_ident_are_judged_together(spark):
+    a = "abcdefghijklmnop"
+    df = spark.createDataFrame([(1, "01234567" + "89ABCDEF" + a), (1, "QRSTUVWX" + "01234567" + "YZ!?#+-*"), (2, a), (None, a + a), (None, "x")], "i long, text string")
+    assert sorted(map(tuple, speech.repeated_grams(df, ["i"], size=8).collect()), key=str) == [(1, 0, 8, "01234567"), (None, 0, 16, "abcdefgh")]
+
+
 def test_tail_clamp(spark):
     words = "array(named_struct('word', 'a', 'start', 9.0D, 'end', 10.02D, 'probability', double('NaN')))"
     df = spark.sql(f"select 8.0D start, 10.02D end, '' text, {words} words, 100.0D range_start, 10.0D audio_seconds")
