@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +99,40 @@ def ground_truth_status(review_status: str = "review_status", coverage: str = "c
     return F.when((F.col(review_status) == "reviewed") & (F.col(coverage) == "exhaustive"), "reviewed_exhaustive").when(F.col(review_status) == "reviewed", "reviewed_partial").otherwise("unreviewed")
 
 
+def holders(spans: list[str], texts: list[str]) -> Counter:
+    """How many of the texts hold each span. A text is read once: its runs of GRAM characters (of all
+    lengths of shorter spans as well) are looked up among the spans' first characters."""
+    heads: dict[int, dict[str, list[str]]] = {}
+    for s in dict.fromkeys(spans):
+        heads.setdefault(min(GRAM, len(s)), {}).setdefault(s[:GRAM], []).append(s)
+    out: Counter = Counter()
+    for t, n in Counter(texts).items():
+        found = set()
+        for size, own in heads.items():
+            for at in range(len(t) - size + 1):
+                for s in own.get(t[at : at + size], ()):
+                    if t.startswith(s, at):
+                        found.add(s)
+        for s in found:
+            out[s] += n
+    return out
+
+
+def span_hits(anchors: DataFrame, speech: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, anchor_id, all_hits): how much of a source's speech holds each expected span. A group is one source's texts."""
+    kinds = ", ".join(f"`{c}` {anchors.schema[c].dataType.simpleString()}" for c in [*keys, "anchor_id"])
+
+    def run(spans: pa.Table, texts: pa.Table) -> pa.Table:
+        own = spans.column("expected_span").to_pylist()
+        n = holders([s for s in own if s is not None], [t for t in texts.column("text").to_pylist() if t is not None])
+        return spans.select([*keys, "anchor_id"]).append_column("all_hits", pa.array([n[s] for s in own], pa.int64()))
+
+    # both sides may come of one table: columns of the same name would be taken for one another
+    other = speech.select(*[F.col(c).alias(c) for c in [*keys, "text"]])
+    found = anchors.select(*keys, "anchor_id", "expected_span").groupBy(*keys).cogroup(other.groupBy(*keys)).applyInArrow(run, f"{kinds}, all_hits long")
+    return found.groupBy(*keys, "anchor_id").agg(F.sum("all_hits").alias("all_hits"))
+
+
 def anchor_scores(anchors: DataFrame, speech: DataFrame, keys: Sequence[str], tolerance_us: int = 750_000) -> DataFrame:
     """anchors(keys, anchor_id, start_us, end_us, baseline_span, expected_span) with what the output says nearby.
 
@@ -106,18 +142,11 @@ def anchor_scores(anchors: DataFrame, speech: DataFrame, keys: Sequence[str], to
     """
     own = anchors.withColumns({"_s": F.col("start_us") - tolerance_us, "_e": F.col("end_us") + tolerance_us})
     near = joins.overlapping(own, speech.select(*keys, "speech_id", F.col("start_us").alias("ss"), F.col("end_us").alias("se"), "text"), keys, "_s", "_e", "ss", "se", closed=True)
-    hits = near.groupBy(*keys, "anchor_id").agg(F.max(F.contains("text", "expected_span")).alias("expected"), F.max(F.contains("text", "baseline_span")).alias("baseline"), F.count("*").alias("near"))
-    # the complement of the window join, counted by subtraction: a span meets only the speech that
-    # holds its first characters, so that no pairs of unlike rows are built
-    gram = lambda c: F.substring(c, 1, GRAM)
-    told = speech.select(*keys, "text", F.explode(F.array_distinct(F.expr(f"transform(sequence(1, greatest(1, length(text) - {GRAM - 1})), i -> substring(text, i, {GRAM}))"))).alias("_gram"))
-    long = own.where(F.length("expected_span") >= GRAM).select(*keys, "anchor_id", "expected_span", gram("expected_span").alias("_gram")).join(told, [*keys, "_gram"])
-    short = own.where(F.length("expected_span") < GRAM).select(*keys, "anchor_id", "expected_span").join(speech.select(*keys, "text"), list(keys))
-    hit = long.drop("_gram").unionByName(short).where(F.contains("text", "expected_span"))
-    spans = hit.groupBy(*keys, "anchor_id").agg(F.count("*").alias("all_hits"))
-    held = near.where(F.contains("text", "expected_span")).groupBy(*keys, "anchor_id").agg(F.count("*").alias("near_hits"))
+    expected = F.contains("text", "expected_span")
+    hits = near.groupBy(*keys, "anchor_id").agg(F.max(expected).alias("expected"), F.max(F.contains("text", "baseline_span")).alias("baseline"), F.count("*").alias("near"), F.count_if(expected).alias("near_hits"))
+    # the complement of the window join, counted by subtraction: no pairs of unlike rows are built
     out = anchors
-    for d in (hits, spans, held):
+    for d in (hits, span_hits(own, speech, keys)):
         out = out.join(d, [*keys, "anchor_id"], "left")
     out = out.fillna(0, ["near", "all_hits", "near_hits"]).fillna(False, ["expected", "baseline"])
     outcome = F.when(F.col("expected"), "expected_exact").when(F.col("baseline"), "baseline_error_persists").otherwise("other_output")

@@ -66,6 +66,17 @@ def test_matching_is_one_to_one():
     assert evaluate.match_points([(62, 62, 65)], [65.5]) == []
 
 
+def test_spans_are_counted_without_pairs_of_texts(spark):
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abé"), n)) for n in rng.integers(0, 30, 200)] + ["abababababab"] * 3
+    spans = ["", "a", "abab", "abababab", "ababababa", *(t[2:14] for t in texts)]
+    assert evaluate.holders(spans, texts) == {s: n for s in spans if (n := sum(s in t for t in texts))}
+    own = spark.createDataFrame([("v", i, t) for i, t in enumerate([*texts, None])], "k string, anchor_id int, text string")
+    got = evaluate.span_hits(own.withColumnRenamed("text", "expected_span"), own, ["k"])
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got) == [("v", i, sum(t in x for x in texts)) for i, t in enumerate(texts)] + [("v", len(texts), 0)]
+
+
 def test_match_and_quality(spark):
     p = spark.createDataFrame([("v", 1, 10.0, 9.0, 11.0), ("v", 2, 30.0, 29.0, 31.0)], "k string, point_id int, t double, low double, high double")
     c = spark.createDataFrame([("v", 10.0), ("v", 12.0), ("v", 30.0)], "k string, t double")
