@@ -34,12 +34,26 @@ class Clip:
     """Frames with their change scores and hashes; comparisons of two frames are kept."""
 
     def __init__(self, t: Sequence[float], images: Sequence[np.ndarray], fps: float, last: int | None = None):
-        self.t, self.images, self.fps = np.asarray(t, float), list(images), fps
+        self.t, self.fps = np.asarray(t, float), fps
         self.last = len(self.t) - 1 if last is None else last
-        self.compare: Callable[[int, int], Geometry] = lru_cache(4096)(lambda a, b: px.comparison(self.images[a], self.images[b]))
-        self.slide: Callable[[int, int], Geometry] = lru_cache(4096)(lambda a, b: px.slide_geometry(self.images[a], self.images[b]))
-        self.table: Callable[[int, int], Geometry] = lru_cache(4096)(lambda a, b: px.table_geometry(self.images[a], self.images[b]))
-        self.hash: Callable[[int], int] = lru_cache(None)(lambda a: px.perceptual_hash(self.images[a]))
+        # equal pictures are one: frames that stand still are compared once
+        first: dict[tuple, int] = {}
+        self.same = [first.setdefault((x.shape, x.tobytes()), i) for i, x in enumerate(images)]
+        self.images = [images[i] for i in self.same]
+        self.compare: Callable[[int, int], Geometry] = self.pairs(px.comparison)
+        self.slide: Callable[[int, int], Geometry] = self.pairs(px.slide_geometry)
+        self.table: Callable[[int, int], Geometry] = self.pairs(px.table_geometry)
+        self.hash: Callable[[int], int] = self.each(px.perceptual_hash)
+        self.density: Callable[[int], float] = self.each(px.edge_density)
+        self.near: Callable[[int, int], tuple[float, float]] = self.pairs(lambda a, b: (px.frame_ssim(a, b), px.block_change(a, b)))
+
+    def each(self, f: Callable) -> Callable:
+        own = lru_cache(None)(lambda a: f(self.images[a]))
+        return lambda a: own(self.same[a])
+
+    def pairs(self, f: Callable) -> Callable:
+        own = lru_cache(4096)(lambda a, b: f(self.images[a], self.images[b]))
+        return lambda a, b: own(self.same[a], self.same[b])
 
     @property
     def change(self) -> np.ndarray:
@@ -52,7 +66,7 @@ class Clip:
 
     def alike(self, a: int, b: int, bits: int = 4, ssim: float = 0.996, block: float = 0.012) -> bool:
         """Near-duplicate frames; the cheapest test comes first."""
-        return a == b or ((self.hash(a) ^ self.hash(b)).bit_count() <= bits and px.frame_ssim(self.images[a], self.images[b]) >= ssim and px.block_change(self.images[a], self.images[b]) <= block)
+        return self.same[a] == self.same[b] or ((self.hash(a) ^ self.hash(b)).bit_count() <= bits and self.near(a, b)[0] >= ssim and self.near(a, b)[1] <= block)
 
 
 def merged(found: list[Emit]) -> list[Emit]:
@@ -314,13 +328,19 @@ def replacements(clip: Clip) -> list[tuple[int, float]]:
     at = at[clip.change[at] >= 0.025]
     if not len(at):
         return []
-    density = np.array([px.edge_density(x) for x in clip.images])
+    density = np.array([clip.density(i) for i in range(n)])
     after = at[:, None] + np.arange(1, post + 1)
     losses = density[at - pre][:, None] - density[after]
 
+    def apart(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
+        d = np.abs(b.astype(np.int16) - a)
+        return float(d.mean() / 255), float((d >= 12).mean())
+
+    away = clip.pairs(apart)
+
     def medians(i: int, own: np.ndarray) -> tuple[float, float]:
-        apart = np.abs(np.stack([clip.images[j] for j in own]).astype(np.int16) - clip.images[i - pre]).reshape(post, -1)
-        return float(np.median(apart.mean(1) / 255)), float(np.median((apart >= 12).mean(1)))
+        delta, mask = np.array([away(int(i) - pre, int(j)) for j in own]).T
+        return float(np.median(delta)), float(np.median(mask))
 
     delta, mask = np.array([medians(i, own) for i, own in zip(at, after)]).T
     lasting = (delta >= 0.004) & (mask >= 0.001) & (losses[:, 0] >= 0.003) & ((losses >= 0.003).mean(1) >= 2 / 3)

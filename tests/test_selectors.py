@@ -116,6 +116,20 @@ def test_the_score_is_the_greatest_of_the_medians():
     assert score == pytest.approx(max(apart.mean() / 255, px.edge_density(before) - px.edge_density(after), (apart >= 12).mean()))
 
 
+def test_equal_pictures_are_compared_once():
+    seen = []
+    kernel = px.remembered(lambda a, b: seen.append(1) or float(np.abs(a.astype(int) - b).sum()))
+    a, b = slide(0, 1), slide(0, 2)
+    assert kernel(a, b) == kernel(a.copy(), b.copy()) == float(np.abs(a.astype(int) - b).sum()) and len(seen) == 1
+    kernel(b, a), kernel(a.reshape(-1, a.shape[1] // 2), b.reshape(-1, b.shape[1] // 2))
+    assert len(seen) == 3  # order and shape count
+    still = clip([a.copy() for _ in range(40)] + [b.copy() for _ in range(40)])
+    asked = []
+    compare = still.pairs(lambda x, y: asked.append(1) or float(px.frame_delta(x, y)))
+    assert [compare(i - 1, i) for i in range(1, 80)] == [px.frame_delta(still.images[i - 1], still.images[i]) for i in range(1, 80)]
+    assert len(asked) == 3  # still, change, still
+
+
 def test_duplicates_keep_the_higher_rank_then_the_later():
     base = np.zeros((96, 160), np.uint8)
     other = base.copy()
