@@ -7,7 +7,7 @@ Candidate columns: sample_index, t_us (or t in seconds), score, reasons, segment
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -169,9 +169,12 @@ def deduplicate(candidates: DataFrame, frames: DataFrame, keys: Sequence[str], w
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         rows = part.sort_values(["t_us", "sample_index"], kind="stable").to_dict("records")
+        first: dict[tuple, int] = {}  # equal pictures are compared once
         for r in rows:
-            r["image"], r["reasons"] = np.frombuffer(r.pop("gray"), np.uint8).reshape(r.pop("h"), r.pop("w")), list(r["reasons"])
-        kept, dropped = fold_duplicates(rows, lambda a, b: measured(a["image"], b["image"], bits, ssim, block), window)
+            r["image"], r["reasons"] = first.setdefault((r.pop("h"), r.pop("w"), r.pop("gray")), len(first)), list(r["reasons"])
+        images = [np.frombuffer(g, np.uint8).reshape(h, w) for h, w, g in first]
+        near = lru_cache(4096)(lambda a, b: measured(images[a], images[b], bits, ssim, block))
+        kept, dropped = fold_duplicates(rows, lambda a, b: near(a["image"], b["image"]), window)
         out = [(*(r[c] for c in columns), "kept", None, None, None, None) for r in kept]
         out += [(*(r[c] for c in columns), "duplicate", r["duplicate_of_us"], *r["measured"]) for r in dropped]
         return pd.DataFrame(out, columns=[*columns, "status", "duplicate_of_us", "phash_distance", "ssim", "block_change"])
