@@ -13,11 +13,15 @@
    group of near copies are links, and are compared and counted. Trees are added, up to TREES,
    until the near pairs within PAIRS sampled vectors are held but for a share of MISS. Nodes with
    fewer than MEASURED sampled vectors are too small to measure and take SPILL as it is.
-3. Each leaf is compared by one matrix product in double precision; a leaf of more than CAP
-   classes is dealt into tiles. A pair that an earlier tree's leaf (or an earlier leaf) already
-   holds is not counted again: each class carries the names of its leaves, so no pairs are
-   written out. Leaves give each class its number of links and a spanning set of links, which
-   are united into components.
+3. Leaves below one node travel as one group (about GROUP_BYTES of vectors), so that a class is
+   sent once for all of them, in its own precision. Each leaf is compared by matrix products in
+   single precision, less a bound of their error, and the pairs that pass by the cosine in double
+   precision. A group with a leaf of more than 2 * CAP classes, or that is too large, is sent leaf by
+   leaf instead, and a leaf of more than CAP classes is dealt into tiles. A pair that an earlier
+   tree's leaf (or an earlier leaf) already holds is not counted again: each class carries the
+   names of its leaves, so no pairs are written out. Only pairs that are links are looked up, or
+   by a matrix product in leaves with more than DENSE links a class. Leaves give each class its
+   number of links and a spanning set of links, which are united into components.
 
 Recall against all pairs is measured in tests; links are only those with cosine >= 0.9.
 
@@ -29,6 +33,7 @@ every other. Tables without vectors give no rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -36,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from . import frames, text
 
@@ -47,6 +53,12 @@ MOST = 1 << 17
 MISS = 0.002
 COSINE = 0.9
 DENSITY, SHRINK, TREES, PAIRS = 0.4, 0.8, 40, 2048
+#: Bytes of vectors in double precision that travel as one group; levels that are cut into groups at least.
+GROUP_BYTES, FIRST_LEVELS = 10 << 20, 6
+#: Links a class up to which a leaf's pairs are looked up one by one, and pairs looked up at a time.
+DENSE, LOOKED_UP = 16, 1 << 16
+#: A leaf's name is its forest, tree and node + 1 (whose leading one bit tells the level).
+TREE_BITS, FOREST_BITS = 40, 48
 
 
 def parted(spill: float, sd: float) -> float:
@@ -101,8 +113,26 @@ class Forest:
 
     def sides(self, tree: int, unit: np.ndarray, row: np.ndarray, node: np.ndarray) -> np.ndarray:
         """The projection of each row on its node's direction, in standard deviations."""
+        if not len(row):
+            return np.zeros(0)
+        low, high = int(node.min()), int(node.max())
+        if high - low < 64:  # few nodes: one product
+            return (unit @ self.directions(tree, np.arange(low, high + 1)).T)[row, node - low]
+        order = np.argsort(node, kind="stable")
+        first, start = np.unique(node[order], return_index=True)
+        if len(row) < 4 * len(first):  # few rows a node
+            return np.einsum("ij,ij->i", unit[row], self.directions(tree, node))
+        rows, ends, out = row[order], [*start[1:].tolist(), len(row)], np.empty(len(row))
+        for a, b, way in zip(start.tolist(), ends, self.directions(tree, first)):
+            out[a:b] = unit[rows[a:b]] @ way
+        side = np.empty(len(row))
+        side[order] = out
+        return side
+
+    def directions(self, tree: int, node: np.ndarray) -> np.ndarray:
+        """The direction of each node."""
         drawn = text.mix(node.astype(np.uint64) + np.uint64((tree << 44) + (self.seed << 52))) % np.uint64(POOL)
-        return np.einsum("ij,ij->i", unit[row], self.pool[drawn.astype(np.int64)])
+        return self.pool[drawn.astype(np.int64)]
 
     def grow(self, sample: np.ndarray, least: float) -> None:
         """One more tree; nodes of up to `least` sampled vectors are leaves."""
@@ -128,7 +158,9 @@ class Forest:
         n = len(own)
         if n < MEASURED:
             return float(np.median(own)) if n >= 8 else 0.0, self.steps[0]
-        at = np.quantile(own, np.linspace(0.25, 0.75, 17) if n >= 64 else [0.5])
+        place = (np.linspace(0.25, 0.75, 17) if n >= 64 else np.array([0.5])) * (n - 1)
+        below = place.astype(np.int64)
+        at = own[below] + (own[np.minimum(below + 1, n - 1)] - own[below]) * (place - below)  # quantiles
         within = np.searchsorted(own, at + self.sd / 2, "right") - np.searchsorted(own, at - self.sd / 2, "left")
         k = np.searchsorted(self.bears, within / (n * self.sd))
         wide = self.steps[np.minimum(k, len(self.steps) - 1)]
@@ -159,23 +191,48 @@ class Forest:
         return np.concatenate(rows), np.concatenate(nodes)
 
 
-def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Rows of a binary column of doubles, all of one length."""
+def matrix(column: pa.Array | pa.ChunkedArray, kind: type = np.float64) -> np.ndarray:
+    """Rows of a binary column of numbers, all of one length."""
     raw = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    n = len(raw[0].as_buffer()) // 8 if len(raw) else 1
-    return np.frombuffer(b"".join(x.as_buffer() for x in raw), np.float64).reshape(len(raw), n)
+    if not len(raw):
+        return np.zeros((0, 1), kind)
+    at = np.frombuffer(raw.buffers()[1], np.int64 if pa.types.is_large_binary(raw.type) else np.int32)[raw.offset : raw.offset + len(raw) + 1]
+    return np.frombuffer(raw.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind).reshape(len(raw), -1)
 
 
-def leaf_links(unit: np.ndarray, sid: np.ndarray, codes: list[np.ndarray], own: int, weight: np.ndarray, side: np.ndarray | None, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def units(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
+    """Rows of a binary column as vectors of length 1, in double precision."""
+    x = matrix(column, kind).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return x
+
+
+def level_of(node: np.ndarray) -> np.ndarray:
+    """The level of nodes that are numbered from 1."""
+    return np.frexp(node.astype(np.float64))[1].astype(np.int64) - 1
+
+
+def within(codes: np.ndarray, key: int) -> np.ndarray:
+    """Which of the leaves are the node `key` or below it."""
+    at = codes & ((1 << TREE_BITS) - 1)
+    own = key & ((1 << TREE_BITS) - 1)
+    down = level_of(at) - (own.bit_length() - 1)
+    return (codes >> TREE_BITS == key >> TREE_BITS) & (down >= 0) & (at >> np.maximum(down, 0) == own)
+
+
+def leaf_links(unit: np.ndarray, codes: list[np.ndarray], own: int, weight: np.ndarray, side: np.ndarray | None, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links of each row that this leaf is the first to hold, and links that span its components.
 
     codes: each row's leaves, ascending; a pair belongs to the least leaf that both are in.
     """
     n = len(unit)
     earlier = [c[c < own] for c in codes]
-    names, flat = np.unique(np.concatenate(earlier) if n else np.zeros(0, np.int64), return_inverse=True)
-    incidence = np.zeros((n, len(names)), np.float32)
-    incidence[np.repeat(np.arange(n), [len(c) for c in earlier]), flat] = 1
+    names, flat, times = np.unique(np.concatenate(earlier) if n else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
+    shared = times > 1
+    incidence = np.zeros((n, shared.sum()), np.float32)
+    kept = shared[flat]
+    incidence[np.repeat(np.arange(n), [len(c) for c in earlier])[kept], (np.cumsum(shared) - 1)[flat[kept]]] = 1
     counts, tree, root = np.zeros(n, np.int64), [], np.arange(n)
 
     for a in range(0, n, 512):
@@ -195,32 +252,130 @@ def leaf_links(unit: np.ndarray, sid: np.ndarray, codes: list[np.ndarray], own:
     return counts, tree
 
 
+def near_pairs(single: np.ndarray, side: np.ndarray | None, bound: float, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pairs i < j whose product is at least bound; None if they are more than `most`."""
+    out, n = [], 0
+    for a in range(0, len(single), 512):
+        near = single[a : a + 512] @ single[a:].T >= bound
+        i, j = np.divmod(np.flatnonzero(near), near.shape[1])
+        keep = i < j if side is None else (i < j) & (side[a + i] != side[a + j])
+        out.append((a + i[keep], a + j[keep]))
+        n += len(out[-1][0])
+        if n > most:
+            return None
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def held_before(i: np.ndarray, j: np.ndarray, own: np.ndarray, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Which pairs of rows share a leaf less than `own`; row r has the ascending leaves codes[at[r]:at[r + 1]]."""
+    out = np.zeros(len(i), bool)
+    for a in range(0, len(i), LOOKED_UP):
+        x, y, leaf = i[a : a + LOOKED_UP], j[a : a + LOOKED_UP], own[a : a + LOOKED_UP]
+        rows, place = np.unique(y, return_inverse=True)
+        flat = spans(at[rows], at[rows + 1] - at[rows])
+        names, rank = np.unique(codes[flat], return_inverse=True)
+        held = np.repeat(np.arange(len(rows)), at[rows + 1] - at[rows]) * len(names) + rank  # ascending
+        n = at[x + 1] - at[x]
+        asked, pair = codes[spans(at[x], n)], np.repeat(np.arange(len(x)), n)
+        early = asked < leaf[pair]
+        asked, pair = asked[early], pair[early]
+        rank = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+        want = place[pair] * len(names) + rank
+        found = (names[rank] == asked) & (held[np.minimum(np.searchsorted(held, want), len(held) - 1)] == want)
+        out[a + pair[found]] = True
+    return out
+
+
+def spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ..., start + n - 1 of each span, one after the other."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def group_links(key: int, unit: np.ndarray, at: np.ndarray, codes: np.ndarray, weight: np.ndarray, side: np.ndarray | None, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """leaf_links() over all leaves at or below the node `key`; row r has the leaves codes[at[r]:at[r + 1]]."""
+    n, single = len(unit), unit.astype(np.float32)
+    bound = np.float32(cosine - (unit.shape[1] + 8) * 2.0**-23)  # beyond the error of single precision
+    mine = np.flatnonzero(within(codes, key))
+    row = np.searchsorted(at, mine, "right") - 1
+    order = np.argsort(codes[mine], kind="stable")
+    leaves, start = np.unique(codes[mine][order], return_index=True)
+    counts, tree, pairs = np.zeros(n, np.int64), [], []
+    for leaf, rows in zip(leaves.tolist(), np.split(row[order], start[1:])):
+        own = None if side is None else side[rows]
+        got = near_pairs(single[rows], own, bound, DENSE * len(rows))
+        if got is None:
+            close = np.concatenate([(single[rows[a : a + 512]] @ single[rows].T >= bound).sum(1) for a in range(0, len(rows), 512)]) > 1
+            rows = rows[close]
+            own = None if side is None else side[rows]
+            links, some = leaf_links(unit[rows], [codes[at[r] : at[r + 1]] for r in rows.tolist()], leaf, weight[rows], own, cosine)
+            counts[rows] += links
+            tree += [(int(rows[a]), int(rows[b])) for a, b in some]
+        else:
+            pairs.append((rows[got[0]], rows[got[1]], np.full(len(got[0]), leaf)))
+    if pairs:
+        i, j, leaf = (np.concatenate(x) for x in zip(*pairs))
+        near = np.concatenate([np.einsum("ij,ij->i", unit[i[a : a + LOOKED_UP]], unit[j[a : a + LOOKED_UP]]) >= cosine for a in range(0, len(i), LOOKED_UP)] or [np.zeros(0, bool)])
+        i, j, leaf = i[near], j[near], leaf[near]
+        new = ~held_before(i, j, leaf, at, codes)
+        i, j = i[new], j[new]
+        np.add.at(counts, i, weight[j])
+        np.add.at(counts, j, weight[i])
+        tree += spanning(i.tolist(), j.tolist())
+    return counts, tree
+
+
+def spanning(i: list[int], j: list[int]) -> list[tuple[int, int]]:
+    """Those of the links (i, j) that join parts which links before them do not."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    out = []
+    for a, b in zip(i, j):
+        x, y = find(a), find(b)
+        if x != y:
+            root[x] = y
+            out.append((a, b))
+    return out
+
+
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, spill: float = SPILL, leaf: int = LEAF, miss: float = MISS, sample: int = SAMPLE, cap: int = CAP, seed: int = 7) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors(vec_id, embedding)."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    good = F.expr("v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
-    # adding zero makes -0.0 and 0.0 one value
-    rows = rows.withColumn("ok", F.coalesce(good, F.lit(False))).withColumn("h", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.expr("transform(v, x -> cast(x + 0.0D as string))")), 256)))
-    classes = rows.where("ok").groupBy("h").agg(F.min("vec_id").alias("low"), F.count("*").alias("weight"), F.first("v").alias("v"))
-    classes = classes.withColumn("sid", F.conv(F.substring("h", 1, 15), 16, 10).cast("long"))
-
-    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # numbers of single precision are kept in it
+    single = vectors.schema["embedding"].dataType == ArrayType(FloatType(), vectors.schema["embedding"].dataType.containsNull)
+    kind = np.float32 if single else np.float64
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("v"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            raw = []
-            for x in part.column("v"):
-                v = x.values.to_numpy()
-                v = v / np.abs(v).max()
-                raw.append((v / np.sqrt(v @ v)).tobytes())
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("sid", "h", "low", "weight")), pa.array([len(r) // 8 for r in raw], pa.int64()), pa.array(raw, pa.binary())], ["sid", "h", "low", "weight", "dim", "unit"])
-
-    points = frames.cut(classes.select("sid", "h", "low", "weight", "v").mapInArrow(unit, "sid long, h string, low long, weight long, dim long, unit binary"), "points")
+            v = part.column("v")
+            at = v.offsets.to_numpy().astype(np.int64)
+            x = v.values.to_numpy(zero_copy_only=False).astype(kind, copy=False) + kind(0)  # adding zero makes -0.0 and 0.0 one value
+            sums = [np.concatenate([[0], np.cumsum(y)]) for y in (~np.isfinite(x), x != 0)]
+            bad, filled = (y[at[1:]] - y[at[:-1]] for y in sums)
+            ok = v.is_valid().to_numpy(zero_copy_only=False) & (bad == 0) & (filled > 0)
+            raw, size = memoryview(np.ascontiguousarray(x)).cast("B"), np.dtype(kind).itemsize
+            own = [raw[a * size : b * size] if k else None for a, b, k in zip(at[:-1].tolist(), at[1:].tolist(), ok.tolist())]
+            h = [None if o is None else hashlib.sha256(o).digest() for o in own]
+            yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array(h, pa.binary()), pa.array([None if o is None else bytes(o) for o in own], pa.binary())], ["vec_id", "h", "v"])
+
+    rows = frames.cut(rows.mapInArrow(packed, "vec_id long, h binary, v binary"), "vectors")
+    classes = rows.where("h is not null").groupBy("h").agg(F.min("vec_id").alias("low"), F.count("*").alias("weight"), F.first("v").alias("v"))
+    sid = F.conv(F.substring(F.hex("h"), 1, 15), 16, 10).cast("long").alias("sid")
+    dim = (F.octet_length("v") / F.lit(np.dtype(kind).itemsize)).cast("long").alias("dim")
+    points = frames.cut(classes.select(sid, "h", "low", "weight", dim, "v"), "points")
     sizes = {r.dim: r.n for r in points.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     forests = {}
     for k, (dim, n) in enumerate(sorted(sizes.items())):
         some = min(max(sample, 64 * n // leaf), max(sample, MOST))
-        got = points.where(F.col("dim") == dim).where(F.pmod(F.col("sid"), F.lit(max(1, -(-n // some)))) == 0).select("unit").limit(2 * some).toArrow()
-        forests[dim] = (k, Forest(matrix(got.column("unit")), n, leaf, cosine, spill, miss, seed))
+        got = points.where(F.col("dim") == dim).where(F.pmod(F.col("sid"), F.lit(max(1, -(-n // some)))) == 0).select("v").limit(2 * some).toArrow()
+        # with a spill of 0.24 a level has about 1.19 times the rows of the one above, on twice the nodes
+        depth = max(FIRST_LEVELS, math.ceil(math.log(max(1, 8 * dim * n / GROUP_BYTES)) / math.log(2 / 1.19)))
+        forests[dim] = (k, depth, Forest(units(got.column("v"), kind), n, leaf, cosine, spill, miss, seed))
     held = spark.sparkContext.broadcast(forests)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,22 +383,39 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, spill: float = SPIL
             dims = part.column("dim").to_numpy()
             for dim in np.unique(dims):
                 own = part.take(pa.array(np.flatnonzero(dims == dim)))
-                k, forest = held.value[int(dim)]
-                x, width = matrix(own.column("unit")), 2 << forest.levels
-                row, name = (np.concatenate(y) for y in zip(*((r, t * width + leaf) for t in range(len(forest.cuts)) for r, leaf in [forest.leaves(t, x)])))
+                k, depth, forest = held.value[int(dim)]
+                x = units(own.column("v"), kind)
+                row, node, tree = (np.concatenate(y) for y in zip(*((r, node + 1, np.full(len(r), t)) for t in range(len(forest.cuts)) for r, node in [forest.leaves(t, x)])))
+                base = (np.int64(k) << FOREST_BITS) + (tree.astype(np.int64) << TREE_BITS)
+                name, of = base + node, base + (node >> np.maximum(0, level_of(node) - depth))
                 order = np.lexsort((name, row))
-                row, name = row[order], name[order] | np.int64(k) << 48
-                at = np.searchsorted(row, np.arange(len(x) + 1))
-                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("sid", "weight", "unit")), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(name))], ["sid", "weight", "unit", "leaves"])
-
-    routed = frames.cut(points.select("sid", "weight", "dim", "unit").mapInArrow(route, "sid long, weight long, unit binary, leaves array<long>"), "routed")
-    dealt = frames.tiles(routed.withColumn("leaf", F.explode("leaves")), "leaf", "sid", cap)
+                row, tree, name, of = row[order], tree[order], name[order], of[order]
+                at = pa.array(np.searchsorted(row, np.arange(len(x) + 1)), pa.int32())
+                # each group of a row once, with the number of the row's leaves up to the group's tree
+                by = np.lexsort((of, row))
+                by = by[np.concatenate([[True], (row[by][1:] != row[by][:-1]) | (of[by][1:] != of[by][:-1])])[: len(by)]]
+                place = row * (1 << 8) + tree
+                upto = np.searchsorted(place, place[by], "right") - at.to_numpy()[row[by]]
+                groups = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[by], np.arange(len(x) + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(of[by]), pa.array(upto.astype(np.int32))], ["leaf", "upto"]))
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("sid", "weight", "dim", "v")), pa.ListArray.from_arrays(at, pa.array(name)), pa.ListArray.from_arrays(at, pa.array(of)), groups], ["sid", "weight", "dim", "v", "leaves", "of", "groups"])
+
+    kinds = "sid long, weight long, dim long, v binary, leaves array<long>, of array<long>, groups array<struct<leaf: long, upto: int>>"
+    routed = frames.cut(points.select("sid", "weight", "dim", "v").mapInArrow(route, kinds), "routed")
+    sizes = routed.select("dim", F.explode(F.arrays_zip("leaves", "of")).alias("x")).groupBy("x.of", "x.leaves").agg(F.count("*").alias("n"), F.max("dim").alias("dim"))
+    large = frames.cut(sizes.groupBy("of").agg(F.max("n").alias("n"), F.sum(F.col("n") * F.col("dim") * 8).alias("bytes")).where((F.col("n") > 2 * cap) | (F.col("bytes") > 4 * GROUP_BYTES)).select("of"), "large_groups")
+    dealt = routed.select("sid", "weight", "v", "leaves", F.explode("groups").alias("x")).select("sid", "weight", "v", F.expr("slice(leaves, 1, x.upto)").alias("leaves"), "x.leaf", F.lit(0).alias("tile_i"), F.lit(0).alias("tile_j"), F.lit(0).alias("side"))
+    if n := large.count():
+        large = frames.broadcast_if_small(large, n)
+        single_leaves = routed.select("sid", "weight", "v", "leaves", F.posexplode(F.arrays_zip("leaves", "of")).alias("at", "x")).join(large, F.col("x.of") == F.col("of"), "left_semi")
+        single_leaves = single_leaves.select("sid", "weight", "v", F.expr("slice(leaves, 1, at + 1)").alias("leaves"), F.col("x.leaves").alias("leaf"))
+        dealt = dealt.join(large, F.col("leaf") == F.col("of"), "left_anti").unionByName(frames.tiles(single_leaves, "leaf", "sid", cap))
 
     def compare(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(list(parts)).combine_chunks()
         side = got.column("side").to_numpy() if key[1].as_py() != key[2].as_py() else None
-        sid = got.column("sid").to_numpy()
-        counts, tree = leaf_links(matrix(got.column("unit")), sid, [x.values.to_numpy() for x in got.column("leaves")], key[0].as_py(), got.column("weight").to_numpy(), side, cosine)
+        sid, leaves = got.column("sid").to_numpy(), got.column("leaves").combine_chunks()
+        at = leaves.offsets.to_numpy().astype(np.int64)
+        counts, tree = group_links(key[0].as_py(), units(got.column("v"), kind), at - at[0], leaves.flatten().to_numpy(), got.column("weight").to_numpy(), side, cosine)
         at = np.flatnonzero(counts)
         a, b = np.array(tree, np.int64).reshape(-1, 2).T
         none = pa.nulls
@@ -257,9 +429,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, spill: float = SPIL
     least = frames.cut(named.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n")), "least")
     final = frames.spread_join(named, least, ["root"], ["sid"]).select("h", F.col("weight").alias("n"), F.coalesce("others", F.lit(0)).alias("others"), "component_id")
     # a vector may be that of any share of the rows
-    linked = frames.spread_join(rows.where("ok").select("vec_id", "h"), frames.cut(final, "final"), ["h"], ["vec_id"])
+    linked = frames.spread_join(rows.where("h is not null").select("vec_id", "h"), frames.cut(final, "final"), ["h"], ["vec_id"])
     out = linked.select("vec_id", (F.col("others") + F.col("n") - 1).cast("long").alias("n_links"), "component_id")
-    alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = rows.where("h is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

@@ -290,6 +290,45 @@ def test_forest_recall_on_20000_vectors():
     assert found >= 0.99 * 6_000
 
 
+@pytest.mark.parametrize("dense", [0, 1, 16])
+@pytest.mark.parametrize("tiled", [False, True])
+def test_groups_of_leaves_count_each_link_once(monkeypatch, dense, tiled):
+    monkeypatch.setattr(forest, "DENSE", dense)
+    monkeypatch.setattr(forest, "LOOKED_UP", 7)
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.standard_normal((60, 8)), 5, axis=0) + 0.2 * rng.standard_normal((300, 8))
+    x[:40] = x[0] + 0.1 * rng.standard_normal((40, 8))  # a large group of near copies
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    weight, side = rng.integers(1, 4, len(x)), rng.integers(0, 2, len(x)) if tiled else None
+    # two trees of three levels, some rows on both sides of a cut
+    held = [sorted({(t << forest.TREE_BITS) + 8 + int(n) for t in (0, 1) for n in rng.choice(8, rng.integers(1, 4), False)}) for _ in x]
+    at, codes = np.concatenate([[0], np.cumsum([len(h) for h in held])]), np.concatenate([np.array(h) for h in held])
+    counts, links = np.zeros(len(x), int), set()
+    for key in sorted({int(c >> forest.TREE_BITS << forest.TREE_BITS) + k for c in codes for k in (4, 5, 6, 14, 15)}):
+        in_it = np.flatnonzero([forest.within(np.array(h), key).any() for h in held])
+        own = [[c for c in held[r] if c >> forest.TREE_BITS <= key >> forest.TREE_BITS] for r in in_it]
+        n, tree = forest.group_links(key, x[in_it], np.concatenate([[0], np.cumsum([len(h) for h in own])]), np.concatenate([np.array(h) for h in own]), weight[in_it], None if side is None else side[in_it], 0.9)
+        counts[in_it] += n
+        links |= {(int(in_it[a]), int(in_it[b])) for a, b in tree}
+    near = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool) & np.array([[bool(set(a) & set(b)) for b in held] for a in held])
+    if tiled:
+        near &= side[:, None] != side[None, :]
+    assert counts.tolist() == (near @ weight).tolist() and near.sum() > 500
+    assert all(near[a, b] for a, b in links)
+    parts = lambda pairs: {tuple(sorted(p)) for p in united(len(x), pairs)}
+    assert parts(links) == parts(zip(*np.nonzero(near)))
+
+
+def united(n, pairs):
+    part = {i: {i} for i in range(n)}
+    for a, b in pairs:
+        if part[a] is not part[b]:
+            part[a] |= part[b]
+            for i in part[b]:
+                part[i] = part[a]
+    return part.values()
+
+
 def test_forest_below_its_sample():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((3_000, 16))

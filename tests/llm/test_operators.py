@@ -403,6 +403,24 @@ def test_forest_of_repeated_and_missing_ids(spark):
     assert got == sorted([(5, 3, 5, True)] * 3 + [(None, 3, 5, False), (None, 0, None, False), (9, 0, 9, True)], key=str)
 
 
+def test_forest_sends_a_vector_once_for_leaves_of_a_group(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((3000, 16))
+    x[:1000] = x[1000:2000] + 0.1 * rng.standard_normal((1000, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(4000 + i, v[:3].tolist()) for i, v in enumerate(x[:50])], "vec_id long, embedding array<double>")
+    kept, cut = {}, frames.cut
+    monkeypatch.setattr(frames, "cut", lambda df, name="step": kept.setdefault(name, cut(df, name)) if name == "routed" else cut(df, name))
+    monkeypatch.setattr(forest, "FIRST_LEVELS", 2)
+    want = sorted(map(tuple, forest.near_vectors(rows, leaf=20).collect()))
+    sent = kept["routed"].selectExpr("sum(size(leaves)) as leaves", "sum(size(groups)) as groups").first()
+    assert 2 * sent.groups < sent.leaves
+    # groups of one leaf each, and groups too large to be sent whole, give the same rows
+    monkeypatch.setattr(forest, "FIRST_LEVELS", 30)
+    assert sorted(map(tuple, forest.near_vectors(rows, leaf=20).collect())) == want
+    monkeypatch.setattr(forest, "FIRST_LEVELS", 1)
+    assert sorted(map(tuple, forest.near_vectors(rows, leaf=20, cap=20).collect())) == want
+
+
 def test_forest_keeps_links_of_a_hot_group(spark):
     rng = np.random.default_rng(6)
     n, hot = 3000, 1000
