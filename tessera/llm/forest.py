@@ -14,7 +14,8 @@
    until the near pairs within PAIRS sampled vectors are held but for a share of MISS. Nodes with
    fewer than MEASURED sampled vectors are too small to measure and take SPILL as it is.
 3. Leaves below one node travel as one group (about GROUP_BYTES of vectors), so that a class is
-   sent once for all of them, in its own precision. Each leaf is compared by matrix products in
+   sent once for all of them, in its own precision; classes of one batch that go to the same group
+   go as one row. Each leaf is compared by matrix products in
    single precision, less a bound of their error, and the pairs that pass by the cosine in double
    precision. A group with a leaf of more than 2 * CAP classes, or that is too large, is sent leaf by
    leaf instead, and a leaf of more than CAP classes is dealt into tiles. A pair that an earlier
@@ -55,6 +56,8 @@ COSINE = 0.9
 DENSITY, SHRINK, TREES, PAIRS = 0.4, 0.8, 40, 2048
 #: Bytes of vectors in double precision that travel as one group; levels that are cut into groups at least.
 GROUP_BYTES, FIRST_LEVELS = 10 << 20, 6
+#: Bytes of vectors and leaves that are dealt to groups at a time.
+DEALT_BYTES = 64 << 20
 #: Links a class up to which a leaf's pairs are looked up one by one, and pairs looked up at a time.
 DENSE, LOOKED_UP = 16, 1 << 16
 #: A leaf's name is its forest, tree and node + 1 (whose leading one bit tells the level).
@@ -193,16 +196,27 @@ class Forest:
 
 def matrix(column: pa.Array | pa.ChunkedArray, kind: type = np.float64) -> np.ndarray:
     """Rows of a binary column of numbers, all of one length."""
+    return flat(column, kind).reshape(len(column), -1) if len(column) else np.zeros((0, 1), kind)
+
+
+def flat(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The numbers of a binary column, one row after the other."""
     raw = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if not len(raw):
-        return np.zeros((0, 1), kind)
+        return np.zeros(0, kind)
     at = np.frombuffer(raw.buffers()[1], np.int64 if pa.types.is_large_binary(raw.type) else np.int32)[raw.offset : raw.offset + len(raw) + 1]
-    return np.frombuffer(raw.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind).reshape(len(raw), -1)
+    return np.frombuffer(raw.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind)
+
 
+def binary(numbers: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column whose row i has the numbers up to ends[i]; the inverse of flat()."""
+    at = np.concatenate([[0], ends]).astype(np.int32) * np.int32(numbers.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(numbers))])
 
-def units(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
-    """Rows of a binary column as vectors of length 1, in double precision."""
-    x = matrix(column, kind).astype(np.float64)
+
+def units(rows: np.ndarray) -> np.ndarray:
+    """Rows as vectors of length 1, in double precision."""
+    x = rows.astype(np.float64)
     x /= np.abs(x).max(1, keepdims=True)
     x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
     return x
@@ -257,7 +271,11 @@ def near_pairs(single: np.ndarray, side: np.ndarray | None, bound: float, most:
     out, n = [], 0
     for a in range(0, len(single), 512):
         near = single[a : a + 512] @ single[a:].T >= bound
-        i, j = np.divmod(np.flatnonzero(near), near.shape[1])
+        own = np.arange(near.shape[0])
+        near[own, own] = False
+        some = np.flatnonzero(near.any(1))
+        i, j = np.divmod(np.flatnonzero(near[some]), near.shape[1])
+        i = some[i]
         keep = i < j if side is None else (i < j) & (side[a + i] != side[a + j])
         out.append((a + i[keep], a + j[keep]))
         n += len(out[-1][0])
@@ -375,7 +393,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, spill: float = SPIL
         got = points.where(F.col("dim") == dim).where(F.pmod(F.col("sid"), F.lit(max(1, -(-n // some)))) == 0).select("v").limit(2 * some).toArrow()
         # with a spill of 0.24 a level has about 1.19 times the rows of the one above, on twice the nodes
         depth = max(FIRST_LEVELS, math.ceil(math.log(max(1, 8 * dim * n / GROUP_BYTES)) / math.log(2 / 1.19)))
-        forests[dim] = (k, depth, Forest(units(got.column("v"), kind), n, leaf, cosine, spill, miss, seed))
+        forests[dim] = (k, depth, Forest(units(matrix(got.column("v"), kind)), n, leaf, cosine, spill, miss, seed))
     held = spark.sparkContext.broadcast(forests)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,7 +402,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, spill: float = SPIL
             for dim in np.unique(dims):
                 own = part.take(pa.array(np.flatnonzero(dims == dim)))
                 k, depth, forest = held.value[int(dim)]
-                x = units(own.column("v"), kind)
+                x = units(matrix(own.column("v"), kind))
                 row, node, tree = (np.concatenate(y) for y in zip(*((r, node + 1, np.full(len(r), t)) for t in range(len(forest.cuts)) for r, node in [forest.leaves(t, x)])))
                 base = (np.int64(k) << FOREST_BITS) + (tree.astype(np.int64) << TREE_BITS)
                 name, of = base + node, base + (node >> np.maximum(0, level_of(node) - depth))
@@ -403,19 +421,63 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, spill: float = SPIL
     routed = frames.cut(points.select("sid", "weight", "dim", "v").mapInArrow(route, kinds), "routed")
     sizes = routed.select("dim", F.explode(F.arrays_zip("leaves", "of")).alias("x")).groupBy("x.of", "x.leaves").agg(F.count("*").alias("n"), F.max("dim").alias("dim"))
     large = frames.cut(sizes.groupBy("of").agg(F.max("n").alias("n"), F.sum(F.col("n") * F.col("dim") * 8).alias("bytes")).where((F.col("n") > 2 * cap) | (F.col("bytes") > 4 * GROUP_BYTES)).select("of"), "large_groups")
-    dealt = routed.select("sid", "weight", "v", "leaves", F.explode("groups").alias("x")).select("sid", "weight", "v", F.expr("slice(leaves, 1, x.upto)").alias("leaves"), "x.leaf", F.lit(0).alias("tile_i"), F.lit(0).alias("tile_j"), F.lit(0).alias("side"))
-    if n := large.count():
-        large = frames.broadcast_if_small(large, n)
-        single_leaves = routed.select("sid", "weight", "v", "leaves", F.posexplode(F.arrays_zip("leaves", "of")).alias("at", "x")).join(large, F.col("x.of") == F.col("of"), "left_semi")
-        single_leaves = single_leaves.select("sid", "weight", "v", F.expr("slice(leaves, 1, at + 1)").alias("leaves"), F.col("x.leaves").alias("leaf"))
-        dealt = dealt.join(large, F.col("leaf") == F.col("of"), "left_anti").unionByName(frames.tiles(single_leaves, "leaf", "sid", cap))
+    n = large.count()
+    # more than can be sent to all tasks: every group is sent leaf by leaf
+    whole = n <= frames.BROADCAST_ROWS
+    parted = spark.sparkContext.broadcast(np.sort([r.of for r in large.collect()]).astype(np.int64) if whole else None)
+
+    def packed_rows(part: pa.RecordBatch, at: np.ndarray, leaf: np.ndarray, upto: np.ndarray, tile_i: np.ndarray, tile_j: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Row r goes to the groups at[r] to at[r + 1] with the first `upto` of its leaves; a row for each group and batch."""
+        sid, weight, leaves = (part.column(c) for c in ("sid", "weight", "leaves"))
+        sid, weight, v = sid.to_numpy(), weight.to_numpy(), matrix(part.column("v"), kind)
+        first, codes = leaves.offsets.to_numpy().astype(np.int64), leaves.flatten().to_numpy()
+        first = first - first[0]
+        row = np.repeat(np.arange(len(sid)), np.diff(at))
+        size = np.cumsum(upto.astype(np.int64) * 8 + v.shape[1] * v.itemsize + 24)
+        for few in np.split(np.arange(len(row)), np.flatnonzero(np.diff(size // DEALT_BYTES)) + 1):
+            few = few[np.lexsort((tile_j[few], tile_i[few], leaf[few]))]
+            r, key = row[few], np.stack([leaf[few], tile_i[few], tile_j[few]])
+            ends = np.append(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, len(few)) if len(few) else np.zeros(0, int)
+            n = upto[few].astype(np.int64)
+            key = [pa.array(k) for k in key[:, ends - 1].astype(np.int64)]
+            code_ends = np.cumsum(n)[ends - 1]
+            yield pa.RecordBatch.from_arrays([*key, binary(sid[r], ends), binary(weight[r], ends), binary(v[r].ravel(), ends * v.shape[1]), binary(n.astype(np.int32), ends), binary(codes[spans(first[r], n)], code_ends), binary(side[few].astype(np.int8), ends)], ["leaf", "tile_i", "tile_j", "sid", "weight", "v", "n", "leaves", "side"])
+
+    def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            dims = part.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                own = part.take(pa.array(np.flatnonzero(dims == dim)))
+                groups = own.column("groups")
+                leaf, upto = (groups.flatten().field(c).to_numpy() for c in ("leaf", "upto"))
+                keep = ~np.isin(leaf, parted.value)
+                at = np.concatenate([[0], np.cumsum(keep)])[groups.offsets.to_numpy() - groups.offsets[0].as_py()]
+                none = np.zeros(keep.sum(), np.int64)
+                yield from packed_rows(own, at, leaf[keep], upto[keep], none, none, none)
+
+    def by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            dims = part.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                own = part.take(pa.array(np.flatnonzero(dims == dim)))
+                leaf, *tile = (own.column(c).to_numpy() for c in ("leaf", "tile_i", "tile_j", "side"))
+                upto = np.diff(own.column("leaves").offsets.to_numpy())
+                yield from packed_rows(own, np.arange(len(own) + 1), leaf, upto, *tile)
+
+    kinds = "leaf long, tile_i long, tile_j long, sid binary, weight binary, v binary, n binary, leaves binary, side binary"
+    dealt = [routed.select("sid", "weight", "dim", "v", "leaves", "groups").mapInArrow(by_group, kinds)] if whole else []
+    if n:
+        one = routed.select("sid", "weight", "dim", "v", "leaves", F.posexplode(F.arrays_zip("leaves", "of")).alias("at", "x"))
+        one = one.join(F.broadcast(large), F.col("x.of") == F.col("of"), "left_semi") if whole else one
+        one = one.select("sid", "weight", "dim", "v", F.expr("slice(leaves, 1, at + 1)").alias("leaves"), F.col("x.leaves").alias("leaf"))
+        dealt.append(frames.tiles(one, "leaf", "sid", cap).select("sid", "weight", "dim", "v", "leaves", "leaf", "tile_i", "tile_j", "side").mapInArrow(by_tile, kinds))
+    dealt = dealt[0] if len(dealt) == 1 else dealt[0].unionByName(dealt[1])
 
     def compare(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(list(parts)).combine_chunks()
-        side = got.column("side").to_numpy() if key[1].as_py() != key[2].as_py() else None
-        sid, leaves = got.column("sid").to_numpy(), got.column("leaves").combine_chunks()
-        at = leaves.offsets.to_numpy().astype(np.int64)
-        counts, tree = group_links(key[0].as_py(), units(got.column("v"), kind), at - at[0], leaves.flatten().to_numpy(), got.column("weight").to_numpy(), side, cosine)
+        got = pa.Table.from_batches(list(parts))
+        sid, weight, n, codes, side = (flat(got.column(c), k) for c, k in (("sid", np.int64), ("weight", np.int64), ("n", np.int32), ("leaves", np.int64), ("side", np.int8)))
+        unit = units(flat(got.column("v"), kind).reshape(len(sid), -1))
+        counts, tree = group_links(key[0].as_py(), unit, np.concatenate([[0], np.cumsum(n, dtype=np.int64)]), codes, weight, side if key[1].as_py() != key[2].as_py() else None, cosine)
         at = np.flatnonzero(counts)
         a, b = np.array(tree, np.int64).reshape(-1, 2).T
         none = pa.nulls
